@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gaugeworks.session import durable, group_rows
+from gaugeworks.session import durable, group_rows, scalar_row
 
 MAX_RANGES = 20_000
 
@@ -224,21 +224,31 @@ def quantiles(
 
 
 def modes(df: DataFrame, keys: Sequence[str], col: str, name: str = "mode") -> DataFrame:
-    """Most frequent value per key with its count `<name>_n`, the smallest on a tie."""
+    """Most frequent value per key with its count `<name>_n`, the smallest on a tie.
+
+    Two map-side combined aggregates; the built-in would hold every distinct value of a group at once.
+    """
     freq = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    return _best(freq, list(keys), col, name)
+    top = F.min_by(F.struct(F.col(col).alias("v"), F.col("_n").alias("n")), F.struct(-F.col("_n"), F.col(col)))
+    return freq.groupBy(*keys).agg(top.alias("_top")).select(*keys, F.col("_top.v").alias(name), F.col("_top.n").alias(f"{name}_n"))
 
 
-def _best(freq: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
-    top = freq.groupBy(*keys).agg(F.max("_n").alias(f"{name}_n"))
+def nearest_rank(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], rows: int | None = None) -> DataFrame:
+    """Values at index int(n * p) of the sorted group, without interpolation."""
+    keys = list(keys)
+    freq = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running(freq, keys, [col], {"_cum": ("sum", F.col("_n"))}, rows=rows)
+    total = freq.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
     if keys:
-        hit = freq.join(top, keys)
+        ranked = cum.join(total, keys)
     else:
-        from gaugeworks.session import scalar_row
+        ranked = cum.withColumn("_tot", scalar_row(total)["_tot"])
+
+    def at(p: float) -> Column:
+        index = F.least(F.floor(F.col("_tot") * F.lit(float(p))), F.col("_tot") - 1)
+        return F.max(F.when((F.col("_cum") - F.col("_n") <= index) & (index < F.col("_cum")), F.col(col)))
 
-        hit = freq.withColumn(f"{name}_n", scalar_row(top)[f"{name}_n"])
-    hit = hit.filter(F.col("_n") == F.col(f"{name}_n"))
-    return hit.groupBy(*keys).agg(F.min(col).alias(name), F.max(f"{name}_n").alias(f"{name}_n"))
+    return ranked.groupBy(*keys).agg(*[at(p).alias(n) for n, p in probs.items()])
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], col: str, name: str, rows: int | None = None) -> DataFrame:

@@ -83,11 +83,11 @@ def engineered(t):
 
 @query("prj_10_fusion_metrics", f"""
     SELECT {KEY_SQL}, round(price * d, 4) AS lawson_criterion, round(price * d * b, 6) AS triple_product, round(b + x, 6) AS total_heating_power,
-           round(price / (b + x), 4) AS q_factor, round(1 - d, 6) AS tritium_fraction FROM ({SAMPLE_SQL})""")
+           round(price / (b + x), 7) AS q_factor, round(1 - d, 6) AS tritium_fraction FROM ({SAMPLE_SQL})""")
 def fusion(t):
     got = p.fusion_metrics(samples(t), "price", "d", "b", "price", "b", "x", "d")
     return got.select(*KEY, r("lawson_criterion", 4).alias("lawson_criterion"), r("triple_product", 6).alias("triple_product"),
-                      r("total_heating_power").alias("total_heating_power"), r("q_factor", 4).alias("q_factor"), r("tritium_fraction").alias("tritium_fraction"))
+                      r("total_heating_power").alias("total_heating_power"), r("q_factor", 7).alias("q_factor"), r("tritium_fraction").alias("tritium_fraction"))
 
 
 @query("prj_11_unit_normalization", """
@@ -153,8 +153,8 @@ def scenario(t):
 
 
 @query("prj_20_formula_metrics", """
-    SELECT o_orderkey, coalesce(round(o_totalprice / nullif(o_custkey, 0), 4), CAST(0 AS DOUBLE)) AS ratio, o_totalprice AS direct, CAST(0 AS DOUBLE) AS unknown FROM orders""")
+    SELECT o_orderkey, coalesce(round(o_totalprice / nullif(o_custkey, 0), 7), CAST(0 AS DOUBLE)) AS ratio, o_totalprice AS direct, CAST(0 AS DOUBLE) AS unknown FROM orders""")
 def formulas(t):
     df = t.orders
-    return df.select("o_orderkey", r(p.formula(df, "o_totalprice / o_custkey"), 4).alias("ratio"),
+    return df.select("o_orderkey", r(p.formula(df, "o_totalprice / o_custkey"), 7).alias("ratio"),
                      p.formula(df, "o_totalprice").alias("direct"), p.formula(df, "energy_output / energy_input").alias("unknown"))
