@@ -18,13 +18,13 @@ def rounded(df, digits=6, **special):
 
 
 @query("agg_01_experiment_performance", """
-    SELECT o_custkey, count(*) AS total_shots, round(avg(o_totalprice), 7) AS avg_q, round(stddev_samp(o_totalprice), 7) AS std_q, max(o_totalprice) AS max_q, min(o_totalprice) AS min_q,
+    SELECT o_custkey, count(*) AS total_shots, round(avg(o_totalprice), 7) AS avg_q, round(stddev_samp(o_totalprice), 4) AS std_q, max(o_totalprice) AS max_q, min(o_totalprice) AS min_q,
            round(avg(o_totalprice / 3), 7) AS avg_confinement, round(avg(o_totalprice / 7), 7) AS avg_beta, count(*) FILTER (o_orderstatus = 'F') AS disruption_count,
-           round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS disruption_rate, round(avg(o_orderkey), 7) AS avg_duration, count(*) FILTER (o_totalprice / 5e5 >= 0.8) AS high_quality_shots
+           round(count(*) FILTER (o_orderstatus = 'F') / count(*), 7) AS disruption_rate, round(avg(o_orderkey), 7) AS avg_duration, count(*) FILTER (o_totalprice / 5e5 >= 0.8) AS high_quality_shots
     FROM orders GROUP BY 1""")
 def performance(t):
     df = t.orders.selectExpr("*", "o_totalprice / 3 conf", "o_totalprice / 7 beta", "o_totalprice / 5e5 quality")
-    return rounded(a.experiment_performance(df, ["o_custkey"], "o_totalprice", "conf", "beta", F.col("o_orderstatus") == "F", "o_orderkey", "quality"), 4, disruption_rate=6)
+    return rounded(a.experiment_performance(df, ["o_custkey"], "o_totalprice", "conf", "beta", F.col("o_orderstatus") == "F", "o_orderkey", "quality"), 7, std_q=4)
 
 
 @query("agg_02_diagnostic_stats", """
@@ -39,9 +39,9 @@ def diagnostics(t):
     WITH d AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*) AS n, avg(o_totalprice) AS avg_value, stddev_samp(o_totalprice) AS std_value, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value
                FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1),
          p AS (SELECT *, row_number() OVER (ORDER BY day) AS day_index FROM d)
-    SELECT day, n, round(avg_value, 7) AS avg_value, round(std_value, 7) AS std_value, min_value, max_value, day_index, round((SELECT regr_slope(avg_value, day_index) FROM p), 4) AS slope FROM p""")
+    SELECT day, n, round(avg_value, 7) AS avg_value, round(std_value, 4) AS std_value, min_value, max_value, day_index, round((SELECT regr_slope(avg_value, day_index) FROM p), 4) AS slope FROM p""")
 def daily(t):
-    return rounded(a.daily_trend(t.orders, "o_orderdate", "o_totalprice", "1995-01-01"), 7, slope=4)
+    return rounded(a.daily_trend(t.orders, "o_orderdate", "o_totalprice", "1995-01-01"), 7, slope=4, std_value=4)
 
 
 DESCRIBE = """count({c}) AS "count", round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(coalesce(stddev_samp({c}), 0), 4) AS std, round(coalesce(var_samp({c}), 0), 2) AS variance, min({c}) AS "min", max({c}) AS "max",
