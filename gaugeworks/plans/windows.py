@@ -24,19 +24,19 @@ def holes(t):
 
 
 @query("win_01_sliding_metrics", f"""
-    WITH e AS (SELECT event_id, user_id, ts, value AS t, {K_SQL} AS d, row_number() {WIN} AS p FROM events)
-    SELECT event_id, round(avg(t) OVER f, 6) AS avg_temperature, round(stddev_pop(t) OVER f, 5) AS temp_std, round(coalesce(nullif(regr_slope(t, p) OVER f, 'nan'::DOUBLE), 0), 5) AS temp_trend,
-           round(avg(d) OVER f, 6) AS avg_density, round(stddev_pop(d) OVER f, 5) AS density_std, round(coalesce(nullif(regr_slope(d, p) OVER f, 'nan'::DOUBLE), 0), 5) AS density_trend,
+    WITH e AS (SELECT event_id, user_id, ts, sqrt(value) AS t, {K_SQL} + pi() AS d, row_number() {WIN} AS p FROM events)
+    SELECT event_id, round(avg(t) OVER f, 6) AS avg_temperature, round(stddev_pop(t) OVER f, 5) AS temp_std, round(coalesce(nullif(regr_slope(t, p) OVER f, 'nan'::DOUBLE), 0), 5) + 0.0::DOUBLE AS temp_trend,
+           round(avg(d) OVER f, 6) AS avg_density, round(stddev_pop(d) OVER f, 5) AS density_std, round(coalesce(nullif(regr_slope(d, p) OVER f, 'nan'::DOUBLE), 0), 5) + 0.0::DOUBLE AS density_trend,
            round(avg(t * d * 1.38) OVER f, 6) AS avg_beta, round(max(t * d * 1.38) OVER f, 6) AS max_beta, count(*) OVER f AS window_size, count(*) OVER f / 20 AS fill,
            round(avg(t * d * t) OVER f, 4) AS avg_triple_product, round(max(t * d * t) OVER f, 4) AS max_triple_product
     FROM e WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS 19 PRECEDING)""")
 def sliding(t):
-    got = w.sliding_metrics(readings(t), ["user_id"], ["ts", "event_id"], "value", "k", "value", n=20)
+    got = w.sliding_metrics(readings(t).withColumns({"value": F.sqrt("value"), "k": F.col("k") + F.pi()}), ["user_id"], ["ts", "event_id"], "value", "k", "value", n=20)
     got = got.withColumns({"avg_beta": F.col("avg_beta") * 1e28, "max_beta": F.col("max_beta") * 1e28})
     return rounded(got.drop("user_id", "ts", "us", "value", "k"), 6, temp_std=5, density_std=5, temp_trend=5, density_trend=5, avg_triple_product=4, max_triple_product=4, fill=12)
 
 
-@query("win_02_window_slope", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT event_id, round(coalesce(nullif(regr_slope(value, p) OVER (PARTITION BY user_id ORDER BY ts ROWS 9 PRECEDING), 'nan'::DOUBLE), 0), 5) AS slope FROM e")
+@query("win_02_window_slope", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT event_id, round(coalesce(nullif(regr_slope(value, p) OVER (PARTITION BY user_id ORDER BY ts ROWS 9 PRECEDING), 'nan'::DOUBLE), 0), 5) + 0.0::DOUBLE AS slope FROM e")
 def slopes(t):
     return rounded(w.slope(readings(t), ["user_id"], ["ts", "event_id"], "value", 10).select("event_id", "slope"), 5)
 
