@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.functions.stats import grubbs_critical
 from gaugeworks.operators.aggregate import fences, rows
-from gaugeworks.operators.ordered import average_rank, framed, position, quantiles
+from gaugeworks.operators.ordered import average_rank, framed, largest_group, position, quantiles
 from gaugeworks.operators.project import row_mean
 from gaugeworks.operators.quality import center_and_mad, scale
 from gaugeworks.operators.windows import gradient, rate_flags
-from gaugeworks.session import durable, scalar_row
+from gaugeworks.session import durable, scalar_row, spread
 
 # Guards and limits of the statistical scores.
 TINY, MODIFIED_FACTOR, MODIFIED_LIMIT, Z_LIMIT = 1e-8, 0.6745, 3.5, 3.0
@@ -299,7 +299,8 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], model: list[dict]) -> D
 def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int = 100, contamination: float = 0.1, seed: int = 42) -> DataFrame:
 
 
-    scored = durable(isolation_scores(df, cols, isolation_trees(df, key, cols, trees, seed)))
+    data = spread(df, key)
+    scored = durable(isolation_scores(data, cols, isolation_trees(data, key, cols, trees, seed)))
     edge = scalar_row(quantiles(scored, [], ["score"], [1 - contamination]))["q_score"][0]
     return scored.withColumn("anomaly", F.col("score") > edge)
 
@@ -314,20 +315,21 @@ def local_outlier_factor(df: DataFrame, keys: Sequence[str], value: str, tie: st
     three bounded frames give distance, density and factor without any pair join.
     """
     order = [value, tie]
-    placed = position(df, keys, order, "_p")
+    size = largest_group(df, keys)
+    placed = position(df, keys, order, "_p", largest=size)
     frame = lambda w: w.rowsBetween(-k, k)
 
     def neighbours(w):
         near = F.collect_list(F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))).over(frame(w))
         return {"_near": near}
 
-    got = framed(placed, keys, order, k, k, neighbours)
+    got = framed(placed, keys, order, k, k, neighbours, largest=size)
     far = F.transform(F.filter("_near", lambda n: n["p"] != F.col("_p")), lambda n: F.struct(F.abs(n["v"] - F.col(value)).alias("d"), n["p"].alias("p")))
     got = got.withColumn("_near", F.slice(F.array_sort(far), 1, k)).withColumn("_kd", F.element_at("_near", -1)["d"])
-    got = framed(got, keys, order, k, k, lambda w: {"_kds": F.map_from_entries(F.collect_list(F.struct("_p", "_kd")).over(frame(w)))})
+    got = framed(got, keys, order, k, k, lambda w: {"_kds": F.map_from_entries(F.collect_list(F.struct("_p", "_kd")).over(frame(w)))}, largest=size)
     reach = F.aggregate("_near", F.lit(0.0), lambda a, n: a + F.greatest(n["d"], F.element_at("_kds", n["p"])))
     got = got.withColumn("_lrd", 1 / (reach / F.size("_near") + 1e-10)).drop("_kds")
-    got = framed(got, keys, order, k, k, lambda w: {"_lrds": F.map_from_entries(F.collect_list(F.struct("_p", "_lrd")).over(frame(w)))})
+    got = framed(got, keys, order, k, k, lambda w: {"_lrds": F.map_from_entries(F.collect_list(F.struct("_p", "_lrd")).over(frame(w)))}, largest=size)
     dens = F.aggregate("_near", F.lit(0.0), lambda a, n: a + F.element_at("_lrds", n["p"])) / F.size("_near")
     return got.withColumn("lof", dens / F.col("_lrd")).drop("_near", "_kd", "_lrd", "_lrds", "_p")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.filters import key_matches
 from gaugeworks.operators.ordered import framed, running
+from gaugeworks.session import broadcast_if_small
 
 
 def experiment_stats(exp: DataFrame, shots: DataFrame, series: DataFrame, exp_id: str, shot_exp: str, shot_id: str, series_shot: str, value: str, disrupted: Column, fan_out: bool = True) -> DataFrame:
@@ -50,9 +51,9 @@ def align(frames: Sequence[DataFrame], key: str) -> DataFrame:
 def route(messages: DataFrame, bindings: DataFrame, message_id: str, key: str, default_prefix: str = "events.") -> DataFrame:
     """One row per message and distinct queue; a message without a match goes to its default queue.
 
-    `bindings` is a rule table (pattern, queue), small by construction.
+    `bindings` is a rule table (pattern, queue); it is broadcast when a count shows it small.
     """
-    hit = messages.join(F.broadcast(bindings), key_matches(F.col(key), F.col("pattern")), "left")
+    hit = messages.join(broadcast_if_small(bindings), key_matches(F.col(key), F.col("pattern")), "left")
     queue = F.coalesce("queue", F.concat(F.lit(default_prefix), F.col(key)))
     return hit.select(message_id, queue.alias("queue")).distinct()
 

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import position, quantiles
-from gaugeworks.session import durable, scalar_row
+from gaugeworks.session import broadcast_if_small, durable, scalar_row, spread
 
 # --- clustering -------------------------------------------------------------------------------------
 
 
-def best_kmeans(df: DataFrame, vector: str, ks: Sequence[int] = range(2, 11), seed: int = 42) -> tuple[DataFrame, dict[int, float]]:
+def best_kmeans(df: DataFrame, key: str, vector: str, ks: Sequence[int] = range(2, 11), seed: int = 42) -> tuple[DataFrame, dict[int, float]]:
     """K-means for each k; the clustering with the best silhouette, and all silhouettes."""
-    data = durable(df)
+    data = spread(df, key)
     judge = ClusteringEvaluator(featuresCol=vector, predictionCol="cluster")
     scores, best = {}, None
     for k in ks:
@@ -203,7 +203,7 @@ def weighted_vote(df: DataFrame, predictions: dict[str, float]) -> Column:
 
 def stacking(df: DataFrame, key: str, cols: Sequence[str], label: str, kinds: Sequence[str] = ("linear", "random_forest"), folds: int = 3, **options) -> DataFrame:
     """Ridge regression on predictions made for each fold by models that have not seen it."""
-    data = durable(hashed_folds(df, [key], folds))
+    data = spread(hashed_folds(df, [key], folds), key)
     made = []
     for f in range(folds):
         train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
@@ -216,9 +216,9 @@ def stacking(df: DataFrame, key: str, cols: Sequence[str], label: str, kinds: Se
     return meta.transform(oof).drop("features")
 
 
-def cross_validated_search(df: DataFrame, cols: Sequence[str], label: str, grid: dict[str, Sequence], folds: int = 5, metric: str = "r2", seed: int = 42, draws: int | None = None) -> tuple[Model, list[tuple[dict, float]]]:
+def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label: str, grid: dict[str, Sequence], folds: int = 5, metric: str = "r2", seed: int = 42, draws: int | None = None) -> tuple[Model, list[tuple[dict, float]]]:
     """Grid search over a forest, or `draws` seeded grid points for a random search."""
-    data = assemble(df, cols)
+    data = spread(assemble(df, cols), key)
     est = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
     b = ParamGridBuilder()
     for name, values in grid.items():
@@ -233,7 +233,7 @@ def cross_validated_search(df: DataFrame, cols: Sequence[str], label: str, grid:
 
 def cross_validation(df: DataFrame, key: str, cols: Sequence[str], label: str, kind: str = "linear", folds: int = 5, **options) -> DataFrame:
     """Held-out metrics per hashed fold."""
-    data = durable(hashed_folds(df, [key], folds))
+    data = spread(hashed_folds(df, [key], folds), key)
     made = []
     for f in range(folds):
         m = fit(data.filter(F.col("fold") != f), cols, label, kind, **options)
@@ -243,7 +243,7 @@ def cross_validation(df: DataFrame, key: str, cols: Sequence[str], label: str, k
 
 def learning_curve(df: DataFrame, key: str, cols: Sequence[str], label: str, kind: str = "linear", sizes: int = 10) -> DataFrame:
     """Error on the held-out fold for growing hashed shares of the training rows."""
-    data = durable(hashed_folds(df, [key]).withColumn("_u", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1000)) / 1000))
+    data = spread(hashed_folds(df, [key]).withColumn("_u", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1000)) / 1000), key)
     test, train = data.filter("fold = 0"), data.filter("fold <> 0")
     made = []
     for i in range(1, sizes + 1):
@@ -264,7 +264,7 @@ def uniform(keys: Sequence[str], salt: Column | int) -> Column:
 
 def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicates: int = 20) -> DataFrame:
     """Coefficients of weighted refits, weights drawn from Poisson(1) per row; mean, spread, 95% interval."""
-    data = durable(assemble(df, cols))
+    data = spread(assemble(df.select(key, label, *cols), cols), key)
     coefs = []
     for b in range(replicates):
         u = uniform([key], b)
@@ -278,7 +278,7 @@ def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicat
 
 def permutation_importance(df: DataFrame, key: str, cols: Sequence[str], label: str, model: Model, repeats: int = 10) -> DataFrame:
     """Rise of the squared error when one column is dealt out again in hashed order."""
-    base_df = durable(position(df.select(key, *cols, label), [], [key], "_p"))
+    base_df = spread(position(df.select(key, *cols, label), [], [key], "_p"), key)
     se = lambda d: model.transform(d).agg(F.avg(F.pow(F.col("prediction") - F.col(label), 2)).alias("mse"))
     base = scalar_row(se(base_df))["mse"]
     out = []
@@ -298,7 +298,7 @@ def normalized_importance(df: DataFrame, feature: str, value: str) -> DataFrame:
 
 def grouped_importance(df: DataFrame, feature: str, value: str, groups: DataFrame) -> DataFrame:
     """Mean importance per group of features; `groups` is a rule table (feature, group)."""
-    return df.join(F.broadcast(groups), feature).groupBy("group").agg(F.avg(value).alias("importance"), rows().alias("features"))
+    return df.join(broadcast_if_small(groups), feature).groupBy("group").agg(F.avg(value).alias("importance"), rows().alias("features"))
 
 
 # --- what-if ----------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ A plain ordered window puts a whole key on one task. Every function here first m
 group (one map-side combined count). Below `spark.gaugeworks.groupRows` it is the plain window. Above,
 the order axis is cut into ranges with about equal row counts, the window runs per (key, range), and
 what crosses a cut travels as a small summary row or as a bounded halo of neighbouring rows.
-Rows that share both key and first order column stay in one range.
+Rows that share the first order column are cut along the second one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from gaugeworks.session import durable, group_rows, scalar_row
 
 MAX_RANGES = 20_000
+DENSE_ROWS = 20_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -39,15 +40,42 @@ def axis(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def _orderable(df: DataFrame, name: str) -> bool:
+    kind = df.schema[name].dataType
+    return isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def _edges(df: DataFrame, col: str, n: int) -> list[float]:
+    return df.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+
+
+def _bucket(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:
+    cut = Bucketizer(splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol=col, outputCol=out, handleInvalid="keep")
+    return cut.transform(df)
+
+
 def cut_ranges(df: DataFrame, order: Sequence[str], rows: int, desc: bool = False) -> DataFrame:
-    """Add `_seg`, the range of the first order column a row falls in, about `rows` rows per range."""
+    """Add `_seg`, the range of the order columns a row falls in, about `rows` rows per range.
+
+    Edges are quantiles of the first order column, so a key's share of the rows does not matter. A value
+    held by more rows than a range shows as a repeated edge; it becomes a range of its own, which is cut
+    again along the second order column.
+    """
     pos = axis(df, order[0])
     df = df.withColumn("_axis", -pos if desc else pos)
     n = min(MAX_RANGES, max(1, math.ceil(df.count() / rows)))
-    edges = df.approxQuantile("_axis", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_seg", handleInvalid="keep")
-    return cut.transform(df).withColumn("_seg", F.col("_seg").cast("int")).drop("_axis")
+    edges = _edges(df, "_axis", n)
+    tied = sorted({e for e, f in zip(edges, edges[1:]) if e == f})
+    if not tied or len(order) < 2 or not _orderable(df, order[1]):
+        return _bucket(df, "_axis", edges, "_seg").withColumn("_seg", F.col("_seg").cast("long")).drop("_axis")
+    second = axis(df, order[1])
+    df = df.withColumn("_axis2", -second if desc else second)
+    held = df.filter(F.col("_axis").isin(tied))
+    inner = _edges(held, "_axis2", min(MAX_RANGES, max(1, math.ceil(held.count() / rows))))
+    own = [math.nextafter(e, math.inf) for e in tied]
+    df = _bucket(_bucket(df, "_axis", [*edges, *own], "_seg"), "_axis2", inner, "_seg2")
+    sub = F.when(F.col("_axis").isin(tied), F.col("_seg2")).otherwise(0.0)
+    return df.withColumn("_seg", (F.col("_seg") * (MAX_RANGES + 2) + sub).cast("long")).drop("_axis", "_axis2", "_seg2")
 
 
 def _sorted(order: Sequence[str], desc: bool) -> list[Column]:
@@ -95,16 +123,18 @@ def running(
     specs: dict[str, tuple[str, Column]],
     desc: bool = False,
     rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Aggregates over all rows up to and with the current one, per key.
 
     `specs` maps an output name to (kind, input); kinds are sum, count, max, min, last and first (the
-    last two skip nulls). One shuffle of the data; above the group limit also one small summary.
+    last two skip nulls). One shuffle of the data; above the group limit also one small summary. A caller
+    that already knows the size of the largest group passes it as `largest`.
     """
     keys = list(keys)
     limit = rows or group_rows(df.sparkSession)
     frame = (W.unboundedPreceding, W.currentRow)
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         w = W.partitionBy(*keys).orderBy(*_sorted(order, desc)).rowsBetween(*frame)
         return df.withColumns({n: _LOCAL[k](v).over(w) for n, (k, v) in specs.items()})
     out_cols = [c for c in df.columns if c not in specs]
@@ -129,10 +159,10 @@ def running(
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", desc: bool = False, rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", desc: bool = False, rows: int | None = None, largest: int | None = None
 ) -> DataFrame:
     """1-based place of a row within its key."""
-    return running(df, keys, order, {name: ("count", F.lit(1))}, desc, rows)
+    return running(df, keys, order, {name: ("count", F.lit(1))}, desc, rows, largest)
 
 
 def framed(
@@ -143,6 +173,7 @@ def framed(
     after: int,
     build: Callable[[W], dict[str, Column]],
     rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Window expressions that look at most `before` rows back and `after` rows ahead.
 
@@ -151,10 +182,11 @@ def framed(
     """
     keys = list(keys)
     limit = rows or group_rows(df.sparkSession)
-    if largest_group(df, keys) <= limit:
+    largest = largest_group(df, keys) if largest is None else largest
+    if largest <= limit:
         return df.withColumns(build(W.partitionBy(*keys).orderBy(*_sorted(order, False))))
     size = max(limit, before + after, 1)
-    placed = position(df, keys, order, "_pos", rows=limit)
+    placed = position(df, keys, order, "_pos", rows=limit, largest=largest)
     home = F.floor((F.col("_pos") - 1) / size)
     into = (F.col("_pos") - 1) % size
     blocks = F.array_compact(
@@ -170,17 +202,30 @@ def framed(
 
 
 def trailing(
-    df: DataFrame, keys: Sequence[str], micros: str, span: int, build: Callable[[W], dict[str, Column]]
+    df: DataFrame, keys: Sequence[str], micros: str, span: int, tie: str, count: str, first: str | None = None, dense: int = DENSE_ROWS
 ) -> DataFrame:
-    """Window expressions over the rows of the last `span` microseconds.
+    """Rows of the last `span` microseconds (both ends included) per row, and the time of the first of them.
 
-    The clock is cut into cells one span wide; a row is also copied into the next cell, so a cell holds
-    everything its rows can see and no task gets a whole key. `build` gets a window ordered by `micros`.
+    Sparse data: the clock is cut into cells one span wide and a row is copied into the next cell too, so
+    a cell holds all its rows can see. A sliding frame costs its length per row, hence for bursts, cells
+    above `dense` rows, both ends of every span become markers among the rows, and counts are
+    differences of one running count.
     """
-    cell = F.floor(F.col(micros) / F.lit(span))
-    spread = df.withColumn("_home", cell).withColumn("_cell", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = W.partitionBy(*keys, "_cell").orderBy(micros)
-    return spread.withColumns(build(w)).filter("_cell = _home").drop("_home", "_cell")
+    keys = list(keys)
+    celled = df.withColumn("_home", F.floor(F.col(micros) / F.lit(span)))
+    if largest_group(celled, [*keys, "_home"]) <= dense:
+        spread = celled.withColumn("_cell", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+        frame = W.partitionBy(*keys, "_cell").orderBy(micros).rangeBetween(-span, 0)
+        out = {count: F.count(F.lit(1)).over(frame), **({first: F.min(micros).over(frame)} if first else {})}
+        return spread.withColumns(out).filter("_cell = _home").drop("_home", "_cell")
+    t = F.col(micros)
+    marks = F.array(*[F.struct(x.alias("x"), F.lit(k).alias("k")) for x, k in ((t - span, 0), (t, 1), (t, 2))])
+    line = df.select(*keys, tie, F.explode(marks).alias("m")).select(*keys, tie, "m.x", "m.k").withColumn("_o", F.col("k"))
+    line = running(line, keys, ["x", "_o", tie], {"_c": ("sum", (F.col("k") == 1).cast("int"))})
+    line = running(line, keys, ["x", "_o", tie], {"_next": ("last", F.when(F.col("k") == 1, F.col("x")))}, desc=True)
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    got = line.groupBy(*keys, tie).agg((pick(2, "_c") - pick(0, "_c")).alias(count), *([pick(0, "_next").alias(first)] if first else []))
+    return df.join(got, [*keys, tie])
 
 
 def frequencies(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -264,12 +309,13 @@ def islands(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, name: str = "island", rows: int | None = None
 ) -> DataFrame:
     """Number the runs of equal `flag` per key: 1 for the first run, rising at every change."""
+    size = largest_group(df, keys)
     marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     changed = framed(
         marked, keys, order, 1, 0,
-        lambda w: {"_turn": F.when(F.col("_flag") == F.lag("_flag").over(w), 0).otherwise(1)}, rows,
+        lambda w: {"_turn": F.when(F.col("_flag") == F.lag("_flag").over(w), 0).otherwise(1)}, rows, size,
     )
-    return running(changed, keys, order, {name: ("sum", F.col("_turn"))}, rows=rows).drop("_flag", "_turn")
+    return running(changed, keys, order, {name: ("sum", F.col("_turn"))}, rows=rows, largest=size).drop("_flag", "_turn")
 
 
 Step = Callable[[pd.DataFrame, list[float]], tuple[dict[str, list], list[float]]]
@@ -308,11 +354,12 @@ def fold(
             out[f.name] = cols[f.name]
         return out
 
-    if largest_group(df, keys) <= limit:
+    largest = largest_group(df, keys)
+    if largest <= limit:
         grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit(0))
         return grouped.applyInPandas(emit, result)
 
-    placed = position(df, keys, order, "_pos", rows=limit)
+    placed = position(df, keys, order, "_pos", rows=limit, largest=largest)
     placed = durable(placed.withColumn("_block", F.floor((F.col("_pos") - 1) / limit).cast("long")).drop("_pos"))
     by = [*keys, "_block"]
     state_type = "array<double>"

@@ -281,7 +281,7 @@ def encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def preprocess(df: DataFrame, key: str, target: str, categorical: Sequence[str] = (), features: dict = FEATURES, method: str = "standard") -> DataFrame:
     """Clean, engineer, split and scale: statistics come from the training rows only."""
-    df = split(nan_to_null(df).dropDuplicates([key]), [key])
+    df = split(nan_to_null(df).dropDuplicates(), [key])
     train = df.filter("part = 'train'")
     nums = [c for c in numeric_columns(df) if c not in (key, target)]
     df = impute(df, nums, fit=train)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.learn import assemble
-from gaugeworks.operators.ordered import framed, position, running
+from gaugeworks.operators.ordered import framed, largest_group, position, running
 from gaugeworks.operators.windows import lag_features, partial_sums, resample, rolling
 from gaugeworks.session import durable
 
@@ -61,7 +61,8 @@ def decompose(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     """Additive trend (centred moving average, 2 x period for even periods), seasonal means, residual; interior rows."""
     keys = list(keys)
     half = period // 2
-    placed = position(df, keys, order, "_p")
+    most = largest_group(df, keys)
+    placed = position(df, keys, order, "_p", largest=most)
     size = placed.groupBy(*keys).agg(rows().alias("_n"))
 
     def build(w):
@@ -70,7 +71,7 @@ def decompose(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
         a, b = F.avg(value).over(w.rowsBetween(-half, half - 1)), F.avg(value).over(w.rowsBetween(-half + 1, half))
         return {"trend": (a + b) / 2}
 
-    got = framed(placed, keys, order, half, half, build).join(size, keys)
+    got = framed(placed, keys, order, half, half, build, largest=most).join(size, keys)
     inner = got.filter((F.col("_p") > half) & (F.col("_p") <= F.col("_n") - half)).withColumns({"phase": ((F.col("_p") - 1) % period).cast("int"), "_d": F.col(value) - F.col("trend")})
     phase = inner.groupBy(*keys, "phase").agg(F.avg("_d").alias("_s"))
     level = phase.groupBy(*keys).agg(F.avg("_s").alias("_m"))

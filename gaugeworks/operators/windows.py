@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeworks.operators.aggregate import rows
-from gaugeworks.operators.ordered import axis, fold, framed, islands, position, running, trailing
+from gaugeworks.operators.ordered import fold, framed, islands, largest_group, position, running, trailing
 from gaugeworks.operators.project import BOLTZMANN
 from gaugeworks.session import scalar_row
 
@@ -19,7 +19,8 @@ REFERENCE_PRESSURE = 1e5
 
 def sliding_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], temperature: str, density: str, confinement: str | None = None, n: int = 100) -> DataFrame:
     """Statistics of the last `n` rows: mean, population deviation, slope by position, triple product, beta, fill."""
-    placed = position(df, keys, order, "_place")
+    size = largest_group(df, keys)
+    placed = position(df, keys, order, "_place", largest=size)
     t, d = F.col(temperature), F.col(density)
     beta = t * d * F.lit(BOLTZMANN) / REFERENCE_PRESSURE
 
@@ -35,12 +36,14 @@ def sliding_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], te
             out |= {"avg_triple_product": F.avg(triple).over(f), "max_triple_product": F.max(triple).over(f)}
         return out
 
-    return framed(placed, keys, order, n - 1, 0, build).drop("_place")
+    return framed(placed, keys, order, n - 1, 0, build, largest=size).drop("_place")
 
 
 def slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int) -> DataFrame:
-    placed = position(df, keys, order, "_place")
-    return framed(placed, keys, order, n - 1, 0, lambda w: {"slope": F.coalesce(F.regr_slope(value, "_place").over(w.rowsBetween(-(n - 1), 0)), F.lit(0.0))}).drop("_place")
+    size = largest_group(df, keys)
+    placed = position(df, keys, order, "_place", largest=size)
+    fit = lambda w: {"slope": F.coalesce(F.regr_slope(value, "_place").over(w.rowsBetween(-(n - 1), 0)), F.lit(0.0))}
+    return framed(placed, keys, order, n - 1, 0, fit, largest=size).drop("_place")
 
 
 def gradient(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "gradient") -> DataFrame:
@@ -70,8 +73,10 @@ def rate_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 def lag_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lags: Sequence[int] = (1, 2, 3, 6, 12, 24)) -> DataFrame:
     """Earlier values as columns, the missing front filled with the first value of the key."""
-    with_first = running(df, keys, order, {"_first": ("first", F.col(value))})
-    return framed(with_first, keys, order, max(lags), 0, lambda w: {f"lag_{k}": F.coalesce(F.lag(value, k).over(w), F.col("_first")) for k in lags}).drop("_first")
+    size = largest_group(df, keys)
+    with_first = running(df, keys, order, {"_first": ("first", F.col(value))}, largest=size)
+    build = lambda w: {f"lag_{k}": F.coalesce(F.lag(value, k).over(w), F.col("_first")) for k in lags}
+    return framed(with_first, keys, order, max(lags), 0, build, largest=size).drop("_first")
 
 
 def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sizes: Sequence[int] = (3, 6, 12, 24)) -> DataFrame:
@@ -101,10 +106,11 @@ def fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, h
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Linear in row position between known values; leading nulls stay, trailing ones hold the last value."""
-    placed = position(df, keys, order, "_place")
+    size = largest_group(df, keys)
+    placed = position(df, keys, order, "_place", largest=size)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).cast("double").alias("v"), F.col("_place").alias("p")))
-    both = running(placed, keys, order, {"_prev": ("last", known)})
-    both = running(both, keys, order, {"_next": ("last", known)}, desc=True)
+    both = running(placed, keys, order, {"_prev": ("last", known)}, largest=size)
+    both = running(both, keys, order, {"_next": ("last", known)}, desc=True, largest=size)
     part = (F.col("_place") - F.col("_prev.p")) / (F.col("_next.p") - F.col("_prev.p"))
     line = F.col("_prev.v") + (F.col("_next.v") - F.col("_prev.v")) * part
     filled = F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(F.col("_prev").isNull(), None).when(F.col("_next").isNull(), F.col("_prev.v")).otherwise(line)
@@ -231,15 +237,9 @@ def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int)
     return position(df, keys, order, "place").filter(F.col("place") % n == 0)
 
 
-def event_rate(df: DataFrame, keys: Sequence[str], micros: str, seconds: int = 300) -> DataFrame:
+def event_rate(df: DataFrame, keys: Sequence[str], micros: str, tie: str, seconds: int = 300) -> DataFrame:
     """Events per second of the trailing span, over the time since the first event in it, at least 1 s."""
-    span = seconds * 1_000_000
-
-    def build(w):
-        f = w.rangeBetween(-span, 0)
-        return {"recent": F.count(F.lit(1)).over(f), "_start": F.min(micros).over(f)}
-
-    got = trailing(df, keys, micros, span, build)
+    got = trailing(df, keys, micros, seconds * 1_000_000, tie, "recent", "_start")
     return got.withColumn("rate", F.col("recent") / F.greatest((F.col(micros) - F.col("_start")) / 1e6, F.lit(1.0))).drop("_start")
 
 
@@ -261,11 +261,10 @@ def failure_risk(df: DataFrame, user: str, micros: str, tie: str, failed: Column
     return got.withColumns({"recent_failures": recent, "failure_risk": F.when(recent >= FAILURE_LIMIT, FAILURE_RISK).otherwise(0.0)}).drop("_seen", "_bad")
 
 
-def burst_risk(df: DataFrame, address: str, micros: str, seconds: int = 300, limit: int = BURST_LIMIT) -> DataFrame:
+def burst_risk(df: DataFrame, address: str, micros: str, tie: str, seconds: int = 300, limit: int = BURST_LIMIT) -> DataFrame:
     """Risk added when more than `limit` earlier events of the address are strictly younger than `seconds`."""
-    span = seconds * 1_000_000
-    got = trailing(df, [address], micros, span, lambda w: {"earlier": F.count(F.lit(1)).over(w.rangeBetween(-(span - 1), 0)) - 1})
-    return got.withColumn("burst_risk", F.when(F.col("earlier") > limit, BURST_RISK).otherwise(0.0))
+    got = trailing(df, [address], micros, seconds * 1_000_000 - 1, tie, "_n")
+    return got.withColumn("earlier", F.col("_n") - 1).withColumn("burst_risk", F.when(F.col("earlier") > limit, BURST_RISK).otherwise(0.0)).drop("_n")
 
 
 def audit_risk(base: Column, severity: Column, pattern: Column, hour: Column) -> Column:
@@ -288,10 +287,9 @@ def warning_rates(df: DataFrame, order: Sequence[str], truth: str, predicted: st
 def dequeue_order(df: DataFrame, priority: str, order: Sequence[str]) -> DataFrame:
     """Place in a queue served by priority, highest first, then by arrival."""
     within = position(df, [priority], order, "_within")
-    ahead = df.groupBy(priority).agg(rows().alias("_n"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(priority)).rowsBetween(W.unboundedPreceding, -1)
-    # One row per priority level: bounded by the number of levels, not by the queue.
-    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    sizes = df.groupBy(priority).agg(rows().alias("_n"))
+    ahead = running(sizes, [], [priority], {"_upto": ("sum", F.col("_n"))}, desc=True)
+    ahead = ahead.select(priority, (F.col("_upto") - F.col("_n")).alias("_ahead"))
     return within.join(ahead, priority).withColumn("place", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within")
 
 

@@ -13,6 +13,7 @@ from gaugeworks.operators.project import clip
 from gaugeworks.plans.aggregations import rounded
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.windows import HOLES_SQL, holes
+from gaugeworks.session import spread
 
 
 @query("srt_01_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")
@@ -203,7 +204,8 @@ def mutual(t):
 
 @query("cln_14_elimination")
 def elimination(t):
-    got = q.eliminate(t.lineitem.select(*FEATS, "l_extendedprice"), FEATS, "l_extendedprice", 1, trees=5, depth=4)
+    li = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *FEATS, "l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
+    got = q.eliminate(li, FEATS, "l_extendedprice", 1, trees=5, depth=4)
     return t.lineitem.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(k).alias("rank"), F.col("rows")) for c, k in got])).alias("c")).select("c.*")
 
 

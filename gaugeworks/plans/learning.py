@@ -9,7 +9,7 @@ from gaugeworks.operators import learn as m
 from gaugeworks.operators import project as p
 from gaugeworks.plans.aggregations import rounded
 from gaugeworks.plans.registry import query
-from gaugeworks.session import durable, rows_table
+from gaugeworks.session import rows_table, spread
 
 
 def facts(t):
@@ -24,7 +24,7 @@ COLS = ["q", "d", "x"]
 @query("mlx_01_kmeans_silhouette")
 def kmeans(t):
     e = t.embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
-    best, _ = m.best_kmeans(e, "v", range(2, 5))
+    best, _ = m.best_kmeans(e, "vec_id", "v", range(2, 5))
     return best.select("vec_id", "cluster")
 
 
@@ -54,7 +54,7 @@ def linear(t):
 
 @query("mlx_05_tree_models")
 def trees(t):
-    df = facts(t)
+    df = spread(facts(t), "key")
     a = m.fit(df, COLS, "y", "random_forest", trees=20).transform(df).select("key", F.col("prediction").alias("forest"))
     b = m.fit(df, COLS, "y", "gradient_boosting", trees=25).transform(df).select("key", F.col("prediction").alias("boosted"))
     return rounded(a.join(b, "key"), 4)
@@ -62,8 +62,8 @@ def trees(t):
 
 @query("mlx_06_compare_models")
 def compare(t):
-    df = m.hashed_folds(facts(t), ["key"])
-    train, valid = durable(df.filter("fold <> 0")), durable(df.filter("fold = 0"))
+    df = spread(m.hashed_folds(facts(t), ["key"]), "key")
+    train, valid = df.filter("fold <> 0"), df.filter("fold = 0")
     return rounded(m.compare(m.train_all(train, valid, COLS, "y", trees=20), {"train": train, "validation": valid}, "y"), 4)
 
 
@@ -86,8 +86,8 @@ def batch(t):
 
 @query("mlx_09_grid_search")
 def grid(t):
-    df = facts(t)
-    model, scores = m.cross_validated_search(df, COLS, "y", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3, draws=3)
+    df = spread(facts(t), "key")
+    model, scores = m.cross_validated_search(df, "key", COLS, "y", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3, draws=3)
     return rounded(model.transform(m.assemble(df, COLS)).select("key", "prediction"), 4)
 
 
@@ -134,7 +134,7 @@ def bootstrap(t):
 
 @query("mlx_15_permutation_importance")
 def permutation(t):
-    df = durable(facts(t))
+    df = spread(facts(t), "key")
     return rounded(m.permutation_importance(df, "key", COLS, "y", m.fit(df, COLS, "y"), 2), 2)
 
 

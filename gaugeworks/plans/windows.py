@@ -168,7 +168,7 @@ def milestones(t):
     SELECT event_id, recent, round(recent / greatest((us - a) / 1e6, 1.0), 9) AS rate FROM s""")
 def event_rate(t):
     e = t.events.select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rounded(w.event_rate(e, ["event_type"], "us", 3600).select("event_id", "recent", "rate"), 9)
+    return rounded(w.event_rate(e, ["event_type"], "us", "event_id", 3600).select("event_id", "recent", "rate"), 9)
 
 
 @query("win_18_minute_counts", "SELECT event_type, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n FROM events GROUP BY 1, 2")
@@ -184,7 +184,7 @@ RISK_SQL = """(WITH e AS (SELECT event_id, user_id % 3 AS who, user_id % 4 AS ad
 
 def risks(t):
     e = t.events.select("event_id", "event_type", "ts", (F.col("user_id") % 3).alias("who"), (F.col("user_id") % 4).alias("addr"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return w.burst_risk(w.failure_risk(e, "who", "us", "event_id", F.col("event_type").isin("error", "click")), "addr", "us", 21600, 20)
+    return w.burst_risk(w.failure_risk(e, "who", "us", "event_id", F.col("event_type").isin("error", "click")), "addr", "us", "event_id", 21600, 20)
 
 
 @query("win_19_failure_risk", f"SELECT event_id, recent_failures, CASE WHEN recent_failures >= 3 THEN 0.3::DOUBLE ELSE 0::DOUBLE END AS failure_risk FROM {RISK_SQL}")

@@ -62,6 +62,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all tasks by a hash of a unique key and written once, for fits that read them many times."""
+    return durable(df.repartition(*keys))
+
+
 def small(df: DataFrame, rows: int | None = None) -> bool:
     """True when `df` has at most `rows` rows; the probe stops as soon as it has seen one more."""
     limit = rows or broadcast_rows(df.sparkSession)
