@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.functions.stats import t_two_sided
 from gaugeworks.operators.ordered import average_rank, modes, nearest_rank, position, quantiles, running
-from gaugeworks.session import scalar_row
+from gaugeworks.session import match, scalar_row
 
 N = F.count
 
@@ -65,7 +65,7 @@ def describe(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     q = quantiles(df, keys, [col], [0.25, 0.5, 0.75]).withColumnRenamed(f"q_{col}", "_q")
     m = modes(df, keys, col)
     if keys:
-        base = base.join(q, keys).join(m, keys)
+        base = match(match(base, q, keys), m, keys, "left")
         quart, top, top_n = F.col("_q"), F.col("mode"), F.col("mode_n")
     else:
         quart, mode = scalar_row(q)["_q"], scalar_row(m)
@@ -215,7 +215,7 @@ def constants_and_infinities(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     base = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
     med = quantiles(df, by, [value], [0.5]).select(*by, F.col(f"q_{value}")[0].alias("median"))
-    return base.join(med, list(by))
+    return match(base, med, by)
 
 
 def attainment(df: DataFrame, value: str, thresholds: Sequence[float], dt: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:

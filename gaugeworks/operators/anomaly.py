@@ -19,7 +19,7 @@ from gaugeworks.operators.ordered import average_rank, framed, largest_group, po
 from gaugeworks.operators.project import row_mean
 from gaugeworks.operators.quality import center_and_mad, scale
 from gaugeworks.operators.windows import gradient, rate_flags
-from gaugeworks.session import durable, scalar_row, spread
+from gaugeworks.session import durable, match, scalar_row, spread
 
 # Guards and limits of the statistical scores.
 TINY, MODIFIED_FACTOR, MODIFIED_LIMIT, Z_LIMIT = 1e-8, 0.6745, 3.5, 3.0
@@ -75,7 +75,7 @@ def z_score(df: DataFrame, col: str, keys: Sequence[str] = (), limit: float = Z_
     keys = list(keys)
     stats = df.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
     if keys:
-        base = df.join(stats, keys)
+        base = match(df, stats, keys)
         m, s = F.col("_m"), F.col("_s")
     else:
         row = scalar_row(stats)
@@ -221,7 +221,7 @@ def metric_report(df: DataFrame, name: str, ts: str, value: str, limit: float =
     per = scored.groupBy(name).agg(rows().alias("total"), F.count_if("anomaly").alias("anomalies"))
     share = F.col("anomalies") / F.col("total")
     per = per.withColumn("level", F.when(share > 0.1, "high").when(share > 0.05, "medium").otherwise("low"))
-    return scored.filter("anomaly").select(name, ts, value, "score").join(per, name)
+    return match(scored.filter("anomaly").select(name, ts, value, "score"), per, [name])
 
 
 # --- isolation forest -------------------------------------------------------------------------------

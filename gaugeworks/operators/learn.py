@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import position, quantiles
-from gaugeworks.session import broadcast_if_small, durable, scalar_row, spread
+from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, spread
 
 # --- clustering -------------------------------------------------------------------------------------
 
@@ -70,7 +70,7 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_points
     sub-cells leave it open. Copies of a position are one weighted point.
     """
     side = eps / math.sqrt(2)
-    sub = side / 8
+    sub = side / 4
     spots = df.groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(rows().alias("w"), F.min(key).alias("id"))
     spots = spots.withColumns({"cx": F.floor(F.col("px") / side), "cy": F.floor(F.col("py") / side), "sx": F.floor(F.col("px") / sub), "sy": F.floor(F.col("py") / sub)})
     cells = spots.groupBy("cx", "cy").agg(F.sum("w").alias("cell_w"), F.min("id").alias("cell_id"))
@@ -155,7 +155,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, keys: Sequence
         (1 - F.try_divide(F.sum("_sq"), F.regr_syy("_y", "_y"))).alias("r2"), (F.avg(F.when(F.col("_y") != 0, F.col("_abs") / F.abs("_y"))) * 100).alias("mape"),
         (F.avg(F.col("_abs") / F.greatest(F.abs("_y"), F.lit(1e-8))) * 100).alias("mape_guarded"), F.max("_abs").alias("max_error"))
     med = quantiles(work, keys, ["_abs"], [0.5]).select(*keys, F.col("q__abs")[0].alias("median_error"))
-    return out.join(med, keys) if keys else out.withColumn("median_error", scalar_row(med)["median_error"])
+    return match(out, med, keys) if keys else out.withColumn("median_error", scalar_row(med)["median_error"])
 
 
 def physics_evaluation(df: DataFrame, truth: str, predicted: str) -> DataFrame:

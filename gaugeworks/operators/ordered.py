@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gaugeworks.session import durable, group_rows, scalar_row
+from gaugeworks.session import broadcast_if_small, durable, group_rows, match, scalar_row
 
 MAX_RANGES = 20_000
 DENSE_ROWS = 20_000
@@ -150,9 +150,8 @@ def running(
         *keys, "_seg", *[_CARRY[k](F.col(f"_sum_{n}")).over(before).alias(f"_carry_{n}") for n, (k, _) in specs.items()]
     )
     local = W.partitionBy(*keys, "_seg").orderBy(*_sorted(order, desc)).rowsBetween(*frame)
-    both = cut.join(carry, [*keys, "_seg"])
-    both = both.withColumns({f"_loc_{n}": _LOCAL[k](F.col(f"_in_{n}")).over(local) for n, (k, _) in specs.items()})
-    return both.select(
+    within = cut.withColumns({f"_loc_{n}": _LOCAL[k](F.col(f"_in_{n}")).over(local) for n, (k, _) in specs.items()})
+    return match(within, carry, [*keys, "_seg"]).select(
         *out_cols,
         *[_JOIN[k](F.col(f"_carry_{n}"), F.col(f"_loc_{n}")).alias(n) for n, (k, _) in specs.items()],
     )
@@ -225,7 +224,7 @@ def trailing(
     line = running(line, keys, ["x", "_o", tie], {"_next": ("last", F.when(F.col("k") == 1, F.col("x")))}, desc=True)
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     got = line.groupBy(*keys, tie).agg((pick(2, "_c") - pick(0, "_c")).alias(count), *([pick(0, "_next").alias(first)] if first else []))
-    return df.join(got, [*keys, tie])
+    return match(df, got, [*keys, tie])
 
 
 def frequencies(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -253,7 +252,7 @@ def quantiles(
     by = [*keys, "_col"]
     cum = running(freq, by, ["_val"], {"_cum": ("sum", F.col("_n"))}, rows=limit)
     total = freq.groupBy(*by).agg(F.sum("_n").alias("_tot"))
-    ranked = cum.join(total, by)
+    ranked = match(cum, total, by)
 
     def at(index: Column) -> Column:
         hit = (F.col("_cum") - F.col("_n") <= index) & (index < F.col("_cum"))
@@ -285,7 +284,7 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str,
     cum = running(freq, keys, [col], {"_cum": ("sum", F.col("_n"))}, rows=rows)
     total = freq.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
     if keys:
-        ranked = cum.join(total, keys)
+        ranked = match(cum, total, keys)
     else:
         ranked = cum.withColumn("_tot", scalar_row(total)["_tot"])
 
@@ -302,7 +301,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], col: str, name: str, rows:
     freq = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
     cum = running(freq, keys, [col], {"_cum": ("sum", F.col("_n"))}, rows=rows)
     ranks = cum.select(*keys, col, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(name))
-    return df.join(ranks, [*keys, col])
+    return match(df, ranks, [*keys, col])
 
 
 def islands(
@@ -380,11 +379,11 @@ def fold(
         todo = table.filter("_todo and _next is not null").select(*by, "_state")
         if todo.isEmpty():
             break
-        ran = placed.join(F.broadcast(todo) if todo.count() <= 10_000 else todo, by).groupBy(*by).applyInPandas(leave, exit_type)
-        merged = table.drop("_todo").join(ran.withColumnRenamed("_exit", "_new"), by, "left")
+        ran = match(placed, broadcast_if_small(todo), by).groupBy(*by).applyInPandas(leave, exit_type)
+        merged = match(table.drop("_todo"), ran.withColumnRenamed("_exit", "_new"), by, "left")
         merged = merged.withColumn("_exit", F.coalesce("_new", "_exit")).drop("_new")
         entry = F.coalesce(F.lag("_exit").over(chain), entry0)
         moved = merged.withColumn("_entry", entry)
         table = durable(moved.withColumn("_todo", F.col("_entry") != F.col("_state")).withColumn("_state", F.col("_entry")).drop("_entry"))
-    ready = placed.join(table.select(*by, "_state"), by)
+    ready = match(placed, table.select(*by, "_state"), by)
     return ready.groupBy(*by).applyInPandas(emit, result)

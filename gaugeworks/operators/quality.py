@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeworks.operators.aggregate import fences, numeric_columns, rows
 from gaugeworks.operators.ordered import modes, quantiles, running
 from gaugeworks.operators.project import FEATURES, engineer
-from gaugeworks.session import durable, scalar_row
+from gaugeworks.session import durable, match, scalar_row
 
 # Parameter, min, max, typical min, typical max.
 CONSTRAINTS = [
@@ -128,13 +128,13 @@ def center_and_mad(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ())
     keys = list(keys)
     med = quantiles(df, keys, cols, [0.25, 0.5, 0.75])
     if keys:
-        dev = df.join(med, keys).select(*keys, *[F.abs(F.col(c) - F.col(f"q_{c}")[1]).alias(c) for c in cols])
+        dev = match(df, med, keys).select(*keys, *[F.abs(F.col(c) - F.col(f"q_{c}")[1]).alias(c) for c in cols])
     else:
         m = scalar_row(med)
         dev = df.select(*[F.abs(F.col(c) - m[f"q_{c}"][1]).alias(c) for c in cols])
     mad = quantiles(dev, keys, cols, [0.5]).select(*keys, *[F.col(f"q_{c}")[0].alias(f"mad_{c}") for c in cols])
     if keys:
-        return med.join(mad, keys)
+        return match(med, mad, keys)
     m2 = scalar_row(mad)
     return med.withColumns({f"mad_{c}": m2[f"mad_{c}"] for c in cols})
 

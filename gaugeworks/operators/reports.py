@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import nearest_rank, quantiles
-from gaugeworks.session import scalar_row
+from gaugeworks.session import match, scalar_row
 
 # Service level targets (name, comparison, target, window in seconds).
 SLA_TARGETS = [
@@ -50,7 +50,7 @@ def metric_summary(df: DataFrame, name: str, value: str, ts: str, start: str | N
     df = in_range(df, ts, start, end)
     base = df.groupBy(name).agg(rows().alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("sum"),
                                 F.max_by(value, ts).alias("latest"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    return base.join(quantiles(df, [name], [value], [0.5]).select(name, F.col(f"q_{value}")[0].alias("median")), name)
+    return match(base, quantiles(df, [name], [value], [0.5]).select(name, F.col(f"q_{value}")[0].alias("median")), [name])
 
 
 def operation_profile(df: DataFrame, op: str, seconds: str, ts: str) -> DataFrame:
@@ -91,15 +91,16 @@ def hourly(df: DataFrame, ts: str, seconds: str, memory: Column) -> DataFrame:
     return df.groupBy(hour).agg(rows().alias("count"), F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.avg(memory).alias("avg_memory"))
 
 
-def halving_average(df: DataFrame, keys: Sequence[str], value: str, ts: str, depth: int = 1100) -> DataFrame:
+def halving_average(df: DataFrame, keys: Sequence[str], value: str, ts: str, depth: int = 1000) -> DataFrame:
     """The recurrence a <- (a + x) / 2 started at the first value, per key.
 
-    Weights halve going back in time, so a double holds nothing of rows more than 1100 back; the ranked
-    filter keeps only that many per key and is applied before the shuffle.
+    Weights halve going back in time: rows more than 1000 back weigh less than 2**-1000, far below the
+    precision of a double. The rank filter keeps that many per key and is applied before the shuffle.
     """
     back = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))
     n = df.groupBy(*keys).agg(rows().alias("_n"))
-    recent = df.select(*keys, value, ts).withColumn("_back", back).filter(F.col("_back") <= depth).join(n, list(keys))
+    recent = df.select(*keys, value, ts).withColumn("_back", back).filter(F.col("_back") <= depth)
+    recent = match(recent, n, keys)
     power = F.when(F.col("_back") == F.col("_n"), F.col("_back") - 1).otherwise(F.col("_back"))
     return recent.groupBy(*keys).agg(F.sum(F.col(value) * F.pow(F.lit(2.0), -power)).alias("halving_avg"))
 
@@ -107,7 +108,7 @@ def halving_average(df: DataFrame, keys: Sequence[str], value: str, ts: str, dep
 def event_metrics(df: DataFrame, kind: str, value: str, ts: str, error: Column) -> DataFrame:
     base = df.groupBy(kind).agg(rows().alias("count"), F.count_if(error).alias("errors"), F.avg(value).alias("avg_time"), F.max(ts).alias("last_ts"))
     base = base.withColumn("error_rate", F.col("errors") / F.col("count"))
-    return base.join(halving_average(df, [kind], value, ts), kind)
+    return match(base, halving_average(df, [kind], value, ts), [kind])
 
 
 def error_summary(df: DataFrame, kind: str, error: Column) -> DataFrame:
@@ -125,7 +126,7 @@ def processing_percentiles(df: DataFrame, value: str, keys: Sequence[str] = ())
     rank = nearest_rank(live, keys, value, {"p95": 0.95, "p99": 0.99})
     med = quantiles(live, keys, [value], [0.5]).select(*keys, F.col(f"q_{value}")[0].alias("median"))
     if keys:
-        return base.join(rank, keys).join(med, keys)
+        return match(match(base, rank, keys), med, keys)
     s, m = scalar_row(rank), scalar_row(med)
     return base.withColumns({"p95": s["p95"], "p99": s["p99"], "median": m["median"]})
 

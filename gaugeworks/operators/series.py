@@ -18,7 +18,7 @@ from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.learn import assemble
 from gaugeworks.operators.ordered import framed, largest_group, position, running
 from gaugeworks.operators.windows import lag_features, partial_sums, resample, rolling
-from gaugeworks.session import durable
+from gaugeworks.session import durable, match
 
 MIN_POINTS = 10
 # 5% critical values of the Dickey-Fuller (constant, no trend) and KPSS (level) statistics.
@@ -71,11 +71,12 @@ def decompose(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
         a, b = F.avg(value).over(w.rowsBetween(-half, half - 1)), F.avg(value).over(w.rowsBetween(-half + 1, half))
         return {"trend": (a + b) / 2}
 
-    got = framed(placed, keys, order, half, half, build, largest=most).join(size, keys)
+    got = framed(placed, keys, order, half, half, build, largest=most)
+    got = match(got, size, keys)
     inner = got.filter((F.col("_p") > half) & (F.col("_p") <= F.col("_n") - half)).withColumns({"phase": ((F.col("_p") - 1) % period).cast("int"), "_d": F.col(value) - F.col("trend")})
     phase = inner.groupBy(*keys, "phase").agg(F.avg("_d").alias("_s"))
     level = phase.groupBy(*keys).agg(F.avg("_s").alias("_m"))
-    out = inner.join(phase.join(level, keys).select(*keys, "phase", (F.col("_s") - F.col("_m")).alias("seasonal")), [*keys, "phase"])
+    out = match(inner, match(phase, level, keys).select(*keys, "phase", (F.col("_s") - F.col("_m")).alias("seasonal")), [*keys, "phase"])
     return out.withColumn("residual", F.col("_d") - F.col("seasonal")).drop("_p", "_n", "_d")
 
 
@@ -94,7 +95,7 @@ def stationarity(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     d = d.select(*keys, F.try_divide("_b", F.sqrt(F.try_divide(rest, (F.col("_n") - 2) * F.col("_sxx")))).alias("df_statistic"))
     sums = partial_sums(df, keys, order, value)
     k = sums.groupBy(*keys).agg(F.try_divide(F.sum(F.pow("partial_sum", F.lit(2))), F.pow(F.count(F.lit(1)), F.lit(2)) * F.var_pop(value)).alias("kpss_statistic"))
-    out = d.join(k, keys)
+    out = match(d, k, keys)
     return out.withColumn("stationary", (F.col("df_statistic") < DF_CRITICAL) & (F.col("kpss_statistic") < KPSS_CRITICAL))
 
 

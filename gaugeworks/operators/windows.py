@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import fold, framed, islands, largest_group, position, running, trailing
 from gaugeworks.operators.project import BOLTZMANN
-from gaugeworks.session import scalar_row
+from gaugeworks.session import match, scalar_row
 
 REFERENCE_PRESSURE = 1e5
 
@@ -290,12 +290,12 @@ def dequeue_order(df: DataFrame, priority: str, order: Sequence[str]) -> DataFra
     sizes = df.groupBy(priority).agg(rows().alias("_n"))
     ahead = running(sizes, [], [priority], {"_upto": ("sum", F.col("_n"))}, desc=True)
     ahead = ahead.select(priority, (F.col("_upto") - F.col("_n")).alias("_ahead"))
-    return within.join(ahead, priority).withColumn("place", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within")
+    return match(within, ahead, [priority]).withColumn("place", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within")
 
 
 def partial_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Running sum of the deviations from the mean."""
     keys = list(keys)
     mean = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    both = df.join(mean, keys) if keys else df.withColumn("_mean", scalar_row(mean)["_mean"])
+    both = match(df, mean, keys) if keys else df.withColumn("_mean", scalar_row(mean)["_mean"])
     return running(both, keys, order, {"partial_sum": ("sum", F.col(value) - F.col("_mean"))}).drop("_mean")

@@ -245,7 +245,7 @@ def hourly(t):
     WITH b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_type, count(*) AS count, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) > 80) AS errors, round(avg(value), 6) AS avg_time, max(ts) AS last_ts,
            round(count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) > 80) / count(*), 6) AS error_rate,
-           round(sum(CASE WHEN back <= 1100 THEN value * pow(2.0::DOUBLE, -(CASE WHEN back = n THEN back - 1 ELSE back END)) END), 6) AS halving_avg FROM b GROUP BY 1""")
+           round(sum(CASE WHEN back <= 1000 THEN value * pow(2.0::DOUBLE, -(CASE WHEN back = n THEN back - 1 ELSE back END)) END), 6) AS halving_avg FROM b GROUP BY 1""")
 def event_metrics(t):
     return rounded(rep.event_metrics(t.events, "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("int") > 80))
 

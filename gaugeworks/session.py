@@ -78,6 +78,16 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def match(left: DataFrame, right: DataFrame, by, how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name in which null equals null, so that no group is lost."""
+    by = list(by)
+    if not by:
+        raise ValueError("match needs key columns")
+    other = right.withColumnsRenamed({c: f"_match_{c}" for c in by})
+    cond = [left[c].eqNullSafe(other[f"_match_{c}"]) for c in by]
+    return left.join(other, cond, how).drop(*[f"_match_{c}" for c in by])
+
+
 def scalar_row(df: DataFrame):
     """A one-row aggregate as a struct column: a scalar subquery, planned once, nothing joined."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("s")).scalar()

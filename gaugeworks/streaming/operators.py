@@ -47,11 +47,11 @@ def sliding_batches(spark: SparkSession, schema: T.StructType, keys: Sequence[st
     tail = TailState(spark, state, schema)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        old = tail.before(epoch)
-        both = old.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))
+        both = tail.before(epoch).withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True))).persist()
         got = sliding_metrics(both, keys, order, temperature, density, confinement, n)
         write_batch(got.filter("_new").drop("_new"), out, epoch)
         tail.keep(latest_rows(both.drop("_new"), keys, order, n - 1), epoch)
+        both.unpersist()
 
     return handle
 
@@ -65,9 +65,10 @@ def cooldown_batches(spark: SparkSession, schema: T.StructType, keys: Sequence[s
 
     def handle(batch: DataFrame, epoch: int) -> None:
         both = tail.before(epoch).withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))
-        got = cooldown_alerts(both, keys, micros, tie, condition, wait_seconds)
+        got = cooldown_alerts(both, keys, micros, tie, condition, wait_seconds).persist()
         write_batch(got.filter("_new").drop("_new"), out, epoch)
         tail.keep(latest_rows(got.filter("fired").drop("_new", "fired"), keys, [micros, tie], 1), epoch)
+        got.unpersist()
 
     return handle
 

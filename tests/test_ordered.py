@@ -16,7 +16,7 @@ def data():
     n = 900
     t = rng.integers(0, 5000, n) * 1_000_000
     t[rng.random(n) < 0.33] = 2_500_000_000
-    return pd.DataFrame({"key": np.where(rng.random(n) < 0.6, "hot", rng.choice(list("abc"), n)), "t": t, "id": np.arange(n), "v": np.round(rng.normal(50, 20, n), 3)})
+    return pd.DataFrame({"key": np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", None], n)), "t": t, "id": np.arange(n), "v": np.round(rng.normal(50, 20, n), 3)})
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,7 @@ def test_framed_split_equals_plain(df):
 def test_quantiles_match_numpy(df, data, rows):
     got = {r["key"]: r["q_v"] for r in o.quantiles(df, ["key"], ["v"], [0, 0.25, 0.5, 0.9, 1], rows).collect()}
     live = data[data["id"] % 4 != 0]
+    assert None in got
     for k, g in live.groupby("key"):
         assert np.allclose(got[k], np.quantile(g["v"], [0, 0.25, 0.5, 0.9, 1]))
 
@@ -73,6 +74,7 @@ def test_trailing_burst_path_equals_sliding_frame_and_brute_force(df, data):
     a = o.trailing(df, ["key"], "t", 300_000_000, "id", "n", "a")
     b = o.trailing(df, ["key"], "t", 300_000_000, "id", "n", "a", dense=0)
     same(a, b)
+    data = data.fillna({"key": "none"})
     brute = [((data["key"] == r.key) & (data["t"] <= r.t) & (data["t"] >= r.t - 300_000_000)).sum() for r in data.itertuples()]
     assert a.orderBy("id").toPandas()["n"].tolist() == brute
 
@@ -93,7 +95,7 @@ def brute_cooldown(pdf, wait):
 
 
 def test_cooldown_split_equals_brute_force(spark, df, data):
-    live = data[(data["id"] % 4 != 0) & (data["v"] > 40)]
+    live = data[(data["id"] % 4 != 0) & (data["v"] > 40)].fillna({"key": "none"})
     want = brute_cooldown(live, 120_000_000)
     for limit in ("1000000", "30"):
         spark.conf.set("spark.gaugeworks.groupRows", limit)
