@@ -305,6 +305,22 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
     return scored.withColumn("anomaly", F.col("score") > edge)
 
 
+def comprehensive(df: DataFrame, key: str, cols: Sequence[str], keys: Sequence[str], order: Sequence[str], rules: Sequence[Rule] = PATTERNS, trees: int = 50) -> DataFrame:
+    """All methods side by side per row: z-score and fences over any column, forest, patterns, and their consensus."""
+    s = scalar_row(df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
+    f = scalar_row(fences(df, cols))
+    either = lambda conds: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conds])
+    out = isolation_forest(df, key, cols, trees).withColumnRenamed("anomaly", "forest_flag").withColumnRenamed("score", "forest_score")
+    out = out.withColumns({
+        "z_flag": either([F.abs((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] + TINY)) > Z_LIMIT for c in cols]),
+        "iqr_flag": either([(F.col(c) < f[f"{c}_lower"]) | (F.col(c) > f[f"{c}_upper"]) for c in cols]),
+    })
+    out = pattern_flags(out, keys, order, rules)
+    names = [n for n in dict.fromkeys(r.pattern for r in rules) if n in out.columns]
+    out = out.withColumn("pattern_flag", either([F.col(n) for n in names]) if names else F.lit(False))
+    return consensus(out, ["z_flag", "iqr_flag", "forest_flag", "pattern_flag"])
+
+
 # --- local outlier factor on one axis ---------------------------------------------------------------
 
 

@@ -290,6 +290,14 @@ def permutation_importance(df: DataFrame, key: str, cols: Sequence[str], label:
     return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
 
 
+def importances(model: Model, cols: Sequence[str]) -> list[tuple[str, float]]:
+    """Tree importances, or absolute coefficients as shares of their sum, of a fitted regression."""
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    raw = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    total = float(raw.sum()) or 1.0
+    return sorted(((c, float(v) / total) for c, v in zip(cols, raw)), key=lambda p: (-p[1], p[0]))
+
+
 def normalized_importance(df: DataFrame, feature: str, value: str) -> DataFrame:
     """Absolute values as shares of their sum."""
     total = scalar_row(df.agg(F.sum(F.abs(value)).alias("t")))

@@ -118,9 +118,16 @@ def report(t):
     return an.column_report(t.lineitem, COLS)
 
 
+@query("ano_12_comprehensive")
+def comprehensive(t):
+    e = t.events.select("event_id", "user_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    got = an.comprehensive(e, "event_id", ["value", "k"], ["user_id"], ["ts", "event_id"], RULES, 20)
+    return got.select("event_id", "z_flag", "iqr_flag", "forest_flag", "pattern_flag", "votes", "consensus")
+
+
 @query("ano_13_isolation_forest")
 def forest(t):
-    li = t.lineitem.selectExpr("monotonically_increasing_id() no", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey) key").drop("no")
+    li = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey) key")
     return rounded(an.isolation_forest(li, "key", COLS, trees=100).select("l_orderkey", "l_linenumber", "l_partkey", "score", "anomaly"))
 
 

@@ -195,6 +195,7 @@ def test_regression_family_and_importance(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(600), "a": x[:, 0], "b": x[:, 1], "y": 4 * x[:, 0] + 0.5 * x[:, 1] + rng.normal(scale=0.1, size=600)})).cache()
     model = m.fit(df, ["a", "b"], "y")
     assert m.regression_metrics(model.transform(df), "y", "prediction").first()["r2"] > 0.99
+    assert m.importances(model, ["a", "b"])[0][0] == "a" == m.importances(m.fit(df, ["a", "b"], "y", "random_forest", trees=5), ["a", "b"])[0][0]
     imp = {r["feature"]: r["importance"] for r in m.permutation_importance(df, "id", ["a", "b"], "y", model, 2).collect()}
     assert imp["a"] > imp["b"] > 0
     boot = {r["feature"]: r for r in m.bootstrap(df, "id", ["a", "b"], "y", 8).collect()}
@@ -244,3 +245,13 @@ def test_edge_rows(spark):
     assert a.histogram(one, "v", 5).agg(F.sum("n")).first()[0] == 1
     clean = q.nan_to_null(spark.createDataFrame([(float("nan"),), (1.0,)], "v double"))
     assert clean.filter("v is null").count() == 1
+
+
+def test_comprehensive_run_agrees_on_a_planted_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(50, 5, 300)
+    x[100] = 500
+    df = spark.createDataFrame(pd.DataFrame({"id": range(300), "x": x, "y": rng.normal(0, 1, 300)}))
+    got = an.comprehensive(df, "id", ["x", "y"], [], ["id"], [an.Rule("surge", "critical", "x", "max", 200)], 30)
+    row = got.filter("id = 100").first()
+    assert row["votes"] == 4 and row["consensus"] and got.filter("consensus").count() < 30

@@ -9,7 +9,7 @@ from gaugeworks.operators import project as p
 from gaugeworks.operators import sets
 from gaugeworks.operators.cube import Cube
 from gaugeworks.session import checkpoint_dir, rows_table
-from gaugeworks.sources import external, files
+from gaugeworks.sources import external, files, tables
 
 
 def test_read_errors(spark, tmp_path):
@@ -118,3 +118,16 @@ def test_custom_step_kind_and_rules(spark, tmp_path):
 def test_set_difference_and_rule_tables(spark):
     assert sets.missing_columns(spark.range(1), ["id", "x"]) == ["x"]
     assert rows_table(spark, [("a", 1)], "n string, v int").count() == 1
+
+
+def test_declared_tables_parse_and_keep_their_not_null_columns(spark):
+    for ddl in (tables.EXPERIMENTS, tables.SHOTS, tables.MEASUREMENTS, tables.PREDICTIONS):
+        schema = spark.createDataFrame([], ddl).schema
+        assert schema["id"].nullable is False and len(schema) > 10
+
+
+def test_constraint_checks_find_duplicates_and_orphans(spark):
+    child = spark.createDataFrame([(1, 1), (1, 1), (2, 9)], "id int, parent int")
+    parent = spark.createDataFrame([(1,)], "pid int")
+    got = {r["rule"]: r["violations"] for r in tables.constraint_report({"dup": tables.duplicate_keys(child, ["id"]), "orphan": tables.orphans(child, "parent", parent, "pid")}).collect()}
+    assert got == {"dup": 1, "orphan": 1}
