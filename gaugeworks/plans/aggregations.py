@@ -109,10 +109,10 @@ def trend(t):
 
 
 @query("agg_11_quantile_fences", """
-    SELECT l_returnflag, round(q1, 4) AS l_extendedprice_q1, round(q3, 4) AS l_extendedprice_q3, round(q3 - q1, 4) AS l_extendedprice_iqr, round(q1 - 1.5 * (q3 - q1), 4) AS l_extendedprice_lower, round(q3 + 1.5 * (q3 - q1), 4) AS l_extendedprice_upper
+    SELECT l_returnflag, round(q1, 7) AS l_extendedprice_q1, round(q3, 7) AS l_extendedprice_q3, round(q3 - q1, 7) AS l_extendedprice_iqr, round(q1 - 1.5 * (q3 - q1), 7) AS l_extendedprice_lower, round(q3 + 1.5 * (q3 - q1), 7) AS l_extendedprice_upper
     FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)""")
 def fences(t):
-    return rounded(a.fences(t.lineitem, ["l_extendedprice"], keys=["l_returnflag"]), 4)
+    return rounded(a.fences(t.lineitem, ["l_extendedprice"], keys=["l_returnflag"]), 7)
 
 
 @query("agg_12_quality_score", """

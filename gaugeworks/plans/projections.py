@@ -153,8 +153,8 @@ def scenario(t):
 
 
 @query("prj_20_formula_metrics", """
-    SELECT o_orderkey, coalesce(round(o_totalprice / nullif(o_custkey, 0), 7), CAST(0 AS DOUBLE)) AS ratio, o_totalprice AS direct, CAST(0 AS DOUBLE) AS unknown FROM orders""")
+    SELECT o_orderkey, coalesce(round(sqrt(o_totalprice) / nullif(o_custkey, 0), 7), CAST(0 AS DOUBLE)) AS ratio, o_totalprice AS direct, CAST(0 AS DOUBLE) AS unknown FROM orders""")
 def formulas(t):
-    df = t.orders
-    return df.select("o_orderkey", r(p.formula(df, "o_totalprice / o_custkey"), 7).alias("ratio"),
+    df = t.orders.withColumn("root", F.sqrt("o_totalprice"))
+    return df.select("o_orderkey", r(p.formula(df, "root / o_custkey"), 7).alias("ratio"),
                      p.formula(df, "o_totalprice").alias("direct"), p.formula(df, "energy_output / energy_input").alias("unknown"))
