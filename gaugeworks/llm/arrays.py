@@ -20,6 +20,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
+def both_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n at least of a base and of its inverse modulo 2 ** 64; kept unless one text is very long."""
+    size = PIECE + (PIECE >> 2)
+    f, m = (powers, size) if n <= size else (powers.__wrapped__, n)
+    return f(base, m), f(pow(base, -1, 1 << 64), m)
+
+
 @lru_cache(maxsize=None)
 def byte_values() -> np.ndarray:
     """A fixed random value for each byte."""
@@ -70,17 +77,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for every span, equal for equal bytes wherever they stand; spans in order of start."""
     out = np.empty(len(starts), U)
-    i, base = 0, 0x5851F42D4C957F2D
+    i = 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, lo + PIECE)))
         hi = int(ends[i:j].max())
         n = hi - lo
-        p = powers(base, PIECE if n <= PIECE else n) if n <= 4 * PIECE else powers.__wrapped__(base, n)
+        up, down = both_powers(0x5851F42D4C957F2D, n)
         h = np.zeros(n + 1, U)
-        np.cumsum(byte_values()[data[lo:hi]] * p[:n], out=h[1:])
+        np.cumsum(byte_values()[data[lo:hi]] * up[:n], out=h[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((h[e] - h[s]) * p[n - s] + (e - s).astype(U))
+        out[i:j] = mix((h[e] - h[s]) * down[s] + (e - s).astype(U))
         i = j
     return out
 
@@ -90,14 +97,14 @@ def run_hashes(items: np.ndarray, n: int) -> np.ndarray:
     m = len(items) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    out, base, step = np.empty(m, U), 0xD1342543DE82EF95, 1 << 18
+    out, step = np.empty(m, U), 1 << 18
     for i in range(0, m, step):
         part = items[i : min(m, i + step) + n - 1]
-        p = powers(base, step + 4096) if len(part) <= step + 4096 else powers.__wrapped__(base, len(part))
+        up, down = both_powers(0xD1342543DE82EF95, len(part))
         h = np.zeros(len(part) + 1, U)
-        np.cumsum(part * p[: len(part)], out=h[1:])
+        np.cumsum(part * up[: len(part)], out=h[1:])
         k = len(part) - n + 1
-        out[i : i + k] = mix((h[n:] - h[:k]) * p[len(part) - np.arange(k)])
+        out[i : i + k] = mix((h[n:] - h[:k]) * down[:k])
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import decontaminate, lines, packing
+from gaugeworks.llm import decontaminate, lines, packing, substrings
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -70,3 +70,20 @@ def op7(spark, sf_dir):
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), batches=4)
     s = F.col("_lines")
     return out.select("doc_id", s.n_lines.alias("n_lines"), s.n_dropped.alias("n_dropped"), F.sha2(s.kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH word AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM word WHERE len(w) >= 35)),
+    rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+    hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (k)),
+    each AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM word),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM each ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM word LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op9(spark, sf_dir):
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
