@@ -57,3 +57,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows of `df` by a hash of `key`, all if there are no more; the same rows at every run."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to a new folder below the shared one, and read from there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import decontaminate, lines, packing, substrings, suffixes
+from gaugeworks.llm import classifier, decontaminate, lines, packing, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -93,3 +93,19 @@ def op9(spark, sf_dir):
 def op8(spark, sf_dir):
     out = suffixes.remove_later_copies(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def crc_mod(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def quality_model(spark, sf_dir):
+    """Learnt from labels whose crc32(doc_id) mod 5 is not 0."""
+    return classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(crc_mod(5) != 0))
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    out = classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return out.select("doc_id", (crc_mod(5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
