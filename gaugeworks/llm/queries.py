@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import classifier, decontaminate, lines, packing, substrings, suffixes
+from gaugeworks.llm import classifier, decontaminate, language, lines, packing, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -109,3 +109,11 @@ def quality_model(spark, sf_dir):
 def op10(spark, sf_dir):
     out = classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
     return out.select("doc_id", (crc_mod(5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(crc_mod(4) != 2))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod(4) == 2).alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))
