@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import classifier, decontaminate, language, lines, packing, substrings, suffixes
+from gaugeworks.llm import classifier, decontaminate, language, lines, ngrams, packing, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -117,3 +117,23 @@ def op3(spark, sf_dir):
     model = language.fit(docs.where(crc_mod(4) != 2))
     out = language.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (crc_mod(4) == 2).alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))
+
+
+@query(
+    "op2_lm_scoring",
+    r"""
+    WITH word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    pos AS (SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] END AS p1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2,
+                   CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS p2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word)),
+    c1 AS (SELECT g1 AS k, count(*) AS n FROM pos GROUP BY 1), c2 AS (SELECT g2 AS k, count(*) AS n FROM pos WHERE g2 IS NOT NULL GROUP BY 1),
+    c3 AS (SELECT g3 AS k, count(*) AS n FROM pos WHERE g3 IS NOT NULL GROUP BY 1),
+    s AS (SELECT doc_id, CASE WHEN t.n >= 2 THEN ln(t.n) - ln(tp.n) WHEN b.n >= 2 THEN ln(b.n) - ln(bp.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                              ELSE ln(u.n) - ln((SELECT count(*) FROM pos)) + least(i - 1, 2) * ln(0.4) END AS v
+          FROM pos LEFT JOIN c3 t ON t.k = g3 LEFT JOIN c2 tp ON tp.k = p2 LEFT JOIN c2 b ON b.k = g2 LEFT JOIN c1 bp ON bp.k = p1 LEFT JOIN c1 u ON u.k = g1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(sum(v), 0), 4) + 0.0 AS score FROM word LEFT JOIN s USING (doc_id) GROUP BY doc_id, len(w)
+    """,
+)
+def op2(spark, sf_dir):
+    out = ngrams.stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", (F.round("score", 4) + F.lit(0.0)).alias("score"))
