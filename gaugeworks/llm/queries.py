@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import classifier, decontaminate, language, lines, ngrams, packing, substrings, suffixes
+from gaugeworks.llm import classifier, decontaminate, language, lines, neighbours, ngrams, packing, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -137,3 +137,9 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     out = ngrams.stupid_backoff(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    vectors = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.search(vectors, vectors.where(F.pmod("id", F.lit(100)) == 0).select("id"))
