@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import classifier, decontaminate, language, lines, neighbours, ngrams, packing, substrings, suffixes
+from gaugeworks.llm import classifier, decontaminate, language, lines, near, neighbours, ngrams, packing, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -143,3 +143,9 @@ def op2(spark, sf_dir):
 def op5(spark, sf_dir):
     vectors = neighbours.usable(table(spark, sf_dir, "embeddings"))
     return neighbours.search(vectors, vectors.where(F.pmod("id", F.lit(100)) == 0).select("id"))
+
+
+@query("op1_jaccard_join")
+def op1(spark, sf_dir):
+    out = near.near_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_texts")
