@@ -139,8 +139,8 @@ def build(nodes: DataFrame, code: str, degree: int = DEGREE, trees: int = TREES,
         found = met.select("members").mapInArrow(close_pairs(code, degree // 2), "u bigint, v bigint, d double")
         old = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d")
         graph = kept_table(nearest(old.unionByName(found.select("u", "v", "d")), degree), "graph")
-        now = graph.select(F.aggregate("near.d", F.lit(0.0), lambda s, x: s + x).alias("s"), F.size("near").alias("n")).agg(F.sum("n"), F.sum("s")).first()
-        if total and now[0] == total[0] and total[1] - now[1] < 0.001 * total[1]:
+        now = graph.select(F.aggregate("near.d", F.lit(0.0), lambda s, x: s + x).alias("s"), F.size("near").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+        if total and now[0] == total[0] and total[1] - now[1] <= 0.001 * total[1]:
             break
         total = now
     return graph
