@@ -95,7 +95,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks, on the table of distinct pairs weighted by count."""
+    """Pearson correlation of average ranks, on the table of distinct complete pairs weighted by count."""
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     freq = df.groupBy(x, y).agg(rows().alias("_w"))
 
     def ranks(c: str, name: str) -> DataFrame:

@@ -131,7 +131,7 @@ def regressors(features: str, label: str, seed: int = 42, trees: int = 100) -> d
         "ridge": LinearRegression(featuresCol=features, labelCol=label, regParam=1.0, elasticNetParam=0.0),
         "lasso": LinearRegression(featuresCol=features, labelCol=label, regParam=1.0, elasticNetParam=1.0),
         "random_forest": RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, seed=seed),
-        "gradient_boosting": GBTRegressor(featuresCol=features, labelCol=label, maxIter=max(5, trees // 5), seed=seed),
+        "gradient_boosting": GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees, seed=seed),
     }
 
 

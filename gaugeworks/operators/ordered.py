@@ -4,7 +4,7 @@ A plain ordered window puts a whole key on one task. Every function here first m
 group (one map-side combined count). Below `spark.gaugeworks.groupRows` it is the plain window. Above,
 the order axis is cut into ranges with about equal row counts, the window runs per (key, range), and
 what crosses a cut travels as a small summary row or as a bounded halo of neighbouring rows.
-Rows that share the first order column are cut along the second one.
+Rows that share the first order columns are cut along the next ones.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gaugeworks.session import broadcast_if_small, durable, group_rows, match, scalar_row
 
-MAX_RANGES = 20_000
 DENSE_ROWS = 20_000
 
 
@@ -29,53 +27,17 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return top["n"] or 0
 
 
-def axis(df: DataFrame, name: str) -> Column:
-    """The order column as a double; timestamps become microseconds, exact below 2**53."""
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
-
-
-def _orderable(df: DataFrame, name: str) -> bool:
-    kind = df.schema[name].dataType
-    return isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
-
-
-def _edges(df: DataFrame, col: str, n: int) -> list[float]:
-    return df.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-
-
-def _bucket(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:
-    cut = Bucketizer(splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol=col, outputCol=out, handleInvalid="keep")
-    return cut.transform(df)
-
-
 def cut_ranges(df: DataFrame, order: Sequence[str], rows: int, desc: bool = False) -> DataFrame:
-    """Add `_seg`, the range of the order columns a row falls in, about `rows` rows per range.
+    """Add `_seg`, the range of the order columns a row falls in, about `rows` rows per range, numbered in order.
 
-    Edges are quantiles of the first order column, so a key's share of the rows does not matter. A value
-    held by more rows than a range shows as a repeated edge; it becomes a range of its own, which is cut
-    again along the second order column.
+    Spark's range partitioning samples all order columns together, so ties in the first ones are cut along the next,
+    of any type, and nulls and NaN take the place the plain window gives them for this direction. A key's share of the
+    rows does not matter; only rows equal in every order column stay together. The result is written to the shared
+    folder, as another run of the plan might sample other edges.
     """
-    pos = axis(df, order[0])
-    df = df.withColumn("_axis", -pos if desc else pos)
-    n = min(MAX_RANGES, max(1, math.ceil(df.count() / rows)))
-    edges = _edges(df, "_axis", n)
-    tied = sorted({e for e, f in zip(edges, edges[1:]) if e == f})
-    if not tied or len(order) < 2 or not _orderable(df, order[1]):
-        return _bucket(df, "_axis", edges, "_seg").withColumn("_seg", F.col("_seg").cast("long")).drop("_axis")
-    second = axis(df, order[1])
-    df = df.withColumn("_axis2", -second if desc else second)
-    held = df.filter(F.col("_axis").isin(tied))
-    inner = _edges(held, "_axis2", min(MAX_RANGES, max(1, math.ceil(held.count() / rows))))
-    own = [math.nextafter(e, math.inf) for e in tied]
-    df = _bucket(_bucket(df, "_axis", [*edges, *own], "_seg"), "_axis2", inner, "_seg2")
-    sub = F.when(F.col("_axis").isin(tied), F.col("_seg2")).otherwise(0.0)
-    return df.withColumn("_seg", (F.col("_seg") * (MAX_RANGES + 2) + sub).cast("long")).drop("_axis", "_axis2", "_seg2")
+    n = max(1, math.ceil(df.count() / rows))
+    ranged = df.repartitionByRange(n, *_sorted(order, desc)) if n > 1 else df.coalesce(1)
+    return durable(ranged.withColumn("_seg", F.spark_partition_id().cast("long")))
 
 
 def _sorted(order: Sequence[str], desc: bool) -> list[Column]:
@@ -128,8 +90,9 @@ def running(
     """Aggregates over all rows up to and with the current one, per key.
 
     `specs` maps an output name to (kind, input); kinds are sum, count, max, min, last and first (the
-    last two skip nulls). One shuffle of the data; above the group limit also one small summary. A caller
-    that already knows the size of the largest group passes it as `largest`.
+    last two skip nulls). One shuffle of the data; above the group limit the rows are first ranged and written once,
+    then the window and a small summary follow. A caller that already knows the size of the largest group passes it
+    as `largest`.
     """
     keys = list(keys)
     limit = rows or group_rows(df.sparkSession)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeworks.operators.aggregate import rows
-from gaugeworks.operators.ordered import nearest_rank, quantiles
+from gaugeworks.operators.ordered import nearest_rank, position, quantiles
 from gaugeworks.session import match, scalar_row
 
 # Service level targets (name, comparison, target, window in seconds).
@@ -91,24 +91,31 @@ def hourly(df: DataFrame, ts: str, seconds: str, memory: Column) -> DataFrame:
     return df.groupBy(hour).agg(rows().alias("count"), F.avg(seconds).alias("avg"), F.max(seconds).alias("max"), F.avg(memory).alias("avg_memory"))
 
 
-def halving_average(df: DataFrame, keys: Sequence[str], value: str, ts: str, depth: int = 1000) -> DataFrame:
-    """The recurrence a <- (a + x) / 2 started at the first value, per key.
+def halving_average(df: DataFrame, keys: Sequence[str], value: str, ts: str, tie: Sequence[str] = (), span: int = 512) -> DataFrame:
+    """The recurrence a <- (a + x) / 2 started at the first value, per key; rows in order of `ts`, then of `tie`.
 
-    Weights halve going back in time: rows more than 1000 back weigh less than 2**-1000, far below the
-    precision of a double. The rank filter keeps that many per key and is applied before the shuffle.
+    The recurrence is linear, so all rows are summed by range of places from the end, each range scaled on its own, and
+    the ranges are put together as a * 2 ** -span + s. From the sixth range on the factor is below the smallest double
+    for any value a double can hold, so these ranges add exactly zero. It does not start anew where the average is 0.
     """
-    back = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))
+    keys = list(keys)
     n = df.groupBy(*keys).agg(rows().alias("_n"))
-    recent = df.select(*keys, value, ts).withColumn("_back", back).filter(F.col("_back") <= depth)
-    recent = match(recent, n, keys)
-    power = F.when(F.col("_back") == F.col("_n"), F.col("_back") - 1).otherwise(F.col("_back"))
-    return recent.groupBy(*keys).agg(F.sum(F.col(value) * F.pow(F.lit(2.0), -power)).alias("halving_avg"))
-
-
-def event_metrics(df: DataFrame, kind: str, value: str, ts: str, error: Column) -> DataFrame:
+    placed = match(position(df.select(*dict.fromkeys([*keys, value, ts, *tie])), keys, [ts, *tie], "_back", desc=True), n, keys)
+    first = F.when((F.col("_back") == F.col("_n")), 2.0).otherwise(1.0)
+    within = placed.withColumn("_range", F.floor((F.col("_back") - 1) / span))
+    sums = within.groupBy(*keys, "_range").agg(F.sum(F.col(value) * first * F.pow(F.lit(2.0), -((F.col("_back") - 1) % span + 1))).alias("_s"))
+    step, scaled = F.lit(2.0**-span), F.lit(0.0)
+    part = F.col("_s")
+    for k in range(6):
+        scaled = F.when(F.col("_range") == k, part).otherwise(scaled)
+        part = part * step
+    return sums.groupBy(*keys).agg(F.sum(scaled).alias("halving_avg"))
+
+
+def event_metrics(df: DataFrame, kind: str, value: str, ts: str, error: Column, tie: Sequence[str] = ()) -> DataFrame:
     base = df.groupBy(kind).agg(rows().alias("count"), F.count_if(error).alias("errors"), F.avg(value).alias("avg_time"), F.max(ts).alias("last_ts"))
     base = base.withColumn("error_rate", F.col("errors") / F.col("count"))
-    return match(base, halving_average(df, [kind], value, ts), [kind])
+    return match(base, halving_average(df, [kind], value, ts, tie), [kind])
 
 
 def error_summary(df: DataFrame, kind: str, error: Column) -> DataFrame:

@@ -47,11 +47,12 @@ def slope(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
 
 def gradient(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "gradient") -> DataFrame:
-    """Central differences, one-sided at both ends."""
+    """Central differences, one-sided at both ends; null where a value it needs is null."""
 
     def build(w):
         prev, nxt, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        return {name: F.when(prev.isNull(), nxt - here).when(nxt.isNull(), here - prev).otherwise((nxt - prev) / 2)}
+        start, end = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+        return {name: F.when(start, nxt - here).when(end, here - prev).otherwise((nxt - prev) / 2)}
 
     return framed(df, keys, order, 1, 1, build)
 

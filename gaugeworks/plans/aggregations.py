@@ -247,7 +247,7 @@ def hourly(t):
            round(count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) > 80) / count(*), 6) AS error_rate,
            round(sum(CASE WHEN back <= 1000 THEN value * pow(2.0::DOUBLE, -(CASE WHEN back = n THEN back - 1 ELSE back END)) END), 6) AS halving_avg FROM b GROUP BY 1""")
 def event_metrics(t):
-    return rounded(rep.event_metrics(t.events, "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("int") > 80))
+    return rounded(rep.event_metrics(t.events, "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("int") > 80, tie=["event_id"]))
 
 
 @query("agg_27_error_summary", """

@@ -24,11 +24,10 @@ def jdbc_appender(df: DataFrame, url: str, table: str, **options) -> DataFrameWr
     return df.write.format("jdbc").mode("append").option("url", url).option("dbtable", table).options(**options)
 
 
-def kafka_reader(spark: SparkSession, servers: str, topic: str, max_per_trigger: int = 100) -> DataStreamReader:
-    return (
-        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-        .option("startingOffsets", "latest").option("maxOffsetsPerTrigger", str(max_per_trigger))
-    )
+def kafka_reader(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None) -> DataStreamReader:
+    """A topic as a stream; `max_per_trigger` limits the offsets of a batch, by default there is no limit."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest")
+    return reader.option("maxOffsetsPerTrigger", str(max_per_trigger)) if max_per_trigger else reader
 
 
 def kafka_writer(df: DataFrame, servers: str, topic: str, checkpoint: str) -> DataStreamWriter:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import aggregate, filters, reports
 from gaugeworks.operators import ordered as o
 from gaugeworks.operators import windows as w
 
@@ -144,3 +145,57 @@ def test_gradient_single_row_and_pair(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 1.0), ("b", 2, 4.0)], "key string, t int, v double")
     got = {(r["key"], r["t"]): r["gradient"] for r in w.gradient(df, ["key"], ["t"], "v").collect()}
     assert got == {("a", 1): None, ("b", 1): 3.0, ("b", 2): 3.0}
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("order", [["a", "b", "id"], ["t", "s", "id"], ["t", "id"]])
+def test_null_nan_and_tied_orders_agree_on_both_paths(spark, desc, order):
+    rows = [(None if k % 5 == 0 else float("nan") if k % 7 == 0 else float(k % 3), None if k % 4 == 0 else "xyz"[k % 3], 1.0, f"s{k % 50:02d}" if k % 9 else None, k, float(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "a double, b string, t double, s string, id long, v double")
+    specs = {"s1": ("sum", F.col("v")), "n": ("count", F.col("a")), "l": ("last", F.col("b")), "f": ("first", F.col("b"))}
+    same(o.running(df, [], order, specs, desc), o.running(df, [], order, specs, desc, rows=25))
+    assert o.cut_ranges(df, order, 25, desc).groupBy("_seg").count().agg(F.max("count")).first()[0] <= 75
+
+
+@pytest.mark.parametrize("limit", ["1000000", "25"])
+def test_backward_fill_and_retention_with_null_orders(spark, limit):
+    rows = [(None if k in (3, 7) else k, k, None if k % 3 else float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "t long, id long, v double")
+    spark.conf.set("spark.gaugeworks.groupRows", limit)
+    try:
+        kept = sorted(r.id for r in filters.retain_count(df, ["t", "id"], 5).collect())
+        filled = {r.id: r.v for r in w.fill(df, [], ["t", "id"], "v", "backward").collect()}
+    finally:
+        spark.conf.unset("spark.gaugeworks.groupRows")
+    assert kept == [55, 56, 57, 58, 59]
+    assert filled[59] is None and filled[55] == 57.0
+
+
+@pytest.mark.parametrize("limit", ["1000000", "200"])
+def test_halving_average_keeps_early_rows(spark, limit):
+    spark.conf.set("spark.gaugeworks.groupRows", limit)
+    try:
+        for values in ([1e300] * 20 + [0.0] * 1020, [3.0], [1.0, 2.0, 4.0], [float(k % 11) for k in range(1500)]):
+            df = spark.createDataFrame([("k", k // 2, k, v) for k, v in enumerate(values)], "key string, t long, id long, v double").repartition(5)
+            want = values[0]
+            for x in values[1:]:
+                want = (want + x) / 2
+            got = reports.halving_average(df, ["key"], "v", "t", ["id"]).first().halving_avg
+            assert got == pytest.approx(want, rel=1e-9), len(values)
+    finally:
+        spark.conf.unset("spark.gaugeworks.groupRows")
+
+
+def test_spearman_ranks_complete_pairs_only(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": rng.normal(size=80).round(1), "y": rng.normal(size=80).round(1)})
+    pdf.loc[::6, "x"], pdf.loc[::7, "y"] = np.nan, np.nan
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "y")])
+    live = pdf.dropna()
+    assert aggregate.spearman(df, "x", "y").first().spearman == pytest.approx(live["x"].rank().corr(live["y"].rank()))
+
+
+def test_gradient_is_null_beside_a_null(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([1.0, 3.0, None, 7.0, 8.0, 12.0])], "t long, v double")
+    got = [r.gradient for r in w.gradient(df, [], ["t"], "v").orderBy("t").collect()]
+    assert got == [2.0, None, 2.0, None, 2.5, 4.0]
