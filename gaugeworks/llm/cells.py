@@ -28,8 +28,33 @@ def block_count(docs: DataFrame, text: str, most: int = BLOCK_BYTES) -> int:
 
 
 def dealt(docs: DataFrame, id: str, text: str, block: Column) -> DataFrame:
-    """(block, id, text) with null texts as empty ones."""
-    return docs.select(block.cast("int").alias("block"), F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    """(block, body): the (id, text) rows of each block, null texts as empty ones, packed by every task that has some."""
+    rows = docs.select(block.cast("int").alias("block"), F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+
+    def pack(batches):
+        for b in batches:
+            order = np.argsort(b.column(0).to_numpy(), kind="stable")
+            b = b.take(pa.array(order))
+            block = b.column(0).to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            found = [(block[x], b.slice(x, y - x).select(["id", "text"])) for x, y in zip(at[:-1], at[1:]) if y > x]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in found], pa.int32()), "body": pa.array([packed(v) for _, v in found], pa.binary())})
+
+    return rows.mapInArrow(pack, "block int, body binary")
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed stream; texts compress far better together than row by row in a shuffle."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """The (id, text) rows of a block's packed bodies."""
+    parts_in = [pa.ipc.open_stream(x).read_all() for x in table["body"].to_pylist()]
+    return pa.concat_tables(parts_in).combine_chunks()
 
 
 def by_hash(id: str, text: str, n: int) -> Column:

@@ -50,7 +50,8 @@ def answered(cells_in: list[list[bytes]], least: int) -> list[bytes]:
 
 class Block:
     def __init__(self, table: pa.Table):
-        data, offsets = utf8(table["text"])
+        self.table = cells.opened(table)
+        data, offsets = utf8(self.table["text"])
         data = lower_ascii(data)
         starts, ends = [], []
         for a, b in cells.piece_edges(offsets, PIECE):
@@ -115,9 +116,7 @@ def stupid_backoff(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
         for k, b in enumerate(bodies):
             if b[0] == b"size":
                 out[k] = cells.join(b"total", size)
-            elif b[0] == b"note":
-                out[k] = cells.join(*b[1:])
-        for n in {b[0] for b in bodies} - {b"size", b"note"}:
+        for n in {b[0] for b in bodies} - {b"size"}:
             mine = [k for k, b in enumerate(bodies) if b[0] == n]
             for k, said in zip(mine, answered([bodies[k] for k in mine], least)):
                 out[k] = said
@@ -134,9 +133,8 @@ def stupid_backoff(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
         def ask(key, table, answers):
             if not table.num_rows:
                 return cells.rows(0, [])
-            b, got = Block(table), read(answers)
-            notes = [(k, cells.join(b"note", name, *rest)) for name, by in got.items() for k, rest in by.items()]
-            return cells.rows(key[0].as_py(), b.ask(n, b.totals(got, n - 1, least, ranges), least, ranges) + notes)
+            b = Block(table)
+            return cells.rows(key[0].as_py(), b.ask(n, b.totals(read(answers), n - 1, least, ranges), least, ranges))
 
         return ask
 
@@ -152,11 +150,11 @@ def stupid_backoff(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
         score = np.zeros(len(n))
         if len(value):
             score[n > 0] = np.add.reduceat(value, b.edges[:-1][n > 0])
-        return pa.table({"id": table["id"], "n_words": pa.array(n), "score": pa.array(score)})
+        return pa.table({"id": b.table["id"], "n_words": pa.array(n), "score": pa.array(score)})
 
     asks = blocks.groupBy("block").applyInArrow(first, cells.CELL)
     said = asks.groupBy("bucket").applyInArrow(answer, cells.CELL)
     for n in range(3, order + 1):
         asks = blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(longer(n), cells.CELL)
-        said = asks.groupBy("bucket").applyInArrow(answer, cells.CELL)
+        said = said.unionByName(asks.groupBy("bucket").applyInArrow(answer, cells.CELL))
     return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(last, f"id {kind}, n_words bigint, score double")

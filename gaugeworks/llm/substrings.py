@@ -33,7 +33,8 @@ class Block:
     """Words of a block's texts: hashes, number in their text, and windows that stay inside a text."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.data, self.offsets = utf8(table["text"])
+        self.table = cells.opened(table)
+        self.data, self.offsets = utf8(self.table["text"])
         found = [runs(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a], byte_class("nospace")) for a, b in cells.piece_edges(self.offsets, PIECE)]
         base = [int(self.offsets[a]) for a, _ in cells.piece_edges(self.offsets, PIECE)]
         self.starts = np.concatenate([s + o for (s, _), o in zip(found, base)]) if found else np.zeros(0, np.int64)
@@ -112,7 +113,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         np.add.at(step, at + window, -1)
         gone = np.cumsum(step[:-1]) > 0
         sums = np.concatenate([[0], np.cumsum(gone)])
-        return pa.table({"id": table["id"], "n_words": pa.array(np.diff(b.edges)), "n_removed": pa.array(np.diff(sums[b.edges])), "kept": joined(b, ~gone)})
+        return pa.table({"id": b.table["id"], "n_words": pa.array(np.diff(b.edges)), "n_removed": pa.array(np.diff(sums[b.edges])), "kept": joined(b, ~gone)})
 
     asks = blocks.groupBy("block").applyInArrow(first, cells.CELL)
     said = asks.groupBy("bucket").applyInArrow(answer, cells.CELL)

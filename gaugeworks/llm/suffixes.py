@@ -54,6 +54,7 @@ def _place(c: Column, cut: list) -> Column:
 
 def ordered(table: pa.Table) -> pa.Table:
     """A block's texts in order of id, then text; null ids first."""
+    table = cells.opened(table)
     return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
