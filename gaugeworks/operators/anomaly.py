@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -362,15 +362,15 @@ def reconstruction_error(df: DataFrame, cols: Sequence[str], k: int, quantile: f
     """Mean squared error of rebuilding standardised columns from k components; flagged above the quantile."""
 
 
-    z = scale(df.select("*", *[F.col(c).cast("double").alias(f"_z_{c}") for c in cols]), [f"_z_{c}" for c in cols])
-    data = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="_v").transform(z)
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(data)
-    load = model.pc.toArray()
-    arr = vector_to_array("_p")
-    scored = model.transform(data).withColumn("_s", arr)
-    back = [reduce(lambda a, b: a + b, [F.col("_s")[j] * float(load[i, j]) for j in range(k)]) for i in range(len(cols))]
-    err = reduce(lambda a, b: a + b, [(F.col(f"_z_{c}") - b) * (F.col(f"_z_{c}") - b) for c, b in zip(cols, back)]) / len(cols)
-    scored = scored.withColumn("error", err).drop("_v", "_p", "_s", *[f"_z_{c}" for c in cols])
+    data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
+    data = StandardScaler(withMean=True, inputCol="_x", outputCol="_v").fit(data).transform(data)
+    scored = PCA(k=k, inputCol="_v", outputCol="_p").fit(data).transform(data)
+    n = scalar_row(df.agg(F.count(F.lit(1)).cast("double").alias("n")))["n"]
+    # The components are orthonormal: what they miss of a row is its square less the square of its scores. The scaler
+    # divides by the sample deviation, n / (n - 1) turns the squares into those of the population's.
+    square = lambda v: F.aggregate(vector_to_array(v), F.lit(0.0), lambda s, x: s + x * x)
+    err = F.greatest(square("_v") - square("_p"), F.lit(0.0)) / len(cols) * F.coalesce(F.try_divide(n, n - 1), F.lit(0.0))
+    scored = scored.withColumn("error", err).drop("_x", "_v", "_p")
     edge = scalar_row(quantiles(scored, [], ["error"], [quantile]))["q_error"][0]
     return scored.withColumn("anomaly", F.col("error") > edge)
 

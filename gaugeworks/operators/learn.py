@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeworks.functions.portable import portable_hash
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import position, quantiles
 from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, spread
@@ -22,17 +23,26 @@ from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, s
 # --- clustering -------------------------------------------------------------------------------------
 
 
-def best_kmeans(df: DataFrame, key: str, vector: str, ks: Sequence[int] = range(2, 11), seed: int = 42) -> tuple[DataFrame, dict[int, float]]:
-    """K-means for each k; the clustering with the best silhouette, and all silhouettes."""
+def best_kmeans(df: DataFrame, key: str, vector: str, ks: Sequence[int] = range(2, 11), seed: int = 42, starts: int = 3, scaled: bool = True) -> tuple[DataFrame, dict[int, float]]:
+    """K-means for each k on standardised features; the clustering with the best silhouette, and all silhouettes.
+
+    Each k is fitted from `starts` seeds and keeps the fit with the smallest cost. The cluster goes by the scaled
+    features, the rows come back with their own columns.
+    """
     data = spread(df, key)
-    judge = ClusteringEvaluator(featuresCol=vector, predictionCol="cluster")
+    at = vector
+    if scaled:
+        at = "_scaled"
+        data = durable(StandardScaler(withMean=True, inputCol=vector, outputCol=at).fit(data).transform(data))
+    judge = ClusteringEvaluator(featuresCol=at, predictionCol="cluster")
     scores, best = {}, None
     for k in ks:
-        out = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(data).transform(data)
+        fits = [KMeans(k=k, seed=seed + s, featuresCol=at, predictionCol="cluster").fit(data) for s in range(starts)]
+        out = min(fits, key=lambda m: m.summary.trainingCost).transform(data)
         scores[k] = judge.evaluate(out)
         if best is None or scores[k] > scores[best[0]]:
             best = (k, out)
-    return best[1], scores
+    return best[1].drop("_scaled"), scores
 
 
 def cluster_summary(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFrame:
@@ -189,7 +199,7 @@ def compare(models: dict[str, Model], parts: dict[str, DataFrame], label: str) -
 
 
 def hashed_folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(portable_hash(keys, seed), F.lit(k)).cast("int"))
 
 
 def weighted_vote(df: DataFrame, predictions: dict[str, float]) -> Column:
@@ -217,8 +227,8 @@ def stacking(df: DataFrame, key: str, cols: Sequence[str], label: str, kinds: Se
 
 
 def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label: str, grid: dict[str, Sequence], folds: int = 5, metric: str = "r2", seed: int = 42, draws: int | None = None) -> tuple[Model, list[tuple[dict, float]]]:
-    """Grid search over a forest, or `draws` seeded grid points for a random search."""
-    data = spread(assemble(df, cols), key)
+    """Grid search over a forest, or `draws` seeded grid points for a random search; folds are hashes of the key."""
+    data = spread(hashed_folds(assemble(df, cols), [key], folds, seed), key)
     est = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
     b = ParamGridBuilder()
     for name, values in grid.items():
@@ -226,7 +236,7 @@ def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label:
     maps = b.build()
     if draws is not None and draws < len(maps):
         maps = random.Random(seed).sample(maps, draws)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric), numFolds=folds, seed=seed, parallelism=4)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric), numFolds=folds, foldCol="fold", seed=seed, parallelism=4)
     m = cv.fit(data)
     return m, [({p.name: v for p, v in pm.items()}, float(s)) for pm, s in zip(maps, m.avgMetrics)]
 
@@ -243,7 +253,7 @@ def cross_validation(df: DataFrame, key: str, cols: Sequence[str], label: str, k
 
 def learning_curve(df: DataFrame, key: str, cols: Sequence[str], label: str, kind: str = "linear", sizes: int = 10) -> DataFrame:
     """Error on the held-out fold for growing hashed shares of the training rows."""
-    data = spread(hashed_folds(df, [key]).withColumn("_u", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1000)) / 1000), key)
+    data = spread(hashed_folds(df, [key]).withColumn("_u", F.pmod(portable_hash([key], 7), F.lit(1000)) / 1000), key)
     test, train = data.filter("fold = 0"), data.filter("fold <> 0")
     made = []
     for i in range(1, sizes + 1):
@@ -258,8 +268,7 @@ _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in
 
 def uniform(keys: Sequence[str], salt: Column | int) -> Column:
     """A number in (0, 1) from the row key: the same in every attempt of a task."""
-    s = F.lit(salt) if isinstance(salt, int) else salt
-    return (F.pmod(F.xxhash64(*keys, s), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return (portable_hash(keys, salt, 10) + 0.5) / float(1 << 40)
 
 
 def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicates: int = 20) -> DataFrame:
@@ -328,14 +337,14 @@ def normal(keys: Sequence[str], salt: int) -> Column:
     return F.sqrt(-2 * F.ln(uniform(keys, 2 * salt))) * F.cos(2 * math.pi * uniform(keys, 2 * salt + 1))
 
 
-def monte_carlo(draws: DataFrame, key: str, nominal: dict[str, Column | float], percent: dict[str, float], scorer: Callable[[dict[str, Column]], Column], thresholds: Sequence[float] = (1, 5, 10)) -> DataFrame:
-    """Spread of a score when parameters vary normally around nominal values, one draw per input row."""
-    vals = {}
-    for i, (p, nom) in enumerate(nominal.items()):
-        n = nom if isinstance(nom, Column) else F.lit(float(nom))
-        vals[p] = F.greatest(n * 0.1, n + n * percent[p] * normal([key], i))
-    scored = draws.select(key, *[v.alias(p) for p, v in vals.items()])
-    scored = scored.select(key, scorer({p: F.col(p) for p in vals}).alias("q"))
+def monte_carlo(rows_in: DataFrame, key: str, percent: dict[str, float], scorer: Callable[[dict[str, Column]], Column], thresholds: Sequence[float] = (1, 5, 10), draws: int = 10) -> DataFrame:
+    """Spread of a score when the parameters of every row vary normally around the row's own values.
+
+    Each row gives `draws` draws; a draw is a hash of the row's key and its number, so it needs no order and no seed.
+    """
+    drawn = rows_in.select(key, *percent, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    moved = {p: F.greatest(F.col(p) * 0.1, F.col(p) + F.col(p) * share * normal([key, "_draw"], i)) for i, (p, share) in enumerate(percent.items())}
+    scored = drawn.select(key, scorer(moved).alias("q"))
     ci = scalar_row(quantiles(scored, [], ["q"], [0.025, 0.975]))["q_q"]
     out = scored.agg(rows().alias("draws"), F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"), *[F.avg((F.col("q") >= v).cast("double")).alias(f"p_{v}") for v in thresholds])
     return out.withColumns({"cv": F.try_divide("std", "mean"), "lower": ci[0], "upper": ci[1]})

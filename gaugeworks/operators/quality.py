@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeworks.operators.aggregate import fences, numeric_columns, rows
 from gaugeworks.operators.ordered import modes, quantiles, running
 from gaugeworks.operators.project import FEATURES, engineer
+from gaugeworks.functions.portable import portable_hash
 from gaugeworks.session import durable, match, scalar_row
 
 # Parameter, min, max, typical min, typical max.
@@ -265,8 +266,8 @@ def principal_components(df: DataFrame, cols: Sequence[str], k: int | float = 0.
 
 
 def split(df: DataFrame, keys: Sequence[str], test: float = 0.2, validation: float = 0.1, seed: int = 42) -> DataFrame:
-    """Column `part` in train, validation, test by a hash of the key: the same for any partitioning."""
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """Column `part` in train, validation, test by a hash of the key: the same for any partitioning and engine."""
+    u = portable_hash(keys, seed) / float(1 << 32)
     # The validation share is taken from the rows left after the test split.
     edge = test + (1 - test) * (validation / (1 - test))
     return df.withColumn("part", F.when(u < test, "test").when(u < edge, "validation").otherwise("train"))

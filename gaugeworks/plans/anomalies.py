@@ -152,8 +152,8 @@ def ensemble(t):
 
 @query("ano_16_reconstruction_error")
 def reconstruction(t):
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return rounded(an.reconstruction_error(e, [f"e{i}" for i in range(8)], 3).select("vec_id", "error", "anomaly"))
+    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return rounded(an.reconstruction_error(e, [f"e{i}" for i in range(64)], 3).select("vec_id", "error", "anomaly"))
 
 
 @query("ano_17_metric_report", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.portable import portable_hash_sql
 from gaugeworks.operators import eventlog as ev
 from gaugeworks.operators import filters as f
 from gaugeworks.operators import quality as q
@@ -211,15 +212,15 @@ def elimination(t):
 
 @query("cln_15_principal_components")
 def components(t):
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    got, _ = q.principal_components(e, [f"e{i}" for i in range(8)], 0.95)
+    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    got, _ = q.principal_components(e, [f"e{i}" for i in range(64)], 0.95)
     return got
 
 
-@query("cln_16_split", "SELECT count(*) AS n FROM orders")
+@query("cln_16_split", f"""
+    SELECT o_orderkey, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.3 THEN 'validation' ELSE 'train' END AS part FROM (SELECT o_orderkey, {portable_hash_sql(["o_orderkey"], 42)} / 4294967296.0::DOUBLE AS u FROM orders)""")
 def split(t):
-    parts = q.split(t.orders, ["o_orderkey"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sum("n").alias("n"))
+    return q.split(t.orders, ["o_orderkey"]).select("o_orderkey", "part")
 
 
 @query("cln_17_preprocess")
@@ -248,7 +249,9 @@ def compliance(t):
     return ev.compliance_violations(e.withColumns({"details": keys, "roles": roles}), "event_id", "kind", "user_id", "ip_address", "details", "roles")
 
 
-@query("cln_20_integrity_hash", "SELECT event_id, sha256('=' || event_id || '|=' || event_type || '|=' || user_id) AS hash, true AS intact FROM events")
+@query("cln_20_integrity_hash", "SELECT event_id, sha256('=' || event_id || '|=' || event_type || '|=' || user_id) AS hash, event_id % 10 <> 0 AS intact FROM events")
 def integrity(t):
+    """Every tenth row is changed after its hash was taken."""
     kept = t.events.withColumn("hash", row_hash(["event_id", "event_type", "user_id"]))
-    return kept.select("event_id", "hash", (F.col("hash") == row_hash(["event_id", "event_type", "user_id"])).alias("intact"))
+    later = kept.withColumn("user_id", F.when(F.col("event_id") % 10 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    return later.select("event_id", "hash", (F.col("hash") == row_hash(["event_id", "event_type", "user_id"])).alias("intact"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.portable import portable_hash_sql
 from gaugeworks.operators import learn as m
 from gaugeworks.operators import project as p
 from gaugeworks.plans.aggregations import rounded
@@ -13,27 +14,51 @@ from gaugeworks.session import rows_table, spread
 
 
 def facts(t):
-    """Line items with a hashed row number and a target to be predicted."""
+    """Line items with a key of their own and a target to be predicted."""
     return t.lineitem.selectExpr(
-        "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey) key", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity q", "l_discount + 0.0 d", "l_tax + 0.0 x", "l_extendedprice y")
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) key", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity q", "l_discount + 0.0 d", "l_tax + 0.0 x", "l_extendedprice y")
 
 
 COLS = ["q", "d", "x"]
+FACTS = "(SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, l_quantity AS q, l_discount + 0.0::DOUBLE AS d, l_tax + 0.0::DOUBLE AS x, l_extendedprice AS y FROM lineitem)"
+
+
+def ols(train: str, by: str) -> str:
+    """SQL: the least-squares plane y = b0 + b1 q + b2 d + b3 x of each group, by the normal equations of centred sums."""
+    pairs = [(a, b) for k, a in enumerate("qdxy") for b in "qdxy"[k:] if (a, b) != ("y", "y")]
+    sums = ", ".join([f"covar_pop({a}, {b}) AS {a}{b}" for a, b in pairs] + [f"avg({a}) AS m{a}" for a in "qdxy"])
+    return f"""(SELECT *, my - b1 * mq - b2 * md - b3 * mx AS b0 FROM (SELECT *,
+        (qy * (dd * xx - dx * dx) - qd * (dy * xx - dx * xy) + qx * (dy * dx - dd * xy)) / det AS b1,
+        (qq * (dy * xx - dx * xy) - qy * (qd * xx - dx * qx) + qx * (qd * xy - dy * qx)) / det AS b2,
+        (qq * (dd * xy - dy * dx) - qd * (qd * xy - dy * qx) + qy * (qd * dx - dd * qx)) / det AS b3
+        FROM (SELECT *, qq * (dd * xx - dx * dx) - qd * (qd * xx - dx * qx) + qx * (qd * dx - dd * qx) AS det FROM (SELECT {by}, {sums} FROM {train} GROUP BY {by}))))"""
+
+
+def errors_sql(pred: str, by: str) -> str:
+    """SQL: the regression metrics of (by, y, p) rows, rounded as `metrics_rounded` does."""
+    return f"""SELECT {by}, count(*) AS n, round(sqrt(avg((p - y) * (p - y))), 3) AS rmse, round(avg(abs(p - y)), 3) AS mae, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2,
+        round(avg(abs(p - y) / abs(y)) * 100, 4) AS mape, round(max(abs(p - y)), 3) AS max_error, round(median(abs(p - y)), 3) AS median_error FROM {pred} GROUP BY {by}"""
+
+
+def metrics_rounded(df, by):
+    return rounded(df.select(by, "n", "rmse", "mae", "r2", "mape", "max_error", "median_error"), 3, r2=6, mape=4, share=6)
 
 
 @query("mlx_01_kmeans_silhouette")
 def kmeans(t):
     e = t.embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
-    best, _ = m.best_kmeans(e, "vec_id", "v", range(2, 5))
+    best, _ = m.best_kmeans(e, "vec_id", "v")
     return best.select("vec_id", "cluster")
 
 
-@query("mlx_02_cluster_summary", """
-    SELECT label, count(*) AS size, round(avg(embedding[1]::DOUBLE), 6) + 0.0::DOUBLE AS e0_mean, round(stddev_samp(embedding[1]::DOUBLE), 6) AS e0_std, round(avg(embedding[2]::DOUBLE), 6) + 0.0::DOUBLE AS e1_mean, round(stddev_samp(embedding[2]::DOUBLE), 6) AS e1_std,
-           round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS percent FROM embeddings GROUP BY 1""")
+DIMS = range(64)
+
+
+@query("mlx_02_cluster_summary", "SELECT label, count(*) AS size, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) + 0.0::DOUBLE AS e{i}_mean, round(stddev_samp(embedding[{i + 1}]::DOUBLE), 6) AS e{i}_std" for i in DIMS)
+       + ", round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS percent FROM embeddings GROUP BY 1")
 def clusters(t):
-    e = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(2)])
-    return rounded(m.cluster_summary(e, "label", ["e0", "e1"]))
+    e = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in DIMS])
+    return rounded(m.cluster_summary(e, "label", [f"e{i}" for i in DIMS]))
 
 
 @query("mlx_03_dbscan")
@@ -77,7 +102,9 @@ def stack(t):
     return rounded(m.stacking(facts(t), "key", COLS, "y", folds=3, trees=10).select("key", "y", "prediction"), 4)
 
 
-@query("mlx_08_batch_prediction")
+@query("mlx_08_batch_prediction", f"""
+    SELECT CASE WHEN g < 0.1 THEN 'Poor' WHEN g < 1 THEN 'Sub-critical' WHEN g < 5 THEN 'Breakeven' WHEN g < 10 THEN 'Ignition' ELSE 'High Performance' END AS category, count(*) AS n, round(avg(g), 6) AS mean_gain, round(max(g), 6) AS max_gain
+    FROM (SELECT (b0 + b1 * q + b2 * d + b3 * x) / 20000 AS g FROM {FACTS}, {ols(f"(SELECT 1 AS one, * FROM {FACTS})", "one")}) GROUP BY 1""")
 def batch(t):
     df = facts(t)
     got = m.fit(df, COLS, "y").transform(df).withColumn("gain", F.col("prediction") / 20000)
@@ -117,14 +144,21 @@ def residuals(t):
     return rounded(m.residual_summary(predicted(t), "y", "p"), 6, max=4, p95=4)
 
 
-@query("mlx_13_cross_validation")
+FOLDED = f"(SELECT *, ({portable_hash_sql(['key'], 42)} % 5)::INT AS fold, ({portable_hash_sql(['key'], 7)} % 1000) / 1000.0::DOUBLE AS u FROM {FACTS})"
+
+
+@query("mlx_13_cross_validation", f"""
+    WITH f AS MATERIALIZED {FOLDED}, c AS {ols("(SELECT k::INT AS fold, q, d, x, y FROM f, range(5) r(k) WHERE fold <> k)", "fold")}
+    {errors_sql("(SELECT fold, y, b0 + b1 * q + b2 * d + b3 * x AS p FROM f JOIN c USING (fold))", "fold")}""")
 def cross(t):
-    return rounded(m.cross_validation(facts(t), "key", COLS, "y"), 4)
+    return metrics_rounded(m.cross_validation(facts(t), "key", COLS, "y"), "fold")
 
 
-@query("mlx_13_learning_curve")
+@query("mlx_13_learning_curve", f"""
+    WITH f AS MATERIALIZED {FOLDED}, c AS {ols("(SELECT k / 10.0::DOUBLE AS share, q, d, x, y FROM f, range(1, 11) r(k) WHERE fold <> 0 AND u < k / 10.0::DOUBLE)", "share")}
+    {errors_sql("(SELECT share, y, b0 + b1 * q + b2 * d + b3 * x AS p FROM f, c WHERE fold = 0)", "share")}""")
 def curve(t):
-    return rounded(m.learning_curve(facts(t), "key", COLS, "y", sizes=5), 4)
+    return metrics_rounded(m.learning_curve(facts(t), "key", COLS, "y"), "share")
 
 
 @query("mlx_14_bootstrap")
@@ -159,11 +193,18 @@ def sensitivity(t):
     return rounded(m.sensitivity(t.part.select("p_partkey", "p_retailprice", "p_size"), ["p_retailprice", "p_size"], gain).select("p_partkey", "parameter", "sensitivity"), 5)
 
 
-@query("mlx_18_monte_carlo")
+def _normal_sql(salt: int) -> str:
+    u = lambda k: f"(({portable_hash_sql(['p_partkey', 'draw'], k, 10)} + 0.5::DOUBLE) / 1099511627776.0::DOUBLE)"
+    return f"sqrt(-2 * ln({u(2 * salt)})) * cos(2 * pi() * {u(2 * salt + 1)})"
+
+
+@query("mlx_18_monte_carlo", f"""
+    WITH d AS (SELECT greatest(p_retailprice * 0.1, p_retailprice + p_retailprice * 0.1::DOUBLE * {_normal_sql(0)}) AS a, greatest(p_size * 0.1::DOUBLE, p_size + p_size * 0.2::DOUBLE * {_normal_sql(1)}) AS b FROM part, range(1, 11) r(draw)),
+    s AS (SELECT a / sqrt(b + 10) AS q FROM d)
+    SELECT count(*) AS draws, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS std, round(avg((q >= 100)::INT), 6) AS p_100, round(avg((q >= 200)::INT), 6) AS p_200, round(avg((q >= 300)::INT), 6) AS p_300,
+           round(stddev_pop(q) / avg(q), 6) AS cv, round(quantile_cont(q, 0.025), 6) AS lower, round(quantile_cont(q, 0.975), 6) AS upper FROM s""")
 def monte_carlo(t):
-    mean = t.part.agg(F.avg("p_retailprice").alias("a"), F.avg("p_size").alias("b")).first()
-    got = m.monte_carlo(facts(t), "key", {"p_retailprice": mean["a"], "p_size": mean["b"]}, {"p_retailprice": 0.1, "p_size": 0.2}, gain, (100, 200, 300))
-    return rounded(got)
+    return rounded(m.monte_carlo(t.part, "p_partkey", {"p_retailprice": 0.1, "p_size": 0.2}, gain, (100, 200, 300)))
 
 
 @query("mlx_19_scenarios", """
