@@ -17,7 +17,7 @@ from gaugeworks.functions.stats import grubbs_critical
 from gaugeworks.operators.aggregate import fences, rows
 from gaugeworks.operators.ordered import average_rank, framed, largest_group, position, quantiles
 from gaugeworks.operators.project import row_mean
-from gaugeworks.operators.quality import center_and_mad, scale
+from gaugeworks.operators.quality import center_and_mad
 from gaugeworks.operators.windows import gradient, rate_flags
 from gaugeworks.session import durable, match, scalar_row, spread
 
