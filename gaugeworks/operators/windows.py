@@ -126,12 +126,21 @@ def first_per_time(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> Dat
 
 
 def resample(df: DataFrame, keys: Sequence[str], ts: str, value: str, unit: str = "hour") -> DataFrame:
-    """Mean per time bucket between the first and the last one of a key, empty buckets null."""
+    """Mean per time bucket between the first and the last one of a key, empty buckets null.
+
+    The grid grows day by day, then within the day, so no array holds the whole span of a key.
+    """
     keys = list(keys)
     bucket = F.date_trunc(unit, F.col(ts).cast("timestamp")).alias("bucket")
     means = df.groupBy(*keys, bucket).agg(F.avg(value).alias(value))
     span = means.groupBy(*keys).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
-    grid = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval 1 {unit}"))).alias("bucket"))
+    if unit in ("hour", "minute", "second"):
+        days = F.sequence(F.date_trunc("day", "_a"), F.date_trunc("day", "_b"), F.expr("interval 1 day"))
+        span = span.select(*keys, "_a", "_b", F.explode(days).alias("_d"))
+        inside = F.sequence(F.greatest("_a", "_d"), F.least("_b", F.col("_d") + F.expr("interval 1 day") - F.expr(f"interval 1 {unit}")), F.expr(f"interval 1 {unit}"))
+    else:
+        inside = F.sequence("_a", "_b", F.expr(f"interval 1 {unit}"))
+    grid = span.select(*keys, F.explode(inside).alias("bucket"))
     return grid.join(means, [*keys, "bucket"], "left").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -86,15 +87,18 @@ class Source:
     enabled: bool = True
 
 
-def ingest(spark: SparkSession, sources: list[Source]) -> tuple[DataFrame, list[str]]:
-    """Union the enabled sources by column name; a source that cannot be opened is reported, not fatal."""
+def ingest(spark: SparkSession, sources: list[Source], strict: bool = False) -> tuple[DataFrame, list[str]]:
+    """Union the enabled sources by column name. A source that cannot be opened is reported, or with `strict` ends the
+    run; any other error, such as one in a caller's `load`, always does."""
     frames, failed = [], []
     for s in sources:
         if not s.enabled:
             continue
         try:
             frames.append(s.load(spark))
-        except Exception:
+        except (AnalysisException, OSError):
+            if strict:
+                raise
             failed.append(s.name)
     if not frames:
         raise ValueError("no source delivered data")

@@ -54,9 +54,17 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in defaults.items()})
 
 
-def store_measurements(df: DataFrame, path: str, shot: str, buckets: int = 16) -> None:
-    """Columnar store partitioned by a hash bucket of the shot, so one shot reads one folder."""
-    df.withColumn("shot_bucket", F.pmod(F.xxhash64(shot), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("shot_bucket").parquet(path)
+def store_measurements(df: DataFrame, path: str, shot: str, buckets: int | None = None, bucket_rows: int = 5_000_000) -> None:
+    """Columnar store partitioned by a hash bucket of the shot, so one shot reads one folder.
+
+    Without `buckets` there is one for every `bucket_rows` rows, 16 at least; a store that is appended to needs the number
+    of its first write. Rows are dealt by bucket and a further hash of all columns first: a folder gets a few files from
+    few tasks, and a shot that holds many rows is written by several.
+    """
+    n = buckets or max(16, -(-df.count() // bucket_rows))
+    split = F.pmod(F.xxhash64(*df.columns), F.lit(4))
+    bucketed = df.withColumn("shot_bucket", F.pmod(F.xxhash64(shot), F.lit(n)).cast("int"))
+    bucketed.repartition(F.col("shot_bucket"), split).write.mode("append").partitionBy("shot_bucket").parquet(path)
 
 
 def documents_with_size(df: DataFrame, body: str) -> DataFrame:
