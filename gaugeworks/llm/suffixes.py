@@ -36,20 +36,13 @@ def id_blocks(docs: DataFrame, id: str, n: int) -> Column:
     cut = docs.select(F.percentile_approx(c, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
     if not cut:
         return F.lit(0)
-    cut = sorted(set(cut))
-
-    return _place(c, cut)
-
-
-def _place(c: Column, cut: list) -> Column:
-    edges = np.array(cut)
+    edges = np.array(sorted(set(cut)))
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(cut[0]).to_numpy().astype(edges.dtype)
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(edges, known, "left"))).astype("int32")
+        return pd.Series(np.searchsorted(edges, ids.to_numpy().astype(edges.dtype), "left").astype(np.int32))
 
-    return place(c)
+    return F.when(c.isNull(), F.lit(0)).otherwise(place(F.coalesce(c, F.lit(cut[0]))))
 
 
 def ordered(table: pa.Table) -> pa.Table:
