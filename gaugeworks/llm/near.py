@@ -129,7 +129,8 @@ def texts_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 keep = [k for k, v in enumerate(node) if v is not None and v not in seen and not seen.add(v)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node[k] for k in keep], pa.binary()), "text": part.take(pa.array(keep, pa.int64()))})
 
-    return rows.mapInArrow(once, "node binary, text string").join(wanted, "node").dropDuplicates(["node"])
+    # The wanted nodes grow with the documents; a broadcast that only fits small inputs is left alone.
+    return rows.mapInArrow(once, "node binary, text string").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
 
 
 def jaccard(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -250,7 +251,7 @@ def within_groups(texts: DataFrame, info: DataFrame, n: int, threshold: float, b
     g = info.select("node", "copies", "group", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).alias("level"))
     parts = kept_table(g.groupBy("group", "level").agg(F.ceil(F.count("*") / block).alias("parts")), "parts")
     near = parts.select("group", F.col("level").alias("l"), F.col("parts").alias("p"))
-    # a node meets every part of its own level and of both next ones; the lower (level, part) names the pair of cells
+    # A node meets every part of its own level and of both next ones; the lower (level, part) names the pair of cells.
     own = g.join(parts, ["group", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
     meets = own.withColumn("l", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).join(near, ["group", "l"])
     meets = meets.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
