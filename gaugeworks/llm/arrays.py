@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes hashed at a time; bounds the scratch arrays of a task.
-PIECE = 2 << 20
+PIECE = 1 << 19
 U = np.uint64
 
 

@@ -25,7 +25,7 @@ DIM = 64
 NONZERO = 8
 REACH = 2
 HIDDEN = 24
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: 0 white space, 1 lower case, 2 upper case, 3 digits, 4 beyond ASCII, 5 other
 KIND = np.full(256, 5, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0

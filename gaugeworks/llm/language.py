@@ -24,7 +24,7 @@ VOCABULARY = 100_000
 LONGEST = 5
 PENALTY = 0.7
 LEAST = 2
-PIECE = 2 << 20
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 

@@ -25,7 +25,7 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.999999
 FEW = 16
 BLOCK = 256
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def depth_for(threshold: float, trees: int, recall: float, deepest: int = DEEPEST) -> int:

@@ -22,7 +22,7 @@ from gaugeworks.llm import cells
 from gaugeworks.llm.arrays import U, byte_class, lower_ascii, pack_sorted, run_hashes, runs, span_hashes, unpack_sorted, utf8
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def pack_counts(n: np.ndarray) -> bytes:

@@ -21,9 +21,9 @@ from gaugeworks.llm import arrays
 
 LENGTH = 1024
 #: Parts of texts that a task remembers before it starts anew; bounds its memory.
-PARTS = 2_000_000
+PARTS = 500_000
 #: Texts tokenised at a time: this many bytes of a batch, at least one text.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 class Ids:

@@ -21,7 +21,7 @@ from gaugeworks.llm.arrays import byte_class, in_sorted, run_hashes, runs, span_
 WINDOW = 35
 #: Perfect difference sets, every difference modulo the period comes from one pair.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def period_for(window: int) -> int:

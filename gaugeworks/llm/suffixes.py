@@ -27,7 +27,7 @@ from gaugeworks.llm.arrays import U, byte_values, both_powers, mix, pack_sorted,
 
 LENGTH = 100
 GRAM = 32
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def id_blocks(docs: DataFrame, id: str, n: int) -> Column:
