@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: NN-descent builds the graph by Spark joins, queries walk it greedily.
 
-Equal vectors are one node. A first graph comes from the leaves of a few random hyperplane trees. Then each round meets
-the neighbours of every node (those it names and a sample of those that name it) with each other: two neighbours of a
-node are likely to be neighbours, so whoever finds a closer one than its farthest takes it. Rounds stop when the graph
-hardly improves. A query keeps a pool of the nearest nodes it has seen and looks at the neighbours of those it has not
+Equal vectors are one node. A first graph comes from the leaves of a few random hyperplane trees and from small groups of
+nodes drawn by hashes, so that every node has neighbours. Then each round meets the neighbours of every node (those it
+names and a sample of those that name it, at first also the drawn ones) with each other: two neighbours of a node are
+likely to be neighbours, so whoever finds a closer one than its farthest takes it. Rounds stop when the graph hardly
+improves. A query keeps a pool of the nearest nodes it has seen and looks at the neighbours of those it has not
 expanded, until the pool is all expanded.
 
 Lists that meet in one group are bounded: leaves and the sampled reverse neighbours are dealt by hashes after a map-side
-count, so a vector in a third of all rows, or a node that everyone names, never fills a task. Each round is written to the
+count, so a vector in a third of all rows, or a node that everyone names, never fills a task. A full leaf is dealt anew
+in every tree, so the parts of a tight cluster that no plane divides overlap and grow together. Each round is written to the
 shared folder, and all state is keyed rows.
 """
 
@@ -21,7 +23,8 @@ from gaugeworks.llm.frames import kept_table, pick
 DEGREE = 24
 TREES = 5
 LEAF = 64
-ROUNDS = 6
+ROUNDS = 12
+DRAWN = 8
 POOL = 128
 
 
@@ -113,7 +116,17 @@ def leaves(nodes: DataFrame, code: str, trees: int, leaf: int) -> DataFrame:
     placed = nodes.select("id", "vec").mapInArrow(sides, "id bigint, vec binary, tree int, leaf bigint")
     parts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).alias("parts"))
     return (
-        placed.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        placed.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("id", "vec", F.lit(float("inf")).alias("radius"))).alias("members")).select("members")
+    )
+
+
+def drawn(nodes: DataFrame, size: int = DRAWN, times: int = 2) -> DataFrame:
+    """Lists of about `size` nodes by a hash, `times` times."""
+    groups = max(1, nodes.count() // size)
+    salted = nodes.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(times)])))
+    return (
+        salted.groupBy("salt", F.pmod(F.xxhash64("id", "salt"), F.lit(groups)).alias("part"))
         .agg(F.collect_list(F.struct("id", "vec", F.lit(float("inf")).alias("radius"))).alias("members")).select("members")
     )
 
@@ -130,12 +143,16 @@ def both_ways(graph: DataFrame, degree: int, salt: int) -> DataFrame:
 def build(nodes: DataFrame, code: str, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (u, near) of (id, vec) nodes."""
     pairs = leaves(nodes, code, trees, leaf).mapInArrow(close_pairs(code, degree), "u bigint, v bigint, d double")
-    graph = kept_table(nearest(pairs, degree), "graph")
+    strangers = kept_table(drawn(nodes).mapInArrow(close_pairs(code, DRAWN // 2), "u bigint, v bigint, d double"), "drawn")
+    graph = kept_table(nearest(pairs.unionByName(strangers), degree), "graph")
     total = None
     for step in range(rounds):
         radius = graph.select(F.col("u").alias("a"), F.when(F.size("near") >= degree, F.element_at("near.d", -1)).otherwise(float("inf")).alias("radius"))
         who = nodes.select(F.col("id").alias("a"), "vec").join(radius, "a", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-        met = both_ways(graph, degree, step).join(who, "a").groupBy("m").agg(F.collect_list(F.struct(F.col("a").alias("id"), "vec", "radius")).alias("members"))
+        links = both_ways(graph, degree, step)
+        if not step:
+            links = links.unionByName(strangers.select(F.col("u").alias("m"), F.col("v").alias("a"))).distinct()
+        met = links.join(who, "a").groupBy("m").agg(F.collect_list(F.struct(F.col("a").alias("id"), "vec", "radius")).alias("members"))
         found = met.select("members").mapInArrow(close_pairs(code, degree // 2), "u bigint, v bigint, d double")
         old = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d")
         graph = kept_table(nearest(old.unionByName(found.select("u", "v", "d")), degree), "graph")

@@ -238,6 +238,22 @@ def test_neighbours(spark):
     assert neighbours.search(none, none.select("id")).collect() == []
 
 
+def test_neighbours_in_a_dense_cluster(spark):
+    """A cluster that no plane divides: its leaf is cut in other parts in every tree, so the parts grow together."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(1, 16)) + r.normal(size=(1500, 16)) * 1e-4, r.normal(size=(300, 16))]).astype(np.float32)
+    v = neighbours.usable(spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(x)], "vec_id long, embedding array<float>"))
+    by = defaultdict(set)
+    for g in neighbours.search(v, v.where("id < 1500 and id % 30 = 0").select("id")).collect():
+        by[g.query_id].add(g.vec_id)
+    y, hit = x.astype(float), 0
+    for q in range(0, 1500, 30):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & by[q])
+    assert hit >= 0.9 * 10 * 50
+
+
 # --- 6 decontamination
 
 
