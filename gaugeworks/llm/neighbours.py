@@ -4,8 +4,9 @@ Equal vectors are one node. A first graph comes from the leaves of a few random
 nodes drawn by hashes, so that every node has neighbours. Then each round meets the neighbours of every node (those it
 names and a sample of those that name it, at first also the drawn ones) with each other: two neighbours of a node are
 likely to be neighbours, so whoever finds a closer one than its farthest takes it. Rounds stop when the graph hardly
-improves. A query keeps a pool of the nearest nodes it has seen and looks at the neighbours of those it has not
-expanded, until the pool is all expanded.
+improves. A query keeps a pool of the nearest nodes it has seen, its own and a few fixed ones first, and looks at the
+neighbours of those it has not expanded, until the pool is all expanded. A query whose pool holds too few ids is compared
+with all nodes, block by block.
 
 Lists that meet in one group are bounded: leaves and the sampled reverse neighbours are dealt by hashes after a map-side
 count, so a vector in a third of all rows, or a node that everyone names, never fills a task. A full leaf is dealt anew
@@ -25,6 +26,8 @@ TREES = 5
 LEAF = 64
 ROUNDS = 12
 DRAWN = 8
+ENTRIES = 8
+ASKED, HELD = 1024, 4096
 POOL = 128
 
 
@@ -163,6 +166,36 @@ def build(nodes: DataFrame, code: str, degree: int = DEGREE, trees: int = TREES,
     return graph
 
 
+def block_pairs(code: str, keep: int):
+    """Map pairs of lists (asked: s, sv; held: v, vec) to rows (s, e): for each asked its `keep` nearest held nodes."""
+
+    def pairs(batches):
+        for b in batches:
+            for asked, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array([r["v"] for r in held], np.int64)
+                x = np.frombuffer(b"".join(r["vec"] for r in held), code).astype(float).reshape(len(ids), -1)
+                out = []
+                for r in asked:
+                    d = np.sqrt(((x - np.frombuffer(r["sv"], code).astype(float)) ** 2).sum(1))
+                    best = np.lexsort((ids, d))[:keep]
+                    out += [(r["s"], {"d": y, "v": v}) for y, v in zip(d[best].tolist(), ids[best].tolist())]
+                yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in out], pa.int64()), "e": pa.array([e for _, e in out], pa.struct([("d", pa.float64()), ("v", pa.int64())]))})
+
+    return pairs
+
+
+def exact(nodes: DataFrame, starts: DataFrame, code: str, keep: int) -> DataFrame:
+    """(s, pool): the `keep` nearest nodes of every start (s, sv), from all nodes; blocks of both meet, so no task holds all."""
+
+    def blocks(df, name, size, *columns):
+        n = max(1, -(-df.count() // size))
+        return df.groupBy(F.pmod(F.xxhash64(columns[0]), F.lit(n)).alias("part")).agg(F.collect_list(F.struct(*columns)).alias(name)).select(name)
+
+    held = blocks(nodes.select(F.col("id").alias("v"), "vec"), "held", HELD, "v", "vec")
+    found = blocks(starts, "asked", ASKED, "s", "sv").crossJoin(held).select("asked", "held").mapInArrow(block_pairs(code, keep), "s bigint, e struct<d:double,v:bigint>")
+    return found.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("e")), 1, keep).alias("pool"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DEGREE, pool: int = POOL, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, steps: int = 40) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row of `queries` (id) among all other `vectors`.
 
@@ -180,7 +213,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DE
     links = kept_table(both_ways(graph, degree, -1), "links")
     asked = queries.select(F.col("id").cast("long").alias("q")).distinct().join(of.select(F.col("id").alias("q"), "node"), "q")
     starts = kept_table(asked.select(F.col("node").alias("s")).distinct().join(nodes.select(F.col("id").alias("s"), F.col("vec").alias("sv")), "s"), "starts")
-    state = starts.select("s", F.array(F.struct(F.lit(0.0).alias("d"), F.col("s").alias("v"))).alias("pool"), F.array().cast("array<bigint>").alias("done"))
+    fixed = [r.id for r in nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id").collect()]
+    entries = nodes.where(F.col("id").isin(fixed)).select(F.col("id").alias("v"), "vec")
+    given = starts.crossJoin(F.broadcast(entries)).where("s <> v").select("s", F.struct(distance(F.col("vec"), F.col("sv"), code).alias("d"), F.col("v")).alias("e"))
+    given = given.unionByName(starts.select("s", F.struct(F.lit(0.0).alias("d"), F.col("s").alias("v")).alias("e")))
+    state = kept_table(given.groupBy("s").agg(F.array_sort(F.collect_list("e")).alias("pool")).withColumn("done", F.array().cast("array<bigint>")), "pools")
     for _ in range(steps):
         front = state.select("s", F.explode(F.array_except("pool.v", "done")).alias("m"))
         seen = front.join(links, "m").select("s", F.col("a").alias("v")).distinct()
@@ -194,7 +231,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DE
         if not state.where(F.size(F.array_except("pool.v", "done")) > 0).limit(1).count():
             break
     listed = few_ids(of, k + 1)
-    hits = state.select("s", F.explode("pool").alias("e")).join(listed.select(F.col("node").alias("v"), "ids"), F.col("e.v") == F.col("v")).select("s", F.col("e.d").alias("d"), F.explode("ids").alias("vec_id"))
+    pools = state.select("s", "pool")
+    need = min(k + 1, rows.count())
+    ids = pools.select("s", F.explode("pool.v").alias("v")).join(listed.select(F.col("node").alias("v"), F.size("ids").alias("n")), "v").groupBy("s").agg(F.sum("n").alias("n"))
+    short = kept_table(ids.where(F.col("n") < need).select("s"), "short")
+    if short.limit(1).count():
+        pools = pools.join(short, "s", "left_anti").unionByName(exact(nodes, starts.join(short, "s"), code, k + 1))
+    hits = pools.select("s", F.explode("pool").alias("e")).join(listed.select(F.col("node").alias("v"), "ids"), F.col("e.v") == F.col("v")).select("s", F.col("e.d").alias("d"), F.explode("ids").alias("vec_id"))
     lists = asked.join(hits, F.col("node") == F.col("s")).where("vec_id <> q").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k).alias("best"))
     return lists.select(F.col("q").alias("query_id"), F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.d").alias("score"))
 

@@ -254,6 +254,19 @@ def test_neighbours_in_a_dense_cluster(spark):
     assert hit >= 0.9 * 10 * 50
 
 
+def test_neighbours_of_an_outlier(spark):
+    """Alone in its leaf in every tree, it has first neighbours all the same; the exact pass gives what brute force gives."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.eye(1, 16) + r.normal(size=(300, 16)) * 0.01, -np.eye(1, 16)]).astype(np.float32)
+    v = neighbours.usable(spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(x)], "vec_id long, embedding array<float>"))
+    d = np.sqrt(((x.astype(float) - x[300].astype(float)) ** 2).sum(1))
+    got = {g.rank: g.vec_id for g in neighbours.search(v, v.where("id = 300").select("id")).collect()}
+    assert sorted(got) == list(range(1, 11)) and len(set(got.values()) & set(np.argsort(d[:300])[:10].tolist())) >= 8
+    nodes = v.select("id", "vec")
+    pool = neighbours.exact(nodes, nodes.where("id = 300").select(F.col("id").alias("s"), F.col("vec").alias("sv")), "<f4", 11).first().pool
+    assert [p.v for p in pool] == np.argsort(d, kind="stable")[:11].tolist()
+
+
 # --- 6 decontamination
 
 
