@@ -11,6 +11,9 @@ suffixes with equal beginnings compete, so the suffix array is built sparsely an
 2. What is left are the first copies of differing extents around one anchor. They travel to their anchor's hash range,
    where all their suffixes that start a window are sorted by prefix doubling. Among suffixes with a common prefix of at
    least `length` bytes the previous smaller position in suffix order is an earlier match: the window goes.
+   An anchor with more than `hot` differing extents (the edge of a passage in many documents) would fill one range.
+   Its windows are dealt by their own hashes instead: a window whose hash comes earlier in its block, or in an earlier
+   block, goes.
 
 Blocks are ranges of the id, so that an earlier block is an earlier text. Rows carry one cell per block and hash range
 (see `cells`): a string in a third of all documents is one entry per block.
@@ -23,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.llm import cells
-from gaugeworks.llm.arrays import U, byte_values, both_powers, mix, pack_sorted, unpack_sorted, utf8
+from gaugeworks.llm.arrays import U, byte_values, both_powers, mix, pack_sorted, span_hashes, unpack_sorted, utf8
 
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 19
+#: Differing extents around one anchor, of at most 2 * length bytes each, that are sorted together.
+MOST = 1024
 
 
 def id_blocks(docs: DataFrame, id: str, n: int) -> Column:
@@ -116,11 +121,12 @@ class Block:
         return out
 
 
-ALONE, SEEN, TIED = 0, 1, 2
+ALONE, SEEN, TIED, HOT = 0, 1, 2, 3
 
 
-def judge(blocks: np.ndarray, bodies: list[list[bytes]]) -> list[bytes]:
-    """For every cell a state per entry: no earlier match, extent seen in an earlier block, or first of differing extents."""
+def judge(blocks: np.ndarray, bodies: list[list[bytes]], hot: int = MOST) -> list[bytes]:
+    """For every cell a state per entry: no earlier match, extent seen in an earlier block, first of differing extents, or
+    first of more than `hot` of them."""
     g = [unpack_sorted(b[1]) for b in bodies]
     owner = np.repeat(np.arange(len(bodies)), [len(x) for x in g])
     gs = np.concatenate(g) if g else np.zeros(0, U)
@@ -133,7 +139,7 @@ def judge(blocks: np.ndarray, bodies: list[list[bytes]]) -> list[bytes]:
     new_e[1:] |= e[1:] != e[:-1]
     group = np.cumsum(new_a) - 1
     kinds = np.bincount(group, weights=new_e).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    state = np.where(~new_e, SEEN, np.where(kinds[group] > 1, TIED, ALONE)) if len(order) else np.zeros(0, np.int64)
+    state = np.where(~new_e, SEEN, np.where(kinds[group] > max(1, hot), HOT, np.where(kinds[group] > 1, TIED, ALONE))) if len(order) else np.zeros(0, np.int64)
     out = np.empty(len(order), np.uint8)
     out[order] = state
     at = np.concatenate([[0], np.cumsum([len(x) for x in g])]).astype(np.int64)
@@ -163,6 +169,17 @@ def previous_smaller(order_rank: np.ndarray, position: np.ndarray) -> np.ndarray
     return out
 
 
+def seen_before(blocks: list[int], hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """For every cell which of its distinct hashes an earlier block holds too."""
+    h = np.concatenate(hashes)
+    order = np.lexsort((np.repeat(blocks, [len(x) for x in hashes]), h))
+    same = np.zeros(len(h), bool)
+    same[1:] = h[order][1:] == h[order][:-1]
+    out = np.empty(len(h), bool)
+    out[order] = same
+    return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
+
+
 def spans(mask_starts: np.ndarray, mask_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals merged where they touch or overlap."""
     if not len(mask_starts):
@@ -175,7 +192,7 @@ def spans(mask_starts: np.ndarray, mask_ends: np.ndarray) -> tuple[np.ndarray, n
     return s[at], e[np.append(at[1:], len(s)) - 1]
 
 
-def remove_later_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_later_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = MOST) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): every byte covered by a `length`-byte string that also starts earlier goes.
 
     Texts are UTF-8 bytes; earlier is a smaller id (a number), or an earlier start in the same text, overlaps included;
@@ -193,7 +210,7 @@ def remove_later_copies(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     def answer(key, table):
         bodies = [cells.parts(x) for x in table["body"].to_pylist()]
-        said = judge(table["block"].to_numpy(), bodies)
+        said = judge(table["block"].to_numpy(), bodies, hot)
         return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array(said, pa.binary())})
 
     def second(key, table, answers):
@@ -204,9 +221,15 @@ def remove_later_copies(docs: DataFrame, id: str = "doc_id", text: str = "text",
         seen = state[b.entry] == SEEN
         later = np.ones(len(b.first), bool)
         later[b.head] = False
-        s, e = spans(b.first[seen | later], b.last[seen | later] + length)
+        runs = np.sort(b.head[state == HOT])
+        each = b.last[runs] - b.first[runs] + 1
+        at = np.repeat(b.first[runs] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        h, head = np.unique(span_hashes(b.data, at, at + length), return_index=True)
+        again = np.delete(at, head)
+        s, e = spans(np.concatenate([b.first[seen | later], again]), np.concatenate([b.last[seen | later], again]) + length)
         own = key[0].as_py()
         out = [(own % n, cells.join(b"note", s.tobytes(), e.tobytes()))]
+        out += [(k, cells.join(b"hot", pack_sorted(h[x:y]), at[head[x:y]].tobytes())) for k, x, y in cells.split(h, n)]
         ship = np.flatnonzero(state == TIED)
         raw = memoryview(b.data.tobytes())
         for k, x, y in cells.split(b.g[ship], n):
@@ -223,6 +246,12 @@ def remove_later_copies(docs: DataFrame, id: str = "doc_id", text: str = "text",
             if x[0] == b"note":
                 out_block.append(owners[k])
                 out_body.append(cells.join(*x[1:]))
+        many = [k for k, x in enumerate(bodies) if x[0] == b"hot"]
+        for k, hit in zip(many, seen_before([owners[k] for k in many], [unpack_sorted(bodies[k][1]) for k in many]) if many else []):
+            w = np.sort(np.frombuffer(bodies[k][2], np.int64)[hit])
+            s, e = spans(w, w + length)
+            out_block.append(owners[k])
+            out_body.append(cells.join(s.tobytes(), e.tobytes()))
         if ship:
             lo = [np.frombuffer(bodies[k][1], np.int64) for k in ship]
             hi = [np.frombuffer(bodies[k][2], np.int64) for k in ship]

@@ -364,6 +364,17 @@ def test_suffix_array_dedup(docs, texts, n, blocks, monkeypatch):
     assert suffixes.remove_later_copies(nothing(docs)).collect() == []
 
 
+def test_suffix_array_dedup_of_hot_anchors(docs, texts, monkeypatch):
+    """Extents around one anchor of a passage in many documents don't meet in one group; the result stays the same."""
+    ends = np.arange(2000, dtype=np.uint64)
+    bodies = [[b"ask", arrays.pack_sorted(np.full(500, 7, np.uint64)), ends[k : k + 500].tobytes()] for k in range(0, 2000, 500)]
+    said = np.frombuffer(b"".join(suffixes.judge(np.arange(4), bodies)), np.uint8)
+    assert not (said == suffixes.TIED).any()
+    monkeypatch.setattr(cells, "block_count", lambda *a: 5)
+    got = suffixes.remove_later_copies(docs, length=40, hot=1).collect()
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == later_copies(texts, 40)
+
+
 # --- 9 substring dedup
 
 
