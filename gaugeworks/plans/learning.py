@@ -114,7 +114,7 @@ def batch(t):
 @query("mlx_09_grid_search")
 def grid(t):
     df = spread(facts(t), "key")
-    model, scores = m.cross_validated_search(df, "key", COLS, "y", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=3, draws=3)
+    model, scores = m.cross_validated_search(df, "key", COLS, "y", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=5)
     return rounded(model.transform(m.assemble(df, COLS)).select("key", "prediction"), 4)
 
 
@@ -169,7 +169,7 @@ def bootstrap(t):
 @query("mlx_15_permutation_importance")
 def permutation(t):
     df = spread(facts(t), "key")
-    return rounded(m.permutation_importance(df, "key", COLS, "y", m.fit(df, COLS, "y"), 2), 2)
+    return rounded(m.permutation_importance(df, "key", COLS, "y", m.fit(df, COLS, "y"), 10), 2)
 
 
 @query("mlx_16_grouped_importance", """

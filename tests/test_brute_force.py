@@ -255,3 +255,30 @@ def test_comprehensive_run_agrees_on_a_planted_row(spark):
     got = an.comprehensive(df, "id", ["x", "y"], [], ["id"], [an.Rule("surge", "critical", "x", "max", 200)], 30)
     row = got.filter("id = 100").first()
     assert row["votes"] == 4 and row["consensus"] and got.filter("consensus").count() < 30
+
+
+def test_searches_and_permutations_run_in_full(monkeypatch):
+    """The registered grid search takes all points and 5 folds, the permutation importance 10 repeats."""
+    import inspect
+
+    from gaugeworks.operators import learn
+    from gaugeworks.plans import learning
+
+    for name, query, want in (("cross_validated_search", learning.grid, {"folds": 5, "draws": None}), ("permutation_importance", learning.permutation, {"repeats": 10})):
+        kind, asked = inspect.signature(getattr(learn, name)), {}
+
+        def stop(*a, **k):
+            b = kind.bind(*a, **k)
+            b.apply_defaults()
+            asked.update(b.arguments)
+            raise InterruptedError
+
+        monkeypatch.setattr(learn, name, stop)
+        for f in ("spread", "facts"):
+            monkeypatch.setattr(learning, f, lambda *a: None)
+        monkeypatch.setattr(learn, "fit", lambda *a, **k: None)
+        try:
+            query(None)
+        except InterruptedError:
+            pass
+        assert {k: asked[k] for k in want} == want
