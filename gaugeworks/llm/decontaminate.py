@@ -6,7 +6,8 @@ with fewer, but not none, is one window), with a space at both ends, so that a h
 edges. Each text passes through it once; hits are counted in words and mapped back to code points of the original.
 
 The automaton is built from the distinct windows only. They are counted first: more than `per_automaton` of them are
-dealt by hash over several automata, each scanned in turn, so that what one task holds never grows with the benchmark.
+dealt by hash over several automata, each scanned in turn. The driver and every Python worker hold all of
+them, so memory grows with the benchmark.
 """
 
 import hashlib

@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact Jaccard similarity of whole shingle sets decides.
+"""N-gram Jaccard join: MinHash banding proposes, exact Jaccard similarity of whole shingle sets decides.
 
 A text is the set of its runs of `n` words (A-Z lowered, words as in `decontaminate`). Texts with equal sets are one
-node. Every tree of the forest is a prefix trie over a node's MinHash values; two nodes meet where they share a prefix.
-A long prefix meets few strangers but misses links, so the matched prefix is shortened from `deepest` until the chance
-that nodes of similarity `threshold` share it in some tree reaches `recall`: 1 - (1 - threshold ** depth) ** trees.
+node. Every tree hashes one prefix of a node's MinHash values; two nodes meet where they share it. A long prefix meets
+few strangers but misses links, so before any data is read the one depth of all trees is shortened from `deepest` until the
+chance that nodes of similarity `threshold` share it in some tree reaches `recall`: 1 - (1 - threshold ** depth) ** trees.
 
 Trie nodes with few members give pairs, which pass a check of sizes and of the signatures' agreement (its slack is part of
 the target recall) and are then compared exactly. Where a trie node has many members, they form work groups, which are
