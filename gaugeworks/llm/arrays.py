@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,14 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark uses its Python workers again, for other operators too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit over all bits (the splitmix64 finish)."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -5,10 +5,10 @@ Each piece is a sequence of its own, so no sequence crosses documents and none i
 one bucket (one length). Cutting needs nothing but the document itself, so there is no shuffle and no count of the whole.
 """
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -41,14 +41,18 @@ class Ids:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.most = parts
+        self.cuts = cuts if cuts_hold(self.model) else text_starts
         self.clear()
 
     def clear(self) -> None:
         """Known parts: ascending hashes, where each one's ids begin, how many, and all ids in a row."""
         self.known, self.first, self.count, self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        got = self.encode(texts)
         count = np.fromiter(map(len, got), np.int64, len(got))
         first = len(self.table) + np.cumsum(count) - count
         self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))])
@@ -59,7 +63,7 @@ class Ids:
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
         data, offsets = arrays.utf8(texts)
-        starts = cuts(data, offsets)
+        starts = self.cuts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
@@ -81,10 +85,17 @@ class Ids:
         return out, np.diff(edges)
 
 
-@lru_cache(maxsize=2)
-def shared_ids(path: str) -> Ids:
-    """One memory for all tasks that a Python worker runs in turn."""
-    return Ids(path)
+def cuts_hold(model) -> bool:
+    """Whether `cuts` is right for a tokenizer: a byte-level one with the usual pattern, that changes no text before, and
+    whose added tokens are all special (so they are plain text here)."""
+    state = json.loads(model.to_str())
+    pre = state["pre_tokenizer"] or {}
+    return state["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(t["special"] for t in state["added_tokens"])
+
+
+def text_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the texts that aren't empty: every text is one part."""
+    return offsets[:-1][np.diff(offsets) > 0]
 
 
 #: 0 white space, 1 ASCII letters, 2 digits, 3 other ASCII, 4 beyond ASCII, 5 white space that keeps a text whole.
@@ -141,11 +152,13 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, task, count = None, TaskContext.get().partitionId(), 0
         for batch in batches:
-            model = model or shared_ids(path)
+            model = model or Ids(path)
             for part in slices(batch):
                 out = table_of(part, model, length, end_id, (task << 40) + count, ids)
                 count += out.num_rows
                 yield out
+        del model
+        arrays.release()
 
     return rows.mapInArrow(cut, kind)
 

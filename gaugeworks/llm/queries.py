@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeworks.llm import classifier, decontaminate, language, lines, near, neighbours, ngrams, packing, substrings, suffixes
+from gaugeworks.llm import align, article, classifier, decontaminate, language, lines, near, neighbours, ngrams, packing, spelling, substrings, suffixes
 from gaugeworks.llm.frames import table
 from gaugeworks.session import prepare
 
@@ -96,8 +96,8 @@ def op8(spark, sf_dir):
 
 
 def crc_mod(n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text, modulo n; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
 
 
 def quality_model(spark, sf_dir):
@@ -149,3 +149,38 @@ def op5(spark, sf_dir):
 def op1(spark, sf_dir):
     out = near.near_classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_texts")
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark, sf_dir):
+    out = align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY ALL),
+    hashed AS (SELECT w, n, xor(list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+               FROM (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run), crc),
+    word AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word FROM hashed)
+             WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    cut AS (SELECT word, i, word[: i] || word[i + 2 :] AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM word)),
+    pair AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b USING (k, i) WHERE a.word <> b.word
+             UNION SELECT a.word, b.word FROM cut a JOIN word b ON b.word = a.k UNION SELECT b.word, a.word FROM cut a JOIN word b ON b.word = a.k),
+    best AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-b.n, encode(p.near))) AS near, max(b.n) AS near_n FROM pair p JOIN word b ON b.word = p.near GROUP BY p.word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM word w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL),
+    roots AS (SELECT walk.word, walk.at AS root FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NULL)
+    SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM forms f JOIN roots USING (word)
+    """,
+)
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_html_extraction")
+def op13(spark, sf_dir):
+    out = article.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
