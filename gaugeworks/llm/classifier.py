@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeworks.llm import cells
-from gaugeworks.llm.arrays import U, mix, span_hashes, utf8
+from gaugeworks.llm.arrays import U, mix, release, span_hashes, utf8
 from gaugeworks.llm.frames import bounded, kept_table, pick
 
 SAMPLE = 20_000
@@ -25,7 +25,7 @@ DIM = 64
 NONZERO = 8
 REACH = 2
 HIDDEN = 24
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: 0 white space, 1 lower case, 2 upper case, 3 digits, 4 beyond ASCII, 5 other
 KIND = np.full(256, 5, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -47,10 +47,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     solid = group[s] > 0
     s, e = s[solid], e[solid]
     h = span_hashes(data, s, e)
-    sums = np.zeros((len(data) + 1, 4), np.int32)
-    for k, j in enumerate((2, 3, 4)):
-        np.cumsum(KIND[data] == j, out=sums[1:, k])
-    upper, digit, wide = (sums[e, k] - sums[s, k] for k in range(3))
+    kind = KIND[data]
+    upper, digit, wide = (np.add.reduceat((kind == j).astype(np.int32), at[:-1])[solid] for j in (2, 3, 4))
     size = e - s
     first = KIND[data[s]]
     code = (first == 5) * 64 + np.where(upper == 0, 0, np.where(upper == size, 3, np.where((upper == 1) & (first == 2), 1, 2))) * 16 + (digit > 0) * 8 + (wide > 0) * 4 + np.digitize(size, [4, 8, 16])
@@ -60,7 +58,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, signs) of the non-zero entries of every hash's index vector."""
     out = np.stack([mix(h + U(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) for k in range(1, NONZERO + 1)], 1)
-    return (out % U(DIM)).astype(np.int64), np.where(out >> U(63), 1.0, -1.0)
+    return (out % U(DIM)).astype(np.int32), np.where(out >> U(63), np.float32(1), np.float32(-1))
 
 
 def known_rows(h: np.ndarray, shape: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -74,20 +72,18 @@ def known_rows(h: np.ndarray, shape: np.ndarray, words: np.ndarray) -> np.ndarra
     return np.where(hit, at, fall)
 
 
-def context_sums(h, shape, edges, words) -> np.ndarray:
-    """Sum of the index vectors of all neighbours within reach, per row of `words`."""
+def add_contexts(h, shape, edges, words, out: np.ndarray) -> None:
+    """Add the index vectors of all neighbours within reach to the rows of `words` in `out`, a flat table. Whole numbers
+    below 2 ** 24, so that single precision is exact."""
     row = known_rows(h, shape, words)
     of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     place, sign = index_vectors(h)
-    out = np.zeros(len(words) * DIM)
     for d in range(1, REACH + 1):
         ok = of[d:] == of[:-d]
         for to, frm in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
             r = row[to]
             good = ok & (r >= 0)
-            for k in range(NONZERO):
-                out += np.bincount(r[good] * DIM + place[frm, k][good], weights=sign[frm, k][good], minlength=len(out))
-    return out.reshape(-1, DIM)
+            np.add.at(out, ((r[good] * DIM)[:, None] + place[frm][good]).ravel(), sign[frm][good].ravel())
 
 
 class Model:
@@ -136,20 +132,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 h, shape, _ = tokens(data[offsets[x] : offsets[z]], offsets[x : z + 1] - offsets[x])
                 u, n = np.unique(np.concatenate([h, shape]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(u.view(np.int64)), "n": pa.array(n)})
+        release()
 
     top = rows.mapInArrow(words_in, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.desc("n"), "h").limit(vocabulary)
     words = np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(U))
     shared = spark.sparkContext.broadcast(words)
 
     def contexts(batches):
-        total = np.zeros((len(shared.value), DIM))
+        total = np.zeros(len(shared.value) * DIM, np.float32)
         for b in batches:
             data, offsets = utf8(b.column(1))
             for x, z in cells.piece_edges(offsets, PIECE):
-                total += context_sums(*tokens(data[offsets[x] : offsets[z]], offsets[x : z + 1] - offsets[x]), shared.value)
+                add_contexts(*tokens(data[offsets[x] : offsets[z]], offsets[x : z + 1] - offsets[x]), shared.value, total)
         step = 4096
-        for k in range(0, len(total), step):
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([total[k : k + step].tobytes()], pa.binary())})
+        for k in range(0, len(shared.value), step):
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([total[k * DIM : (k + step) * DIM].astype(float).tobytes()], pa.binary())})
+        del total
+        release()
 
     def add(key, table):
         return pa.table({"k": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([sum(np.frombuffer(v, float) for v in table["v"].to_pylist()).tobytes()], pa.binary())})
@@ -168,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 h, shape, edges = tokens(data[offsets[x] : offsets[z]], offsets[x : z + 1] - offsets[x])
                 m = means(table.value, known_rows(h, shape, shared.value), edges)
                 yield pa.RecordBatch.from_pydict({"key": b.column(0).slice(x, z - x), "y": b.column(2).slice(x, z - x), "x": pa.array([v.astype(np.float32).tobytes() for v in m], pa.binary())})
+        release()
 
     got = rows.mapInArrow(pooled, "key bigint, y int, x binary").orderBy("key", "x").collect()
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float) if got else np.zeros((0, DIM))
@@ -211,6 +211,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(pa.array(texts, pa.string(), from_pandas=True)))
+        out = pd.Series(shared.value.scores(pa.array(texts, pa.string(), from_pandas=True)))
+        release()
+        return out
 
     return docs.withColumn("_score", judge(F.col(f"`{text}`").cast("string")))
