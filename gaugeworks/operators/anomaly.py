@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.functions.stats import grubbs_critical
+from gaugeworks.operators import space
 from gaugeworks.operators.aggregate import fences, rows
 from gaugeworks.operators.ordered import average_rank, framed, largest_group, position, quantiles
 from gaugeworks.operators.project import row_mean
@@ -321,7 +322,33 @@ def comprehensive(df: DataFrame, key: str, cols: Sequence[str], keys: Sequence[s
     return consensus(out, ["z_flag", "iqr_flag", "forest_flag", "pattern_flag"])
 
 
-# --- local outlier factor on one axis ---------------------------------------------------------------
+# --- local outlier factor ---------------------------------------------------------------------------
+
+
+def outlier_factors(df: DataFrame, key: str, cols: Sequence[str], k: int = 20, contamination: float = 0.1, scale: bool = True) -> DataFrame:
+    """Add `lof`, the local outlier factor over all features, and `anomaly`, above the quantile 1 - `contamination` of it.
+
+    Exactly k neighbours a row, by distance and then the smaller key; features are standardised first unless `scale` is
+    False. Copies of a position are one weighted point, with the same factor; with more than k copies it is that of equal
+    densities. Rows with a null feature get nulls. `key` is a unique whole number.
+    """
+    known = df.dropna(subset=list(cols))
+    placed = space.scaled(known, cols, "_vec") if scale else known.withColumn("_vec", F.array(*[F.col(c).cast("double") for c in cols]))
+    placed = durable(placed.withColumn("_vec", F.transform("_vec", lambda x: x + 0.0)))
+    points = durable(space.positions(placed.select(key, F.col("_vec").alias("vec")), key))
+    near = durable(space.nearest(points, len(cols), k))
+    reach = near.select(F.col("id").alias("peer"), F.element_at("near", -1)["distance"].alias("kd"))
+    edges = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("peer"), "n.distance", "n.w")
+    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    density = edges.join(reach, "peer").groupBy("id").agg((1 / (mean(F.greatest("distance", "kd")) + 1e-10)).alias("lrd"))
+    density = durable(density)
+    around = edges.join(density.withColumnsRenamed({"id": "peer"}), "peer").groupBy("id").agg(mean(F.col("lrd")).alias("_around"))
+    lof = points.join(around, "id").join(density, "id").select(F.col("vec").alias("_vec"), (F.col("_around") / F.col("lrd")).alias("lof"))
+    scored = durable(placed.join(lof, "_vec", "left").drop("_vec"))
+    edge = scalar_row(quantiles(scored, [], ["lof"], [1 - contamination]))["q_lof"][0]
+    scored = scored.withColumn("anomaly", F.col("lof") > edge)
+    rest = df.filter(" or ".join(f"`{c}` is null" for c in cols))
+    return scored.unionByName(rest.withColumns({"lof": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("boolean")}))
 
 
 def local_outlier_factor(df: DataFrame, keys: Sequence[str], value: str, tie: str, k: int = 20) -> DataFrame:

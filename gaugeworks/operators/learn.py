@@ -70,67 +70,6 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """Density clusters in the plane; `cluster` is the smallest member number of the cluster, -1 for noise.
-
-    The plane is cut into cells whose diagonal is `eps`, so all points of a cell are neighbours. A cell
-    with `min_points` points is dense: its points are core points of one cluster without looking at any
-    pair. Only points of thin cells, of which a cell has fewer than `min_points`, are compared with the
-    points of the cells around. Two dense cells are joined by comparing sub-cells, and points only where
-    sub-cells leave it open. Copies of a position are one weighted point.
-    """
-    side = eps / math.sqrt(2)
-    sub = side / 4
-    spots = df.groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(rows().alias("w"), F.min(key).alias("id"))
-    spots = spots.withColumns({"cx": F.floor(F.col("px") / side), "cy": F.floor(F.col("py") / side), "sx": F.floor(F.col("px") / sub), "sy": F.floor(F.col("py") / sub)})
-    cells = spots.groupBy("cx", "cy").agg(F.sum("w").alias("cell_w"), F.min("id").alias("cell_id"))
-    spots = durable(spots.join(cells, ["cx", "cy"]).withColumn("dense", F.col("cell_w") >= min_points))
-
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
-
-    def spread(d: DataFrame) -> DataFrame:
-        """Each row once per cell around its own, as (nx, ny)."""
-        e = d.withColumn("_o", F.explode(around))
-        return e.withColumns({"nx": F.col("cx") + F.col("_o.i"), "ny": F.col("cy") + F.col("_o.j")}).drop("_o")
-
-    thin = spread(spots.filter("not dense").select("id", "px", "py", "cx", "cy"))
-    other = spots.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("w").alias("qw"), F.col("id").alias("qid"), F.col("dense").alias("qdense"), F.col("cell_id").alias("qcell"))
-    close = (F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2)) <= eps * eps
-    near = durable(thin.join(other, ["nx", "ny"]).filter(close).groupBy("id", F.when(F.col("qdense"), F.col("qcell")).otherwise(F.col("qid")).alias("peer"), "qdense").agg(F.sum("qw").alias("w")))
-    core_thin = near.groupBy("id").agg(F.sum("w").alias("w")).filter(F.col("w") >= min_points).select("id")
-
-    # Links between dense cells: boxes of sub-cells first, points where boxes do not decide.
-    subs = spots.filter("dense").groupBy("cx", "cy", "sx", "sy", "cell_id").agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
-    left = spread(subs).filter("nx > cx or (nx = cx and ny > cy)")
-    right = subs.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), *[F.col(c).alias(f"q{c}") for c in ("sx", "sy", "cell_id", "x0", "x1", "y0", "y1")])
-    pair = left.join(right, ["nx", "ny"])
-    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"q{a}0") - F.col(f"{a}1"), F.col(f"{a}0") - F.col(f"q{a}1"))
-    far = lambda a: F.greatest(F.col(f"q{a}1") - F.col(f"{a}0"), F.col(f"{a}1") - F.col(f"q{a}0"))
-    low, high = F.pow(gap("x"), 2) + F.pow(gap("y"), 2), F.pow(far("x"), 2) + F.pow(far("y"), 2)
-    pair = pair.select("cell_id", "qcell_id", "sx", "sy", "qsx", "qsy", (high <= eps * eps).alias("sure"), (low <= eps * eps).alias("may")).filter("may")
-    linked = pair.groupBy("cell_id", "qcell_id").agg(F.bool_or("sure").alias("sure"))
-    open_ = pair.join(linked.filter("not sure").select("cell_id", "qcell_id"), ["cell_id", "qcell_id"], "left_semi")
-    pts = spots.filter("dense").select("sx", "sy", "px", "py")
-    qts = pts.select(F.col("sx").alias("qsx"), F.col("sy").alias("qsy"), F.col("px").alias("qx"), F.col("py").alias("qy"))
-    checked = open_.join(pts, ["sx", "sy"]).join(qts, ["qsx", "qsy"]).filter(close).select("cell_id", "qcell_id").distinct()
-    dense_edges = linked.filter("sure").select("cell_id", "qcell_id").unionByName(checked)
-
-    core_near = near.join(core_thin, "id")
-    thin_edges = core_near.join(core_thin.select(F.col("id").alias("peer"), F.lit(True).alias("pcore")), "peer", "left").filter("qdense or pcore").select("id", "peer")
-    nodes = spots.filter("dense").select("cell_id").distinct().select(F.col("cell_id").alias("a"), F.col("cell_id").alias("b"))
-    edges = nodes.unionByName(dense_edges.toDF("a", "b")).unionByName(thin_edges.toDF("a", "b")).unionByName(core_thin.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    comp = durable(components(edges))
-
-    dense_c = spots.filter("dense").join(comp, F.col("cell_id") == F.col("node")).select("px", "py", "root")
-    core_c = spots.join(comp.join(core_thin, F.col("node") == F.col("id"), "left_semi"), F.col("id") == F.col("node")).filter("not dense").select("px", "py", "root")
-    # A border point joins the cluster of a core neighbour, the one with the smallest root.
-    rim = near.join(core_thin, "id", "left_anti").join(comp, F.col("peer") == F.col("node")).groupBy("id").agg(F.min("root").alias("root"))
-    rim_c = spots.filter("not dense").join(rim, "id").select("px", "py", "root")
-    found = dense_c.unionByName(core_c).unionByName(rim_c)
-    out = df.join(found, (F.col(x) == F.col("px")) & (F.col(y) == F.col("py")), "left")
-    return out.withColumn("cluster", F.coalesce("root", F.lit(-1))).drop("px", "py", "root")
-
-
 # --- regression -------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeworks.operators import space
 from gaugeworks.operators.aggregate import fences, numeric_columns, rows
 from gaugeworks.operators.ordered import modes, quantiles, running
 from gaugeworks.operators.project import FEATURES, engineer
@@ -70,6 +71,37 @@ def impute_nearest(df: DataFrame, key: str, block: Sequence[str], target: str, a
     return df.join(filled, key, "left").withColumn(target, F.coalesce(F.col(target), F.col("_fill"))).drop("_fill")
 
 
+def impute_neighbours(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> DataFrame:
+    """Fill every missing number with the mean over the k rows nearest to it that know the column.
+
+    Distances are Euclidean over the features known on both sides, raised by the share of the unknown ones; a row that shares
+    none with any other gets the column's mean. Filled values don't serve as donors. Copies of a position have one common
+    value, their mean; ties go to the smaller key. Each pattern of known features has a tree of its own. `key` is a unique
+    whole number, features are taken as they are, so scale them first where units differ.
+    """
+    d = len(cols)
+    given = durable(df.select(F.col(key).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("vec")))
+    means = scalar_row(df.agg(*[F.avg(c).alias(c) for c in cols]))
+    holes = given.agg(*[F.count_if(space.at("vec", j).isNull()).alias(c) for j, c in enumerate(cols)]).first()
+    fills = {}
+    for j, c in enumerate(cols):
+        if not holes[c]:
+            continue
+        # Donors and holes are apart by whether the column is known, so its own value can stay out of the position.
+        apart = given.withColumns({"_v": space.at("vec", j), "vec": F.transform("vec", lambda x, i: F.when(i != j, x + 0.0))})
+        spots = apart.groupBy("vec", F.col("_v").isNull().alias("hole")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), F.avg("_v").alias("mean"))
+        spots = durable(spots)
+        near = space.nearest(spots, d, k, F.col("hole"), ~F.col("hole"), partial=True)
+        edges = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("peer"), "n.w")
+        value = edges.join(spots.select(F.col("id").alias("peer"), "mean"), "peer").groupBy("id").agg((F.sum(F.col("mean") * F.col("w")) / F.sum("w")).alias("_fill"))
+        by_spot = spots.filter("hole").join(value, "id").select("vec", "_fill")
+        fills[c] = durable(match(apart.filter("_v is null").select("id", "vec"), by_spot, ["vec"]).select(F.col("id").alias(key), F.col("_fill").alias(f"_fill_{c}")))
+    out = df
+    for c, f in fills.items():
+        out = out.join(f, key, "left").withColumn(c, F.coalesce(F.col(c), F.col(f"_fill_{c}"), means[c])).drop(f"_fill_{c}")
+    return out
+
+
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), scalar_row(modes(df, [], c))["mode"]) for c in cols})
 
@@ -229,6 +261,49 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str, bins: in
     return j.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mutual_information"))
 
 
+def digamma(x: Column) -> Column:
+    """For x >= 1, to about 1e-12: the asymptotic series at x + 8."""
+    y = x + 8.0
+    i = 1 / (y * y)
+    tail = i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+    return F.ln(y) - 0.5 / y - tail - reduce(lambda a, b: a + b, [1 / (x + float(j)) for j in range(8)])
+
+
+def mutual_information_nearest(df: DataFrame, key: str, cols: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """(feature, mutual_information) in nats of each feature with a continuous target, by nearest neighbours.
+
+    The larger of the two gaps, each over its column's deviation, is the distance of two rows. A row's radius falls short of the
+    distance to its k-th neighbour; the rows within it are counted on either axis by running counts, no pairs. The estimate is
+    digamma(n) + digamma(k) less the mean digammas of both counts, itself included, and not below 0. No noise is added: rows
+    that have k copies count their equals. Rows with a null in the pair are left out. `key` is a unique whole number.
+    """
+    parts = []
+    for c in cols:
+        pair = df.select(F.col(key).cast("long").alias("id"), F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y")).dropna()
+        s = scalar_row(pair.agg(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")))
+        by = lambda v: F.col(v) / F.when(s[v] > 0, s[v]).otherwise(1.0)
+        spots = durable(space.positions(pair.select("id", F.array(by("x"), by("y")).alias("vec")), "id"))
+        near = space.nearest(spots, 2, k, metric="chebyshev")
+        radius = near.select("id", (F.element_at("near", -1)["distance"] * (1 - 1e-12)).alias("r"))
+        known = durable(spots.join(radius, "id").select("id", "w", "r", F.posexplode("vec").alias("axis", "v")))
+        marks = F.array(F.struct((F.col("v") - F.col("r")).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n")),
+                        F.struct(F.col("v").alias("at"), F.lit(1).alias("kind"), F.col("w").alias("n")),
+                        F.struct((F.col("v") + F.col("r")).alias("at"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("n")))
+        line = known.select("id", "axis", "w", F.explode(marks).alias("m")).select("id", "axis", "w", "m.*")
+        line = running(line, ["axis"], ["at", "kind", "id"], {"_c": ("sum", F.col("n"))})
+        pick = lambda j: F.max(F.when(F.col("kind") == j, F.col("_c")))
+        counts = line.groupBy("id", "axis", "w").agg((pick(2) - pick(0)).alias("n"))
+        total = scalar_row(pair.agg(rows().cast("double").alias("n")))["n"]
+        mean = F.sum(digamma(F.col("n").cast("double")) * F.col("w")) / total
+        value = digamma(total) + float(_digamma_whole(k)) - F.coalesce(mean, F.lit(0.0))
+        parts.append(counts.agg(value.alias("mutual_information")).select(F.lit(c).alias("feature"), F.greatest(F.lit(0.0), F.when(total > k, F.col("mutual_information")).otherwise(0.0)).alias("mutual_information")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _digamma_whole(k: int) -> float:
+    return sum(1 / j for j in range(1, k)) - 0.5772156649015329
+
+
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 20, depth: int = 5, seed: int = 42) -> dict[str, float]:
     data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
     m = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomaly as an
 from gaugeworks.plans.aggregations import rounded
+from gaugeworks.plans.learning import readings, standard_sql
 from gaugeworks.plans.registry import query
 
 SEV = "CASE WHEN score < 2 THEN 'low' WHEN score < 3 THEN 'medium' WHEN score < 4 THEN 'high' ELSE 'critical' END"
@@ -133,12 +134,22 @@ def forest(t):
 
 @query("ano_14_local_outlier_factor", """
     WITH p AS (SELECT event_id, event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS p FROM events),
-         n AS (SELECT a.event_id, a.event_type, a.p, b.p AS q, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.v - b.v), b.p) AS k FROM p a JOIN p b ON a.event_type = b.event_type AND b.p BETWEEN a.p - 5 AND a.p + 5 AND a.p <> b.p),
-         m AS (SELECT * FROM n WHERE k <= 5), kd AS (SELECT event_type, p, max(d) AS kd FROM m GROUP BY 1, 2),
+         n AS (SELECT a.event_id, a.event_type, a.p, b.p AS q, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.v - b.v), b.p) AS k FROM p a JOIN p b ON a.event_type = b.event_type AND b.p BETWEEN a.p - 20 AND a.p + 20 AND a.p <> b.p),
+         m AS (SELECT * FROM n WHERE k <= 20), kd AS (SELECT event_type, p, max(d) AS kd FROM m GROUP BY 1, 2),
          lrd AS (SELECT m.event_id, m.event_type, m.p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM m JOIN kd ON m.event_type = kd.event_type AND m.q = kd.p GROUP BY 1, 2, 3)
     SELECT m.event_id, round(avg(b.lrd) / any_value(a.lrd), 5) AS lof FROM m JOIN lrd a ON a.event_id = m.event_id JOIN lrd b ON b.event_type = m.event_type AND b.p = m.q GROUP BY 1""")
 def lof(t):
-    return rounded(an.local_outlier_factor(t.events.select("event_id", "event_type", "value"), ["event_type"], "value", "event_id", 5).select("event_id", "lof"), 5)
+    return rounded(an.local_outlier_factor(t.events.select("event_id", "event_type", "value"), ["event_type"], "value", "event_id").select("event_id", "lof"), 5)
+
+
+@query("ano_14_outlier_factor_features", f"""
+    WITH p AS MATERIALIZED {standard_sql()},
+         n AS MATERIALIZED (SELECT id, unnest(m) AS m FROM (SELECT x.id, min({{'d': sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2)), 'j': y.id}}, 20) AS m FROM p x JOIN p y ON x.id <> y.id GROUP BY x.id)),
+         r AS (SELECT id, max(m.d) AS kd FROM n GROUP BY id), q AS MATERIALIZED (SELECT n.id, 1 / (avg(greatest(m.d, r.kd)) + 1e-10) AS lrd FROM n JOIN r ON r.id = m.j GROUP BY n.id),
+         f AS MATERIALIZED (SELECT n.id, avg(o.lrd) / any_value(q.lrd) AS lof FROM n JOIN q o ON o.id = m.j JOIN q ON q.id = n.id GROUP BY n.id)
+    SELECT id AS event_id, round(lof, 5) AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM f) AS anomaly FROM f""")
+def lof_features(t):
+    return rounded(an.outlier_factors(readings(t), "event_id", ["a", "b", "c"]).select("event_id", "lof", "anomaly"), 5)
 
 
 @query("ano_15_ensemble", """

@@ -9,9 +9,11 @@ from gaugeworks.operators import eventlog as ev
 from gaugeworks.operators import filters as f
 from gaugeworks.operators import quality as q
 from gaugeworks.operators import sets as s
+from gaugeworks.operators import space
 from gaugeworks.operators.joins import row_hash
 from gaugeworks.operators.project import clip
 from gaugeworks.plans.aggregations import rounded
+from gaugeworks.plans.learning import READINGS, readings, standard_sql
 from gaugeworks.plans.registry import query
 from gaugeworks.plans.windows import HOLES_SQL, holes
 from gaugeworks.session import spread
@@ -77,6 +79,27 @@ def nearest(t):
     return rounded(q.impute_nearest(e, "event_id", ["event_type"], "value", "at", 3).select("event_id", "value"))
 
 
+def _nan_euclidean(target: str) -> str:
+    """SQL: the fill of one column: the mean over the five rows nearest by the features known on both sides."""
+    others = [c for c in "abc" if c != target]
+    total = " + ".join(f"coalesce(pow(x.{c} - y.{c}, 2), 0)" for c in others)
+    shared = " + ".join(f"(x.{c} IS NOT NULL AND y.{c} IS NOT NULL)::INT" for c in others)
+    spots = f"(SELECT {', '.join(others)}, min(id) AS id, count(*) AS w, avg({target}) AS v FROM h WHERE {target} IS NOT NULL GROUP BY ALL)"
+    return f"""(SELECT id, sum(v * u) / sum(u) AS {target} FROM (SELECT id, e.v, greatest(0, least(e.w, 5 - coalesce(sum(e.w) OVER (PARTITION BY id ORDER BY e.d, e.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS u
+        FROM (SELECT x.id, unnest(min({{'d': ({total}) * 3 / ({shared}), 'j': y.id, 'w': y.w, 'v': y.v}}, 5)) AS e FROM h x JOIN {spots} y ON x.{target} IS NULL AND {shared} > 0 GROUP BY x.id)) GROUP BY id)"""
+
+
+@query("cln_01_impute_neighbours", f"""
+    WITH h AS MATERIALIZED (SELECT id, CASE WHEN id % 7 <> 0 THEN a END AS a, CASE WHEN id % 5 <> 1 THEN b END AS b, CASE WHEN id % 11 <> 2 THEN c END AS c
+                            FROM {standard_sql(source="(SELECT event_id, sqrt(a) AS a, sqrt(b) AS b, c FROM " + READINGS + ")")})
+    SELECT h.id AS event_id, round(coalesce(h.a, fa.a, (SELECT avg(a) FROM h)), 6) + 0.0::DOUBLE AS a, round(coalesce(h.b, fb.b, (SELECT avg(b) FROM h)), 6) + 0.0::DOUBLE AS b, round(coalesce(h.c, fc.c, (SELECT avg(c) FROM h)), 6) + 0.0::DOUBLE AS c
+    FROM h LEFT JOIN {_nan_euclidean('a')} fa USING (id) LEFT JOIN {_nan_euclidean('b')} fb USING (id) LEFT JOIN {_nan_euclidean('c')} fc USING (id)""")
+def neighbours(t):
+    """Standardised readings with holes; some rows miss two features."""
+    e = space.scaled(readings(t).withColumns({c: F.sqrt(c) for c in "ab"}), ["a", "b", "c"]).select("event_id", *[F.when(F.col("event_id") % m != r_, F.col("vec")[j]).alias(c) for j, (c, m, r_) in enumerate((("a", 7, 0), ("b", 5, 1), ("c", 11, 2)))])
+    return rounded(q.impute_neighbours(e, "event_id", ["a", "b", "c"]).select("event_id", "a", "b", "c"))
+
+
 @query("cln_02_impute_mode", """
     SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, (SELECT c_mktsegment FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS segment FROM customer""")
 def mode(t):
@@ -203,6 +226,23 @@ def mutual(t):
     return rounded(q.mutual_information(t.lineitem.select("l_extendedprice", "l_quantity", (F.col("l_discount") + 0.0).alias("l_discount"), (F.col("l_tax") + 0.0).alias("l_tax")), FEATS, "l_extendedprice"))
 
 
+def _digamma(x: str) -> str:
+    y = f"({x} + 8.0::DOUBLE)"
+    i = f"(1 / ({y} * {y}))"
+    return f"(ln({y}) - 0.5::DOUBLE / {y} - {i} * (1 / 12 - {i} * (1 / 120 - {i} * (1 / 252 - {i} * (1 / 240 - {i} / 132)))) - ({' + '.join(f'1 / ({x} + {j})' for j in range(8))}))"
+
+
+def _nearest_mi(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, round(greatest(0, {_digamma('any_value(n)::DOUBLE')} + 1.5 - 0.5772156649015329 - avg({_digamma('nx::DOUBLE')}) - avg({_digamma('ny::DOUBLE')})), 6) AS mutual_information FROM (
+        SELECT p.id, any_value(total) AS n, count(*) FILTER (abs(p.x - o.x) <= r) AS nx, count(*) FILTER (abs(p.y - o.y) <= r) AS ny FROM (
+            SELECT x.id, any_value(x.x) AS x, any_value(x.y) AS y, list_max(min(greatest(abs(x.x - y.x), abs(x.y - y.y)), 3)) * (1 - 1e-12) AS r, count(*) + 1 AS total FROM m_{c} x JOIN m_{c} y ON x.id <> y.id GROUP BY x.id) p, m_{c} o GROUP BY p.id)"""
+
+
+@query("cln_13_mutual_information_nearest", "WITH " + ", ".join(f"m_{c} AS MATERIALIZED (SELECT event_id AS id, {c} / stddev_pop({c}) OVER () AS x, a / stddev_pop(a) OVER () AS y FROM {READINGS})" for c in "bc") + " " + " UNION ALL ".join(_nearest_mi(c) for c in "bc"))
+def mutual_nearest(t):
+    return rounded(q.mutual_information_nearest(readings(t), "event_id", ["b", "c"], "a"))
+
+
 @query("cln_14_elimination")
 def elimination(t):
     li = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *FEATS, "l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")

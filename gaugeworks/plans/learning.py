@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.portable import portable_hash_sql
+from gaugeworks.operators import density
 from gaugeworks.operators import learn as m
 from gaugeworks.operators import project as p
 from gaugeworks.plans.aggregations import rounded
@@ -61,10 +62,27 @@ def clusters(t):
     return rounded(m.cluster_summary(e, "label", [f"e{i}" for i in DIMS]))
 
 
-@query("mlx_03_dbscan")
+READINGS = "(SELECT event_id, value::DOUBLE AS a, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b, (epoch_us(ts) % 86400000000) / 1e6::DOUBLE AS c FROM events)"
+
+
+def readings(t):
+    """Three features of an event: its value, its setting, and the second of the day."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return t.events.select("event_id", F.col("value").cast("double").alias("a"), F.get_json_object("props", "$.k").cast("double").alias("b"), (micros % 86400000000 / 1e6).alias("c"))
+
+
+def standard_sql(cols: str = "abc", source: str = READINGS) -> str:
+    return "(SELECT event_id AS id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in cols) + f" FROM {source})"
+
+
+@query("mlx_03_dbscan", f"""
+    WITH RECURSIVE p AS MATERIALIZED {standard_sql()}, e AS MATERIALIZED (SELECT x.id AS i, y.id AS j FROM p x JOIN p y ON pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2) <= 0.5 * 0.5),
+      core AS MATERIALIZED (SELECT i FROM e GROUP BY i HAVING count(*) >= 5), link AS MATERIALIZED (SELECT e.i, e.j FROM e JOIN core x ON x.i = e.i JOIN core y ON y.i = e.j WHERE e.i <> e.j),
+      tag(i, root) USING KEY (i) AS (SELECT i, i FROM core UNION SELECT link.j, min(tag.root) FROM tag JOIN link ON link.i = tag.i JOIN recurring.tag AS old ON old.i = link.j WHERE tag.root < old.root GROUP BY link.j)
+    SELECT p.id AS event_id, coalesce(tag.root, rim.root, -1)::BIGINT AS cluster FROM p LEFT JOIN tag ON tag.i = p.id
+    LEFT JOIN (SELECT e.i, min(tag.root) AS root FROM e JOIN tag ON tag.i = e.j GROUP BY e.i) rim ON rim.i = p.id""")
 def dbscan(t):
-    e = t.events.select("event_id", (F.col("value") / 50).alias("a"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 86400 % 30 / 10).alias("b"))
-    return m.dbscan(e, "event_id", "a", "b", 0.12, 5).select("event_id", "cluster")
+    return density.dbscan(readings(t), "event_id", ["a", "b", "c"]).select("event_id", "cluster")
 
 
 @query("mlx_04_linear_regression", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import stats
 from gaugeworks.operators import aggregate as a
 from gaugeworks.operators import anomaly as an
+from gaugeworks.operators import density
 from gaugeworks.operators import joins as j
 from gaugeworks.operators import learn as m
 from gaugeworks.operators import quality as q
@@ -74,7 +75,7 @@ def test_dbscan_against_search(spark, seed):
     rng = np.random.default_rng(seed)
     pts = np.vstack([rng.normal(0, 0.4, (80, 2)), rng.normal(3, 0.25, (60, 2)), rng.uniform(-2, 5, (50, 2)), np.repeat([[6.0, 6.0]], 7, axis=0)])
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1]}))
-    got = [r["cluster"] for r in m.dbscan(df, "id", "x", "y", 0.3, 5).orderBy("id").collect()]
+    got = [r["cluster"] for r in density.dbscan(df, "id", ["x", "y"], 0.3, 5, scale=False).orderBy("id").collect()]
     label, core, rim = brute_dbscan(pts, 0.3, 5)
     names = {}
     for i, on in enumerate(core):
