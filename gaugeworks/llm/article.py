@@ -125,7 +125,7 @@ class Page:
         text = " ".join("".join(self.parts).split())
         if text:
             inside = 2 if self.marks[0] else 1 if self.marks[1] else 0
-            self.lines.append(Line(text, max(0, len(text) - self.linked), inside, [e[4] for e in self.open if e[4]], bool(self.headings)))
+            self.lines.append(Line(text, len(text.replace(" ", "")) - self.linked, inside, [e[4] for e in self.open if e[4]], bool(self.headings)))
         self.parts, self.linked = [], 0
 
     def gap(self) -> None:
@@ -147,7 +147,7 @@ class Page:
             self.close("head")
         if name in BLOCKS:
             self.line()
-        if name in VOID or (attributes.endswith("/") and name not in BLOCKS and name not in RAW):
+        if name in VOID or (self.dropped and attributes.endswith("/")):
             return
         kept = name in ("html", "body")
         role_main = name == "main" or (not kept and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None)
@@ -164,9 +164,9 @@ class Page:
         self.count(name, drop, top, marks, 1)
 
     def content(self, name: str, attributes: str, marks: int) -> bool:
-        """An element that marks the article is dropped only as a comment."""
-        words = {w for k, *v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in words_of("".join(v))}
-        return marks > 0 and not words & {"comment", "comments", "reply", "teaser", "related"}
+        """An element that marks the article is dropped only where a whole class name says that it is a comment or teaser."""
+        names = {w for k, *v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in "".join(v).lower().split()}
+        return marks > 0 and not names & {"comment", "comments", "reply", "teaser", "related"}
 
     def count(self, name: str, drop: bool, top: bool, marks: int, by: int) -> None:
         self.dropped += by * drop
