@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import series as s
 from gaugeworks.plans.aggregations import rounded
+from gaugeworks.plans.learning import ols
 from gaugeworks.plans.registry import query
 
 
@@ -25,7 +26,10 @@ def features(t):
     return rounded(s.features(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value"))
 
 
-@query("tsa_02_spectrum")
+@query("tsa_02_spectrum", f"""
+    WITH h AS MATERIALIZED {HOURS}, f AS MATERIALIZED (SELECT event_type, n, k, pow(sum(value * cos(2 * pi() * ((k * (p - 1)) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((k * (p - 1)) % n) / n)), 2) AS power FROM h JOIN range(0, 1000) r(k) ON k < n GROUP BY event_type, n, k),
+    s AS (SELECT *, power / sum(power) OVER (PARTITION BY event_type) AS share FROM f)
+    SELECT event_type, n, round((arg_max(k, power) FILTER (k > 0 AND 2 * k < n)) / n, 6) AS dominant_frequency, round(-sum(share * log2(share + 1e-12)), 6) AS spectral_entropy FROM s GROUP BY event_type, n""")
 def spectrum(t):
     return rounded(s.spectrum(hours(t), ["event_type"], "bucket", "value"))
 
@@ -53,6 +57,22 @@ def stationarity(t):
     return rounded(s.stationarity(t.events.select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "value"), 6, df_statistic=5)
 
 
+@query("tsa_04_unit_root", f"""
+    WITH e AS (SELECT event_type, ts, value - avg(value) OVER (PARTITION BY event_type) AS v FROM events), l AS (SELECT event_type, ts, lag(v) OVER w AS q, v - lag(v) OVER w AS y FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    r AS MATERIALIZED (SELECT event_type, y, q, lag(y, 1) OVER w AS d, lag(y, 2) OVER w AS x FROM l WINDOW w AS (PARTITION BY event_type ORDER BY ts)), f AS (SELECT * FROM r WHERE x IS NOT NULL), c AS {ols("f", "event_type")},
+    v AS (SELECT event_type, count(*) AS n, sum(pow(y - b0 - b1 * q - b2 * d - b3 * x, 2)) / (count(*) - 4) AS s2, any_value(b1) AS b1, any_value(dd * xx - dx * dx) / any_value(det) / count(*) AS inv FROM f JOIN c USING (event_type) GROUP BY 1)
+    SELECT event_type, n AS observations, round(b1 / sqrt(s2 * inv), 5) AS adf_statistic FROM v""")
+def unit_root(t):
+    """With exactly two lagged differences, as SQL can state."""
+    e = t.events.select("event_type", "ts", "event_id", "value")
+    return rounded(s.unit_root(e, ["event_type"], ["ts", "event_id"], "value", 2, choose=False).select("event_type", "observations", "adf_statistic"), 5)
+
+
+@query("tsa_04_stationarity_tests")
+def stationarity_tests(t):
+    return rounded(s.stationarity_tests(t.events.select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"], "value"), 5)
+
+
 @query("tsa_05_change_points", """
     WITH e AS (SELECT event_id, avg(value) OVER a AS ma, avg(value) OVER b AS mb, var_samp(value) OVER a AS va, var_samp(value) OVER b AS vb, count(*) OVER a AS na, count(*) OVER b AS nb FROM events
                WINDOW a AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
@@ -71,12 +91,35 @@ def filters(t):
     return rounded(s.bands(e, ["event_type"], ["ts", "event_id"], "v", 3, 12).select("event_id", "low", "high", "band"))
 
 
+LAGS = f"(SELECT event_type, value AS y, lag(value, 1) OVER w AS q, lag(value, 2) OVER w AS d, lag(value, 3) OVER w AS x FROM {HOURS} WINDOW w AS (PARTITION BY event_type ORDER BY p) QUALIFY lag(value, 3) OVER w IS NOT NULL)"
+
+
+@query("tsa_07_ar_coefficients", f"""
+    WITH r AS MATERIALIZED {LAGS}, c AS {ols("r", "event_type")}
+    SELECT event_type, count(*) AS n, round(any_value(b0), 6) AS constant, round(any_value(b1), 6) AS phi_1, round(any_value(b2), 6) AS phi_2, round(any_value(b3), 6) AS phi_3, round(avg(pow(y - b0 - b1 * q - b2 * d - b3 * x, 2)), 6) AS variance FROM r JOIN c USING (event_type) GROUP BY 1""")
+def ar_coefficients(t):
+    got = s.ar_coefficients(hours(t), ["event_type"], ["bucket"], "value", 3)
+    return rounded(got.select("event_type", "n", "constant", *[F.col("phi")[k].alias(f"phi_{k + 1}") for k in range(3)], "variance"))
+
+
 @query("tsa_07_ar_forecast")
 def ar(t):
-    return rounded(s.ar_forecast(hours(t), ["event_type"], "bucket", "value"))
+    return rounded(s.arima_forecast(hours(t), ["event_type"], "bucket", "value", max_p=3, max_q=0))
+
+
+@query("tsa_07_arima_forecast")
+def arima(t):
+    return rounded(s.arima_forecast(hours(t), ["event_type"], "bucket", "value"))
 
 
-@query("tsa_08_holt_winters")
+@query("tsa_08_holt_winters", f"""
+    WITH RECURSIVE h AS MATERIALIZED (SELECT event_type, p, n, value FROM {HOURS}),
+    first AS (SELECT event_type, avg(value) FILTER (p <= 24) AS l, (avg(value) FILTER (p > 24 AND p <= 48) - avg(value) FILTER (p <= 24)) / 24 AS t, list(value ORDER BY p) FILTER (p <= 24) AS x FROM h GROUP BY 1),
+    w(event_type, p, level, trend, season, e) AS (SELECT event_type, 24::BIGINT, l, t, list_transform(x, lambda v: v - l), NULL::DOUBLE FROM first UNION ALL
+      SELECT event_type, p, now, 0.05::DOUBLE * (now - level) + 0.95::DOUBLE * trend, list_append(season[2:], 0.2::DOUBLE * (value - now) + 0.8::DOUBLE * season[1]), value - level - trend - season[1]
+      FROM (SELECT w.event_type, h.p, w.level, w.trend, w.season, h.value, 0.3::DOUBLE * (h.value - w.season[1]) + 0.7::DOUBLE * (w.level + w.trend) AS now FROM w JOIN h ON h.event_type = w.event_type AND h.p = w.p + 1)),
+    o AS (SELECT event_type, arg_max(level, p) AS level, arg_max(trend, p) AS trend, arg_max(season, p) AS season, stddev_pop(e) AS err FROM w GROUP BY 1)
+    SELECT event_type, s AS step, round(level + s * trend + season[(s - 1) % 24 + 1], 6) AS forecast, round(level + s * trend + season[(s - 1) % 24 + 1] - 1.96::DOUBLE * err * sqrt(s), 6) AS lower, round(level + s * trend + season[(s - 1) % 24 + 1] + 1.96::DOUBLE * err * sqrt(s), 6) AS upper FROM o, range(1, 25) r(s)""")
 def winters(t):
     return rounded(s.holt_winters(hours(t), ["event_type"], "bucket", "value", 24))
 
