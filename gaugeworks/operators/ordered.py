@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -350,3 +351,62 @@ def fold(
         table = durable(moved.withColumn("_todo", F.col("_entry") != F.col("_state")).withColumn("_state", F.col("_entry")).drop("_entry"))
     ready = match(placed, table.select(*by, "_state"), by)
     return ready.groupBy(*by).applyInPandas(emit, result)
+
+
+def chain(df: DataFrame, keys: Sequence[str], pos: str, follows: str, rows: int | None = None) -> DataFrame:
+    """(keys, pos): the rows met from the first row of each key by going from each to the later row that `follows` names.
+
+    Rows are cut into blocks of places. Within a block one pass finds where a walk from each row leaves it; only rows that some
+    walk enters a block at, go on. Their jumps are doubled until none is left, then taken from the longest to the
+    shortest, so the rounds grow with twice the logarithm of the number of blocks. A last pass marks the rows within each
+    block. No row of `follows` may name a place that isn't in `df`.
+    """
+    keys, limit = list(keys), rows or group_rows(df.sparkSession)
+    at = durable(df.select(*keys, F.col(pos).alias("_p"), F.col(follows).alias("_f")).withColumn("_block", F.floor((F.col("_p") - 1) / limit).cast("bigint")))
+    kinds = [at.schema[k] for k in keys] + [T.StructField("_p", T.LongType())]
+
+    def local(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Places in order, and the row of the block each one names, or -1."""
+        pdf.sort_values("_p", inplace=True)
+        p, f = pdf["_p"].to_numpy(np.int64), pdf["_f"].fillna(-1).to_numpy(np.int64)
+        return p, np.where((f >= 0) & (f <= p[-1]), np.searchsorted(p, f), -1)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, to = local(pdf)
+        last = np.arange(len(to))
+        step = np.where(to >= 0, to, last)
+        while (step[step] != step).any():
+            step = step[step]
+        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in (*keys, "_p")}, "_e": pdf["_f"].to_numpy()[step]}).dropna(subset=["_e"]).astype({"_e": "int64"})
+
+    exits = durable(at.groupBy(*keys, "_block").applyInPandas(leave, T.StructType([*kinds, T.StructField("_e", T.LongType())])))
+    reached = durable(at.groupBy(*keys).agg(F.min("_p").alias("_p")))
+    entered = exits.select(*keys, F.col("_e").alias("_p")).unionByName(reached).distinct()
+    jump, jumps = durable(match(exits, entered, [*keys, "_p"])), []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        further = jump.select(*keys, F.col("_p").alias("_e"), F.col("_e").alias("_to"))
+        jump = durable(match(jump, further, [*keys, "_e"]).select(*keys, "_p", F.col("_to").alias("_e")))
+    for jump in reversed(jumps):
+        more = match(reached, jump, [*keys, "_p"]).select(*keys, F.col("_e").alias("_p"))
+        reached = durable(reached.unionByName(more).distinct())
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, to = local(pdf)
+        met, i = [], int(np.argmax(pdf["_in"].to_numpy())) if pdf["_in"].any() else -1
+        while i >= 0:
+            met.append(i)
+            i = int(to[i])
+        return pdf.iloc[met][[*keys, "_p"]]
+
+    marked = match(at, reached.withColumn("_in", F.lit(True)), [*keys, "_p"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    return marked.groupBy(*keys, "_block").applyInPandas(walk, T.StructType(kinds)).withColumnRenamed("_p", pos)
+
+
+def first_after(df: DataFrame, probes: DataFrame, keys: Sequence[str], at: str, tie: str, info: Column, inclusive: bool) -> DataFrame:
+    """Probes with `_hit`, the `info` of the first row of the key whose `at` is beyond (or, inclusive, not before) the probe's."""
+    keys = list(keys)
+    own = df.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"), info.alias("_hit"), F.lit(None).cast(probes.schema["_pos"].dataType).alias("_pos"))
+    ask = probes.select(*keys, F.col(at).alias("_t"), F.lit(0 if inclusive else 2).alias("_kind"), F.col(tie).alias("_tie"), F.lit(None).cast(own.schema["_hit"].dataType).alias("_hit"), "_pos")
+    line = running(own.unionByName(ask), keys, ["_t", "_kind", "_tie", "_pos"], {"_hit": ("last", F.col("_hit"))}, desc=True)
+    return line.filter("_kind <> 1").select(*keys, "_pos", "_hit")

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugeworks.operators.aggregate import rows
-from gaugeworks.operators.ordered import fold, framed, islands, largest_group, position, running, trailing
+from gaugeworks.operators.ordered import chain, first_after, fold, framed, islands, largest_group, position, running, trailing
 from gaugeworks.operators.project import BOLTZMANN
-from gaugeworks.session import match, scalar_row
+from gaugeworks.session import durable, group_rows, match, scalar_row
 
 REFERENCE_PRESSURE = 1e5
 
@@ -179,14 +179,44 @@ def cooldown_step(ts: str, wait_micros: int):
 def cooldown_alerts(df: DataFrame, keys: Sequence[str], micros: str, tie: str, condition: Column, wait_seconds: int = 300) -> DataFrame:
     """Rows that meet the condition with a flag whether the alert fires, given the pause after each firing.
 
-    Rows without the condition cannot change the outcome and are dropped before the shuffle.
+    Rows without the condition cannot change the outcome and are dropped before the shuffle. Which row fires after a row fires
+    depends on that row alone: the first one later than the pause. So a key above the group limit is a chain of such rows.
     """
+    keys = list(keys)
+    most = largest_group(df.filter(condition), keys)
+    if most > group_rows(df.sparkSession):
+        live = durable(position(df.filter(condition), keys, [micros, tie], "_pos", largest=most))
+        probes = live.select(*keys, (F.col(micros) + wait_seconds * 1_000_000).alias(micros), tie, "_pos")
+        ahead = first_after(live, probes, keys, micros, tie, F.col("_pos"), False)
+        met = chain(ahead, keys, "_pos", "_hit").withColumn("fired", F.lit(True))
+        return match(live, met, [*keys, "_pos"], "left").withColumn("fired", F.coalesce("fired", F.lit(False))).drop("_pos")
     return fold(df.filter(condition), keys, [micros, tie], cooldown_step(micros, wait_seconds * 1_000_000), [math.nan], "fired boolean")
 
 
 def alert_states(df: DataFrame, keys: Sequence[str], micros: str, tie: str, condition: Column, wait_seconds: int = 300) -> DataFrame:
-    """What an alert rule does at each check: skip (pause), fire, active (already on), resolve or idle."""
+    """What an alert rule does at each check: skip (pause), fire, active (already on), resolve or idle.
+
+    After a row fires, the first check past the pause that doesn't meet the condition resolves the alert, and the first one
+    after it that does, fires again. Above the group limit the firing rows are a chain, and every other row's action follows
+    from the last one before it.
+    """
     wait = wait_seconds * 1_000_000
+    keys = list(keys)
+    most = largest_group(df, keys)
+    if most > group_rows(df.sparkSession):
+        order = [micros, tie]
+        placed = position(df.withColumn("_on", F.coalesce(condition, F.lit(False))), keys, order, "_pos", largest=most)
+        placed = durable(running(durable(placed), keys, order, {"_next": ("last", F.when(F.col("_on"), F.col("_pos")))}, desc=True, largest=most))
+        on = placed.filter("_on")
+        probes = on.select(*keys, (F.col(micros) + wait).alias(micros), tie, "_pos")
+        ahead = durable(first_after(placed.filter("not _on"), probes, keys, micros, tie, F.struct(F.col("_pos").alias("off"), F.col("_next").alias("on")), True))
+        met = chain(ahead.select(*keys, "_pos", F.col("_hit.on").alias("_on")), keys, "_pos", "_on")
+        fires = match(ahead, met, [*keys, "_pos"]).select(*keys, "_pos", F.lit(True).alias("_fires"), F.col("_hit.off").alias("_off"))
+        told = match(placed, fires, [*keys, "_pos"], "left")
+        told = running(durable(told), keys, order, {"_last": ("last", F.when(F.col("_fires"), F.struct(F.col(micros).alias("t"), F.col("_off").alias("off"))))}, largest=most)
+        later = F.when(F.col("_last.off").isNull() | (F.col("_pos") < F.col("_last.off")), "active").when(F.col("_pos") == F.col("_last.off"), "resolve").otherwise("idle")
+        action = F.when(F.col("_fires"), "fire").when(F.col("_last").isNull(), "idle").when(F.col(micros) - F.col("_last.t") < wait, "skip").otherwise(later)
+        return told.withColumn("action", action).drop("_on", "_pos", "_next", "_fires", "_off", "_last")
 
     def step(pdf: pd.DataFrame, state: list[float]):
         active, last = bool(state[0]), state[1]

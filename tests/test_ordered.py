@@ -199,3 +199,37 @@ def test_gradient_is_null_beside_a_null(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([1.0, 3.0, None, 7.0, 8.0, 12.0])], "t long, v double")
     got = [r.gradient for r in w.gradient(df, [], ["t"], "v").orderBy("t").collect()]
     assert got == [2.0, None, 2.0, None, 2.5, 4.0]
+
+
+def test_chain_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """One key whose rows alternate, so that a guessed state never settles; 200 blocks."""
+    n, wait = 60_000, 7
+    rows = spark.range(n).select(F.lit("hot").alias("key"), F.col("id"), (F.col("id") * 1_000_000 + F.col("id") % 3).alias("t"), (F.col("id") % 2 * 100).alias("v"))
+    spark.conf.set("spark.gaugeworks.groupRows", "300")
+    real, calls = o.durable, []
+    monkeypatch.setattr(o, "durable", lambda d: calls.append(1) or real(d))
+    try:
+        fired = w.cooldown_alerts(rows, ["key"], "t", "id", F.col("v") >= 0, wait)
+        got = sorted(r["id"] for r in fired.filter("fired").collect())
+        assert len(calls) <= 20 + 6  # doubling up and down over 200 blocks, and what is written around it
+        states = {r["id"]: r["action"] for r in w.alert_states(rows, ["key"], "t", "id", F.col("v") > 50, wait).collect()}
+    finally:
+        spark.conf.unset("spark.gaugeworks.groupRows")
+    want, last = [], None
+    for k in range(n):
+        if last is None or k * 1_000_000 + k % 3 - last > wait * 1_000_000:
+            want.append(k)
+            last = k * 1_000_000 + k % 3
+    assert got == want
+    active, last = False, None
+    for k in range(n):
+        t, on = k * 1_000_000 + k % 3, k % 2 == 1
+        if last is not None and t - last < wait * 1_000_000:
+            action = "skip"
+        elif on and not active:
+            active, last, action = True, t, "fire"
+        elif on:
+            action = "active"
+        else:
+            action, active = "resolve" if active else "idle", False
+        assert states[k] == action
