@@ -1,6 +1,6 @@
 """Language-model scoring: stupid backoff over n-gram count tables partitioned by hash.
 
-    S(w | context) = count(context w) / count(context)       if count(context w) >= least
+    S(w | context) = count(context w) / count(context)       if count(context w) >= least, 1 unless stated otherwise
                    = alpha * S(w | shorter context)          else
     S(w)           = count(w) / words of all documents
 
@@ -10,8 +10,9 @@ with the context they have.
 
 The count tables live in hash ranges: a block of documents sends the distinct n-grams of each length with its own counts
 (one packed row per block and range, see `cells`), a range sums them and answers the blocks that asked with the totals
-that are at least `least`, and a block joins the totals to its n-grams and sums per document. Words and pairs go first;
-an n-gram of three or more is asked about only if both of its parts reached `least`, as it can't otherwise.
+that are at least `least`, and a block joins the totals to its n-grams and sums per document. With least = 1 all lengths are
+asked about at once. With more, words and pairs go first; an n-gram of three or more is asked about only if both of its
+parts reached `least`, as it can't otherwise.
 """
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from gaugeworks.llm import cells
 from gaugeworks.llm.arrays import U, byte_class, lower_ascii, pack_sorted, run_hashes, runs, span_hashes, unpack_sorted, utf8
 
-ORDER, ALPHA, LEAST = 3, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 1
 PIECE = 1 << 20
 
 
@@ -68,7 +69,7 @@ class Block:
     def grams(self, n: int, counts: dict[int, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
         """(last word of every n-gram that may reach `least`, its hash)."""
         ok = self.number >= n - 1
-        if n > 2:
+        if n > 2 and least > 1:
             part = counts[n - 1] >= least
             ok[1:] &= part[1:] & part[:-1]
         at = np.flatnonzero(ok)
@@ -103,11 +104,12 @@ def stupid_backoff(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
     ranges = cells.block_count(docs, text)
     blocks = cells.dealt(docs, id, text, cells.by_hash(id, text, ranges))
     kind = docs.select(f"`{id}`").schema[0].dataType.simpleString()
+    at_once = order if least <= 1 else min(order, 2)
 
     def first(key, table):
         b, own = Block(table), key[0].as_py()
         size = cells.join(b"size", len(b.words).to_bytes(8, "little"))
-        return cells.rows(own, b.ask(1, {}, least, ranges) + (b.ask(2, {}, least, ranges) if order > 1 else []) + [(0, size)])
+        return cells.rows(own, [c for n in range(1, at_once + 1) for c in b.ask(n, {}, least, ranges)] + [(0, size)])
 
     def answer(key, table):
         bodies = [cells.parts(x) for x in table["body"].to_pylist()]
@@ -154,7 +156,7 @@ def stupid_backoff(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
 
     asks = blocks.groupBy("block").applyInArrow(first, cells.CELL)
     said = asks.groupBy("bucket").applyInArrow(answer, cells.CELL)
-    for n in range(3, order + 1):
+    for n in range(at_once + 1, order + 1):
         asks = blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(longer(n), cells.CELL)
         said = said.unionByName(asks.groupBy("bucket").applyInArrow(answer, cells.CELL))
     return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(last, f"id {kind}, n_words bigint, score double")

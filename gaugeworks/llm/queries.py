@@ -128,7 +128,7 @@ def op3(spark, sf_dir):
             FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word)),
     c1 AS (SELECT g1 AS k, count(*) AS n FROM pos GROUP BY 1), c2 AS (SELECT g2 AS k, count(*) AS n FROM pos WHERE g2 IS NOT NULL GROUP BY 1),
     c3 AS (SELECT g3 AS k, count(*) AS n FROM pos WHERE g3 IS NOT NULL GROUP BY 1),
-    s AS (SELECT doc_id, CASE WHEN t.n >= 2 THEN ln(t.n) - ln(tp.n) WHEN b.n >= 2 THEN ln(b.n) - ln(bp.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+    s AS (SELECT doc_id, CASE WHEN t.n >= 1 THEN ln(t.n) - ln(tp.n) WHEN b.n >= 1 THEN ln(b.n) - ln(bp.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
                               ELSE ln(u.n) - ln((SELECT count(*) FROM pos)) + least(i - 1, 2) * ln(0.4) END AS v
           FROM pos LEFT JOIN c3 t ON t.k = g3 LEFT JOIN c2 tp ON tp.k = p2 LEFT JOIN c2 b ON b.k = g2 LEFT JOIN c1 bp ON bp.k = p1 LEFT JOIN c1 u ON u.k = g1)
     SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(sum(v), 0), 4) + 0.0 AS score FROM word LEFT JOIN s USING (doc_id) GROUP BY doc_id, len(w)
