@@ -11,16 +11,22 @@ from gaugeworks.session import prepare
 KEEP_FROM = 0.3
 
 
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all columns in the struct `_doc`, where no operator's own column can replace them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *needed)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go; it learns from the labels whose crc32(doc_id) mod 5 is not 0."""
     model = classifier.fit(docs, table(spark, sf_dir, "labels").where(crc_mod(5) != 0))
-    return classifier.score(docs, model).where(F.col("_score") >= KEEP_FROM).select(docs.columns)
+    return classifier.score(aside(docs, "text"), model).where(F.col("_score") >= KEEP_FROM).select("_doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that at least three documents hold, except in the last of these; every document stays."""
-    out = lines.dedup_lines(docs, batches=4)
-    return out.withColumns({"text": F.col("_lines.kept"), "n_chars": F.char_length("_lines.kept").cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
+    out = lines.dedup_lines(aside(docs, "doc_id", "text"), batches=4)
+    new = {"text": F.col("_lines.kept"), "n_chars": F.char_length("_lines.kept").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth of the words or more go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("_scan.contaminated")).select(docs.columns)
+    return decontaminate.decontaminate(aside(docs, "text"), table(spark, sf_dir, "benchmark")).where(~F.col("_scan.contaminated")).select("_doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

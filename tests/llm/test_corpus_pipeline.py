@@ -78,3 +78,14 @@ def test_stages_take_empty_tables_and_odd_rows(spark, kept):
         for _, stage in pipeline.STAGES:
             docs = kept_table(stage(spark, docs, SF), "test")
         assert (docs.count() > 0) == (rows.count() > 0)
+
+
+def test_columns_with_the_operators_names_keep_their_values(spark, kept):
+    names = ["_score", "_lines", "_scan", "_row", "_kept", "_drop", "_i", "_h", "_doc", "_id", "_text", "_hash"]
+    docs = kept[0].where("doc_id % 4 = 0").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for stage in (pipeline.quality, pipeline.line_dedup, pipeline.decontaminated):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.count() > 0
+        assert got.where(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in names)).count() == 0
+    plain = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs.drop(*names), SF).collect()}
+    assert {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, SF).collect()} == plain
