@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
@@ -210,32 +214,68 @@ def uniform(keys: Sequence[str], salt: Column | int) -> Column:
     return (portable_hash(keys, salt, 10) + 0.5) / float(1 << 40)
 
 
-def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicates: int = 20) -> DataFrame:
-    """Coefficients of weighted refits, weights drawn from Poisson(1) per row; mean, spread, 95% interval."""
-    data = spread(assemble(df.select(key, label, *cols), cols), key)
-    coefs = []
-    for b in range(replicates):
-        u = uniform([key], b)
-        w = reduce(lambda a, p: a + (u > p).cast("int"), _POISSON, F.lit(0)).cast("double")
-        m = LinearRegression(featuresCol="features", labelCol=label, weightCol="_w", solver="normal").fit(data.withColumn("_w", w).filter("_w > 0"))
-        coefs.append((b, [float(v) for v in m.coefficients]))
-    spark = df.sparkSession
-    long = spark.createDataFrame([(c, v) for _, cs in coefs for c, v in zip(cols, cs)], "feature string, coefficient double")
+def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicates: int = 100) -> DataFrame:
+    """Coefficients of weighted least-squares refits, weights drawn from Poisson(1) per row; mean, spread, 95% interval.
+
+    One scan serves all replicates: every task adds up, for each replicate, the weighted sums of products of its rows, so a
+    (replicate, sums) row per task is shuffled and each replicate's normal equations are solved on their own.
+    """
+    width = len(cols) + 2
+    draw = lambda u: reduce(lambda a, p: a + (u > p).cast("int"), _POISSON, F.lit(0))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: uniform([key], b))
+    numbers = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols], F.col(label).cast("double"))
+    data = df.select(key, label, *cols).dropna(subset=[label, *cols])
+    rows_in = data.select(numbers.alias("x"), F.transform(draws, draw).alias("w"))
+
+    def sums(batches):
+        total = np.zeros((replicates, width * width))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates).astype(float)
+            total += w.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(range(replicates), pa.int32()), "g": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    part = rows_in.mapInArrow(sums, "replicate int, g array<double>")
+    cells = part.select("replicate", F.posexplode("g").alias("i", "v")).groupBy("replicate", "i").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("g"))
+
+    @F.pandas_udf("array<double>")
+    def solve(g: pd.Series) -> pd.Series:
+        out = []
+        for v in g:
+            a = np.array(v).reshape(width, width)
+            mean = a[0, 1:] / max(a[0, 0], 1.0)
+            centred = a[1:, 1:] - a[0, 0] * np.outer(mean, mean)
+            out.append((np.linalg.pinv(centred[:-1, :-1], hermitian=True) @ centred[:-1, -1]).tolist())
+        return pd.Series(out)
+
+    names = F.array(*[F.lit(c) for c in cols])
+    long = whole.select(F.explode(F.arrays_zip(names.alias("feature"), solve("g").alias("coefficient"))).alias("c")).select("c.*").toDF("feature", "coefficient")
     return long.groupBy("feature").agg(F.avg("coefficient").alias("mean"), F.stddev_pop("coefficient").alias("std"), F.percentile("coefficient", [0.025, 0.975]).alias("q")).select("feature", "mean", "std", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
+def turns(cols: Sequence[str], repeats: int) -> list[tuple[str, int, float]]:
+    """(feature, repeat, share): how far each repeat turns a feature's values, as a share of all rows."""
+    return [(c, r, int(hashlib.md5(f"{c}|{r}".encode()).hexdigest()[:10], 16) / (1 << 40)) for c in cols for r in range(repeats)]
+
+
 def permutation_importance(df: DataFrame, key: str, cols: Sequence[str], label: str, model: Model, repeats: int = 10) -> DataFrame:
-    """Rise of the squared error when one column is dealt out again in hashed order."""
-    base_df = spread(position(df.select(key, *cols, label), [], [key], "_p"), key)
-    se = lambda d: model.transform(d).agg(F.avg(F.pow(F.col("prediction") - F.col(label), 2)).alias("mse"))
-    base = scalar_row(se(base_df))["mse"]
-    out = []
-    for c in cols:
-        for r in range(repeats):
-            dealt = position(base_df.select(F.col(c).alias("_c"), F.xxhash64(key, F.lit(r)).cast("double").alias("_h"), key), [], ["_h", key], "_p").select("_p", "_c")
-            mixed = base_df.join(dealt, "_p").withColumn(c, F.col("_c"))
-            out.append(se(mixed).select(F.lit(c).alias("feature"), (F.col("mse") - base).alias("rise")))
-    return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+    """Rise of the squared error when one column is dealt out again.
+
+    Rows are put in hashed order once; each repeat turns a feature's values by some places along it, so a row's partner is
+    found by its place. All features and repeats are one join, one scoring and one aggregate.
+    """
+    placed = position(df.select(key, *cols, label).withColumn("_h", portable_hash([key])), [], ["_h", key], "_p").drop("_h")
+    placed = durable(placed.withColumn("_p", F.col("_p") - 1))
+    n = scalar_row(placed.agg(rows().alias("n")))["n"]
+    error = F.pow(F.col("prediction") - F.col(label), 2)
+    base = scalar_row(model.transform(placed).agg(F.avg(error).alias("mse")))["mse"]
+    plan = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r"), F.lit(u).alias("u")) for c, r, u in turns(cols, repeats)])).alias("_t")
+    asked = placed.select("*", plan).withColumn("_q", (F.col("_p") + 1 + F.floor(F.col("_t.u") * (n - 1))) % n)
+    partner = placed.select(F.col("_p").alias("_q"), F.struct(*[F.col(c) for c in cols]).alias("_v"))
+    mixed = asked.join(partner, "_q").withColumns({c: F.when(F.col("_t.c") == c, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in cols})
+    rise = model.transform(mixed.select(F.col("_t.c").alias("feature"), F.col("_t.r").alias("_r"), label, *cols)).groupBy("feature", "_r").agg((F.avg(error) - base).alias("rise"))
+    return rise.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
 
 
 def importances(model: Model, cols: Sequence[str]) -> list[tuple[str, float]]:

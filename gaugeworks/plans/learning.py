@@ -98,7 +98,7 @@ def linear(t):
 @query("mlx_05_tree_models")
 def trees(t):
     df = spread(facts(t), "key")
-    a = m.fit(df, COLS, "y", "random_forest", trees=20).transform(df).select("key", F.col("prediction").alias("forest"))
+    a = m.fit(df, COLS, "y", "random_forest").transform(df).select("key", F.col("prediction").alias("forest"))
     b = m.fit(df, COLS, "y", "gradient_boosting", trees=25).transform(df).select("key", F.col("prediction").alias("boosted"))
     return rounded(a.join(b, "key"), 4)
 
@@ -117,7 +117,7 @@ def vote(t):
 
 @query("mlx_07_stacking")
 def stack(t):
-    return rounded(m.stacking(facts(t), "key", COLS, "y", folds=3, trees=10).select("key", "y", "prediction"), 4)
+    return rounded(m.stacking(facts(t), "key", COLS, "y", folds=5, trees=10).select("key", "y", "prediction"), 4)
 
 
 @query("mlx_08_batch_prediction", f"""
@@ -179,12 +179,25 @@ def curve(t):
     return metrics_rounded(m.learning_curve(facts(t), "key", COLS, "y"), "share")
 
 
-@query("mlx_14_bootstrap")
+DRAWN = f"(SELECT b, q, d, x, y, ({portable_hash_sql(['key'], 'b', 10)} + 0.5::DOUBLE) / 1099511627776.0::DOUBLE AS u FROM {FACTS}, range(100) r(b))"
+WEIGHED = f"(SELECT b, q, d, x, y, unnest(range({' + '.join(f'(u > {p!r}::DOUBLE)::INT' for p in m._POISSON)})) FROM {DRAWN})"
+
+
+@query("mlx_14_bootstrap", f"""
+    WITH c AS MATERIALIZED {ols(WEIGHED, "b")}, l AS (SELECT 'q' AS feature, b1 AS v FROM c UNION ALL SELECT 'd', b2 FROM c UNION ALL SELECT 'x', b3 FROM c)
+    SELECT feature, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper FROM l GROUP BY 1""")
 def bootstrap(t):
-    return rounded(m.bootstrap(facts(t), "key", COLS, "y", 10), 4)
+    return rounded(m.bootstrap(facts(t), "key", COLS, "y"), 4)
+
+
+TURNS = ", ".join(f"('{c}', {r}, {u!r}::DOUBLE)" for c, r, u in m.turns(COLS, 10))
 
 
-@query("mlx_15_permutation_importance")
+@query("mlx_15_permutation_importance", f"""
+    WITH f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {portable_hash_sql(['key'])}, key) - 1 AS p, count(*) OVER () AS n FROM {FACTS}), c AS MATERIALIZED {ols("(SELECT 1 AS one, * FROM f)", "one")},
+    e AS (SELECT t.c, t.r, avg(pow(b0 + b1 * CASE WHEN t.c = 'q' THEN o.q ELSE f.q END + b2 * CASE WHEN t.c = 'd' THEN o.d ELSE f.d END + b3 * CASE WHEN t.c = 'x' THEN o.x ELSE f.x END - f.y, 2)) AS mse
+          FROM c, f, (VALUES {TURNS}) t(c, r, u), f o WHERE o.p = (f.p + 1 + floor(t.u * (f.n - 1))::BIGINT) % f.n GROUP BY 1, 2), base AS (SELECT avg(pow(b0 + b1 * q + b2 * d + b3 * x - y, 2)) AS mse FROM f, c)
+    SELECT e.c AS feature, round(avg(e.mse - base.mse), 2) + 0.0::DOUBLE AS importance, round(stddev_pop(e.mse - base.mse), 2) + 0.0::DOUBLE AS std FROM e, base GROUP BY 1""")
 def permutation(t):
     df = spread(facts(t), "key")
     return rounded(m.permutation_importance(df, "key", COLS, "y", m.fit(df, COLS, "y"), 10), 2)
