@@ -199,9 +199,9 @@ def pattern_summary(flagged: DataFrame, rules: Sequence[Rule] = PATTERNS) -> Dat
 
 
 def consensus(df: DataFrame, flags: Sequence[str]) -> DataFrame:
-    """Flagged by at least two methods and at least half of them."""
+    """Flagged by at least two methods and by half of them, the whole part where their number is odd."""
     votes = reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags])
-    need = max(2.0, len(flags) / 2)
+    need = max(2, len(flags) // 2)
     return df.withColumn("votes", votes).withColumn("consensus", F.col("votes") >= need)
 
 

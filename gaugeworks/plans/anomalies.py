@@ -122,7 +122,7 @@ def report(t):
 @query("ano_12_comprehensive")
 def comprehensive(t):
     e = t.events.select("event_id", "user_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    got = an.comprehensive(e, "event_id", ["value", "k"], ["user_id"], ["ts", "event_id"], RULES, 20)
+    got = an.comprehensive(e, "event_id", ["value", "k"], ["user_id"], ["ts", "event_id"], RULES, 100)
     return got.select("event_id", "z_flag", "iqr_flag", "forest_flag", "pattern_flag", "votes", "consensus")
 
 

@@ -246,7 +246,7 @@ def mutual_nearest(t):
 @query("cln_14_elimination")
 def elimination(t):
     li = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *FEATS, "l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
-    got = q.eliminate(li, FEATS, "l_extendedprice", 1, trees=5, depth=4)
+    got = q.eliminate(li, FEATS, "l_extendedprice", 1, trees=100)
     return t.lineitem.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(k).alias("rank"), F.col("rows")) for c, k in got])).alias("c")).select("c.*")
 
 

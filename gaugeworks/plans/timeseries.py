@@ -126,7 +126,7 @@ def winters(t):
 
 @query("tsa_09_forest_forecast")
 def forest(t):
-    return rounded(s.forest_forecast(hours(t), ["event_type"], "bucket", "value", 2, 10))
+    return rounded(s.forest_forecast(hours(t), ["event_type"], "bucket", "value", 24, 100))
 
 
 @query("tsa_10_ensemble_forecast", """

@@ -283,3 +283,12 @@ def test_searches_and_permutations_run_in_full(monkeypatch):
         except InterruptedError:
             pass
         assert {k: asked[k] for k in want} == want
+
+
+def test_consensus_takes_the_whole_part_of_half(spark):
+    """Two votes are enough for two to five methods, three for six."""
+    rows = [(i, *[j < i for j in range(6)]) for i in range(7)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"f{j} boolean" for j in range(6)))
+    for n, need in ((2, 2), (3, 2), (4, 2), (5, 2), (6, 3)):
+        got = an.consensus(df, [f"f{j}" for j in range(n)])
+        assert {r.id for r in got.filter("consensus").collect()} == set(range(need, 7))
