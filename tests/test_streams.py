@@ -59,6 +59,36 @@ def test_cooldown_state_crosses_batches_and_a_repeated_batch_changes_nothing(spa
     assert got == want and 0 < sum(got.values()) < len(got)
 
 
+def test_state_holds_the_batches_keys_and_drops_old_epochs(spark, landed):
+    """Snapshots every two epochs, each batch repeated once: the result of one batch, and two generations of state."""
+    src = source(spark, landed)
+    out, state = scratch(spark, "ks"), scratch(spark, "ks-state")
+    handle = s.sliding_batches(spark, src.schema, ["source"], ["us", "id"], "t", "d", None, 15, out, state, every=2)
+    sizes = []
+
+    def twice(batch, epoch):
+        handle(batch, epoch)
+        handle(batch, epoch)
+        sizes.append(spark.read.parquet(f"{state}/epoch={epoch}").groupBy("source").count().collect())
+
+    c.drain_batches(src, "ks", twice)
+    got = spark.read.parquet(out).drop("epoch").toPandas().sort_values("id").reset_index(drop=True)
+    want = w.sliding_metrics(landed[1], ["source"], ["us", "id"], "t", "d", None, 15).toPandas().sort_values("id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], rtol=1e-6, atol=1e-9)
+    assert len(sizes) == 5 and all(r["count"] <= 14 for size in sizes for r in size)
+    assert sorted(f for f in os.listdir(state.removeprefix("file:")) if "=" in f) == ["epoch=2", "epoch=3", "epoch=4", "snapshot=2", "snapshot=4"]
+
+
+def test_idle_keys_leave_the_state(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    tail = s.TailState(spark, scratch(spark, "idle"), rows.schema, ["k"], every=2, idle=2)
+    for epoch in range(7):
+        batch = rows if epoch == 0 else rows.filter("k = 'a'").withColumn("v", F.lit(epoch))
+        held = sorted((r.k, r.v) for r in tail.before(epoch, rows).collect())
+        assert held == ([] if epoch == 0 else [("a", max(epoch - 1, 1)), ("b", 1)] if epoch < 4 else [("a", epoch - 1)])
+        tail.keep(batch, epoch)
+
+
 def test_rate_limiter_equals_batch(spark, landed):
     limits = {"minute": 2, "hour": 60, "day": 150}
     with c.keyed_state(spark):
