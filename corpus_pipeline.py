@@ -24,9 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that at least three documents hold, except in the last of these; every document stays."""
-    out = lines.dedup_lines(aside(docs, "doc_id", "text"), batches=4)
-    new = {"text": F.col("_lines.kept"), "n_chars": F.char_length("_lines.kept").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    own = "_lines"
+    while own in docs.columns:  # a column of that name keeps its values under a free one meanwhile
+        own += "_"
+    out = lines.dedup_lines(docs.withColumnRenamed("_lines", own), batches=4)
+    new = {"text": F.col("_lines.kept"), "n_chars": F.char_length("_lines.kept").cast(docs.schema["n_chars"].dataType), "_lines": F.col(own)}
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,14 +117,15 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_d
         runs.add(part, id, text)
     often = merged(runs.held()).where(F.col("docs") >= least_docs).select("mark", "last")
     # All columns travel in one struct, so that none can clash with the names used here.
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    own, said = F.col(f"_doc.`{id}`"), F.col(f"_doc.`{text}`")
     hits = (
-        d.select("_id", "_hash", F.explode(F.array_distinct(marks(F.col("_text"), least_chars))).alias("mark")).where("mark is not null")
-        .join(often, "mark").where(F.col("last").isNotNull() & (F.col("_id").isNull() | (F.col("_id") < F.col("last"))))
-        .groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set("mark").alias("_drop"))
+        d.select(own.alias("_i"), F.col("_hash").alias("_h"), F.explode(F.array_distinct(marks(said, least_chars))).alias("mark")).where("mark is not null")
+        .join(often, "mark").where(F.col("last").isNotNull() & (F.col("_i").isNull() | (F.col("_i") < F.col("last"))))
+        .groupBy("_i", "_h").agg(F.collect_set("mark").alias("_drop"))
     )
-    joined = d.join(hits, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash").eqNullSafe(F.col("_h"))), "left")
-    whole = lines(F.col("_text"))
+    joined = d.join(hits, own.eqNullSafe(F.col("_i")) & (F.col("_hash").eqNullSafe(F.col("_h"))), "left")
+    whole = lines(said)
     dropped = lambda x: F.coalesce(F.array_contains(F.col("_drop"), F.when(F.char_length(x) >= least_chars, _mark(line_key(x), least_chars))), F.lit(False))
     keep = F.when(F.col("_drop").isNull(), whole).otherwise(F.filter(whole, lambda x: ~dropped(x)))
     found = F.struct(F.size(whole).cast("long").alias("n_lines"), (F.size(whole) - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
