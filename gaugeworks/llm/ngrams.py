@@ -35,9 +35,32 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, f"<u{blob[:1].decode()}", offset=1).astype(np.int64)
 
 
+def pack_hashes(h: np.ndarray) -> bytes:
+    """Ascending hashes as `pack_sorted` has them, with the highest bytes of all differences together and compressed: these
+    are small, so they need little more than half of their bits. The other bytes are random and stay."""
+    flat = pack_sorted(h)
+    if len(h) < 2:
+        return flat
+    width = flat[0]
+    planes = np.frombuffer(flat, np.uint8, offset=9).reshape(-1, width)
+    high = pa.compress(planes[:, -1].tobytes(), "zstd", asbytes=True)
+    return cells.join(flat[:9], len(planes).to_bytes(8, "little"), high, planes[:, :-1].tobytes())
+
+
+def unpack_hashes(blob: bytes) -> np.ndarray:
+    if len(blob) <= 10 + 8:
+        return unpack_sorted(blob)
+    head, n, high, low = cells.parts(blob)
+    n = int.from_bytes(n, "little")
+    planes = np.empty((n, head[0]), np.uint8)
+    planes[:, -1] = np.frombuffer(pa.decompress(high, n, "zstd", asbytes=True), np.uint8)
+    planes[:, :-1] = np.frombuffer(low, np.uint8).reshape(n, -1)
+    return unpack_sorted(head + planes.tobytes())
+
+
 def answered(cells_in: list[list[bytes]], least: int) -> list[bytes]:
     """For each (kind, hashes, counts): flags of the hashes whose total reaches `least`, and those totals."""
-    h = [unpack_sorted(c[1]) for c in cells_in]
+    h = [unpack_hashes(c[1]) for c in cells_in]
     u, back = np.unique(np.concatenate(h) if h else np.zeros(0, U), return_inverse=True)
     total = np.bincount(back, weights=np.concatenate([unpack_counts(c[2]) for c in cells_in]), minlength=len(u)).astype(np.int64) if h else np.zeros(0, np.int64)
     out, at = [], 0
@@ -77,7 +100,7 @@ class Block:
 
     def ask(self, n: int, counts: dict[int, np.ndarray], least: int, ranges: int) -> list[tuple[int, bytes]]:
         u, c = np.unique(self.grams(n, counts, least)[1], return_counts=True)
-        return [(k, cells.join(str(n).encode(), pack_sorted(u[a:b]), pack_counts(c[a:b]))) for k, a, b in cells.split(u, ranges)]
+        return [(k, cells.join(str(n).encode(), pack_hashes(u[a:b]), pack_counts(c[a:b]))) for k, a, b in cells.split(u, ranges)]
 
     def totals(self, answers: dict[bytes, dict[int, list[bytes]]], upto: int, least: int, ranges: int) -> dict[int, np.ndarray]:
         """For n up to `upto` the total of the n-gram that ends at each word, 0 where it is not known to reach `least`."""
