@@ -9,8 +9,8 @@ ASCII letters, digits and characters beyond ASCII, A-Z lowered. n-grams stay ins
 with the context they have.
 
 The count tables live in hash ranges: a block of documents sends the distinct n-grams of each length with its own counts
-(one packed row per block and range, see `cells`), a range sums them and answers the blocks that asked with the totals
-that are at least `least`, and a block joins the totals to its n-grams and sums per document. With least = 1 all lengths are
+(one packed row per block and range, see `cells`), a range sums them and answers the blocks that asked with what the others add,
+where the total is at least `least`, and a block joins the totals to its n-grams and sums per document. With least = 1 all lengths are
 asked about at once. With more, words and pairs go first; an n-gram of three or more is asked about only if both of its
 parts reached `least`, as it can't otherwise.
 """
@@ -27,12 +27,17 @@ PIECE = 1 << 20
 
 
 def pack_counts(n: np.ndarray) -> bytes:
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(n) or int(n.max()) < 1 << 8 * int(k[-1]))
-    return kind[-1:].encode() + n.astype(kind).tobytes()
+    """Numbers from 0 on as byte planes, compressed: nearly all are the same small one, which then takes far below a byte."""
+    width = next(k for k in (1, 2, 4, 8) if not len(n) or int(n.max()) < 1 << 8 * k)
+    planes = n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return cells.join(bytes([width]), len(n).to_bytes(8, "little"), pa.compress(planes.tobytes(), "zstd", asbytes=True))
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[:1].decode()}", offset=1).astype(np.int64)
+    width, size, body = cells.parts(blob)
+    n = int.from_bytes(size, "little")
+    flat = np.frombuffer(pa.decompress(body, n * width[0], "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width[0], n).T).view(f"<u{width[0]}").ravel().astype(np.int64)
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
@@ -59,16 +64,19 @@ def unpack_hashes(blob: bytes) -> np.ndarray:
 
 
 def answered(cells_in: list[list[bytes]], least: int) -> list[bytes]:
-    """For each (kind, hashes, counts): flags of the hashes whose total reaches `least`, and those totals."""
+    """For each (kind, hashes, counts): flags of the hashes whose total reaches `least` (none if all do), and what the other
+    cells add to these counts. An n-gram that only one block holds is thus answered by a zero, and zeros take next to no room."""
     h = [unpack_hashes(c[1]) for c in cells_in]
+    own = [unpack_counts(c[2]) for c in cells_in]
     u, back = np.unique(np.concatenate(h) if h else np.zeros(0, U), return_inverse=True)
-    total = np.bincount(back, weights=np.concatenate([unpack_counts(c[2]) for c in cells_in]), minlength=len(u)).astype(np.int64) if h else np.zeros(0, np.int64)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, back, np.concatenate(own) if own else np.zeros(0, np.int64))
     out, at = [], 0
-    for c, x in zip(cells_in, h):
+    for c, x, n in zip(cells_in, h, own):
         t = total[back[at : at + len(x)]]
         at += len(x)
-        least_here = 1 if c[0] == b"1" else least
-        out.append(cells.join(c[0], cells.bits(t >= least_here), pack_counts(t[t >= least_here])))
+        reached = t >= (1 if c[0] == b"1" else least)
+        out.append(cells.join(c[0], b"" if reached.all() else cells.bits(reached), pack_counts((t - n)[reached])))
     return out
 
 
@@ -107,12 +115,13 @@ class Block:
         out: dict[int, np.ndarray] = {}
         for n in range(1, upto + 1):
             at, h = self.grams(n, out, least)
-            u, back = np.unique(h, return_inverse=True)
-            t = np.zeros(len(u), np.int64)
+            u, back, t = np.unique(h, return_inverse=True, return_counts=True)
             for k, a, b in cells.split(u, ranges):
-                flags, counts = answers[str(n).encode()][k]
+                flags, others = answers[str(n).encode()][k]
+                reached = cells.unbits(flags, b - a) if flags else np.ones(b - a, bool)
                 part = t[a:b]
-                part[cells.unbits(flags, b - a)] = unpack_counts(counts)
+                part[reached] += unpack_counts(others)
+                part[~reached] = 0
             out[n] = np.zeros(len(self.words), np.int64)
             out[n][at] = t[back]
         return out
