@@ -20,7 +20,7 @@ from gaugeworks.operators.ordered import average_rank, framed, largest_group, po
 from gaugeworks.operators.project import row_mean
 from gaugeworks.operators.quality import center_and_mad
 from gaugeworks.operators.windows import gradient, rate_flags
-from gaugeworks.session import durable, match, scalar_row, spread
+from gaugeworks.session import durable, match, scalar_row
 
 # Guards and limits of the statistical scores.
 TINY, MODIFIED_FACTOR, MODIFIED_LIMIT, Z_LIMIT = 1e-8, 0.6745, 3.5, 3.0
@@ -298,12 +298,15 @@ def isolation_scores(df: DataFrame, cols: Sequence[str], model: list[dict]) -> D
 
 
 def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int = 100, contamination: float = 0.1, seed: int = 42) -> DataFrame:
+    """Add `score` and `anomaly`, above the quantile 1 - `contamination` of the scores.
 
-
-    data = spread(df, key)
-    scored = durable(isolation_scores(data, cols, isolation_trees(data, key, cols, trees, seed)))
-    edge = scalar_row(quantiles(scored, [], ["score"], [1 - contamination]))["q_score"][0]
-    return scored.withColumn("anomaly", F.col("score") > edge)
+    The trees and the quantile read the key and the features only, and rows are scored where they are scanned, so the table
+    is neither shuffled nor written. Trees come from hashes of the key: whichever task scores a row again gives the same.
+    """
+    model = isolation_trees(df.select(key, *cols), key, cols, trees, seed)
+    scores = isolation_scores(df.select(*cols), cols, model).select("score")
+    edge = scalar_row(quantiles(scores, [], ["score"], [1 - contamination]))["q_score"][0]
+    return isolation_scores(df, cols, model).withColumn("anomaly", F.col("score") > edge)
 
 
 def comprehensive(df: DataFrame, key: str, cols: Sequence[str], keys: Sequence[str], order: Sequence[str], rules: Sequence[Rule] = PATTERNS, trees: int = 50) -> DataFrame:

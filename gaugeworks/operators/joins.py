@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import framed, running
-from gaugeworks.session import broadcast_if_small
+from gaugeworks.session import broadcast_if_small, scalar_row
 
 
 def experiment_stats(exp: DataFrame, shots: DataFrame, series: DataFrame, exp_id: str, shot_exp: str, shot_id: str, series_shot: str, value: str, disrupted: Column, fan_out: bool = True) -> DataFrame:
@@ -52,25 +52,27 @@ def route(messages: DataFrame, bindings: DataFrame, message_id: str, key: str, d
 
     `bindings` is a rule table (pattern, queue). A pattern stands for equal keys, for keys with its prefix, for keys with
     its suffix or for all; a key offers itself and its ends of the lengths that occur among the rules, so the match is an
-    equi-join of any number of rules.
+    equi-join of any number of rules. Rules for all are no join key: their queues, which every message gets anyway, are
+    added as one array.
     """
     p = F.col("pattern")
     kinds = F.array(
         F.struct(F.lit("exact").alias("kind"), p.alias("text")),
-        F.when(p.endswith("*"), F.struct(F.lit("prefix").alias("kind"), F.expr("substring(pattern, 1, length(pattern) - 1)").alias("text"))),
-        F.when(p.startswith("*"), F.struct(F.lit("suffix").alias("kind"), F.expr("substring(pattern, 2)").alias("text"))),
-        F.when(p == "*", F.struct(F.lit("all").alias("kind"), F.lit("").alias("text"))),
+        F.when(p.endswith("*") & (p != "*"), F.struct(F.lit("prefix").alias("kind"), F.expr("substring(pattern, 1, length(pattern) - 1)").alias("text"))),
+        F.when(p.startswith("*") & (p != "*"), F.struct(F.lit("suffix").alias("kind"), F.expr("substring(pattern, 2)").alias("text"))),
     )
+    every = bindings.where(p == "*").agg(F.collect_set("queue").alias("queues"))
     rules = bindings.where(p.isNotNull()).select(F.explode(F.array_compact(kinds)).alias("r"), "queue").select("r.kind", "r.text", "queue").distinct()
     sizes = {"prefix": set(), "suffix": set()}
     for r in rules.where("kind in ('prefix', 'suffix')").select("kind", F.length("text").alias("n")).distinct().collect():  # as many as lengths of keys
         sizes[r["kind"]].add(r["n"])
     k = F.col(key)
-    offer = [F.struct(F.lit("all").alias("kind"), F.lit("").alias("text")), F.when(k.isNotNull(), F.struct(F.lit("exact").alias("kind"), k.alias("text")))]
+    offer = [F.struct(F.lit("exact").alias("kind"), k.alias("text"))]
     offer += [F.when(F.length(k) >= n, F.struct(F.lit("prefix").alias("kind"), F.substring(k, 1, n).alias("text"))) for n in sorted(sizes["prefix"])]
     offer += [F.when(F.length(k) >= n, F.struct(F.lit("suffix").alias("kind"), (F.substring(k, -n, n) if n else F.lit("")).alias("text"))) for n in sorted(sizes["suffix"])]
     offered = messages.select(message_id, key, F.explode(F.array_compact(F.array(*offer))).alias("o")).select(message_id, key, "o.kind", "o.text")
-    hit = offered.join(broadcast_if_small(rules), ["kind", "text"], "left").groupBy(message_id, key).agg(F.collect_set("queue").alias("queues"))
+    hit = offered.join(broadcast_if_small(rules), ["kind", "text"], "left").groupBy(message_id, key).agg(F.collect_set("queue").alias("own"))
+    hit = hit.withColumn("queues", F.array_union("own", scalar_row(every)["queues"]))
     queues = F.when(F.size("queues") > 0, F.col("queues")).otherwise(F.array(F.concat(F.lit(default_prefix), k)))
     return hit.select(message_id, F.explode(queues).alias("queue")).distinct()
 

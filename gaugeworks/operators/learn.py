@@ -131,14 +131,16 @@ def train_all(train: DataFrame, valid: DataFrame, cols: Sequence[str], label: st
     return {kind: fit(train, cols, label, kind, **options) for kind in regressors("features", label)}
 
 
-def compare(models: dict[str, Model], parts: dict[str, DataFrame], label: str) -> DataFrame:
-    """Metrics per model and data part, long."""
-    out = []
-    for kind, m in models.items():
-        for part, df in parts.items():
-            got = regression_metrics(m.transform(df), label, "prediction")
-            out.append(got.select(F.lit(kind).alias("model"), F.lit(part).alias("part"), "*"))
-    return reduce(DataFrame.unionByName, out)
+def compare(models: dict[str, Model], parts: dict[str, DataFrame], label: str, cols: Sequence[str]) -> DataFrame:
+    """Metrics per model and data part, long: every model predicts in one scan of a part, all errors are one aggregate."""
+    made = []
+    for part, df in parts.items():
+        df = df.select(label, *[c for c in cols if c != label])
+        for kind, m in models.items():
+            df = m.transform(df).withColumnRenamed("prediction", f"p_{kind}").drop("features")
+        each = F.explode(F.array(*[F.struct(F.lit(kind).alias("model"), F.col(f"p_{kind}").alias("prediction")) for kind in models]))
+        made.append(df.select(label, F.lit(part).alias("part"), each.alias("e")).select("part", "e.model", label, "e.prediction"))
+    return regression_metrics(reduce(DataFrame.unionByName, made), label, "prediction", ["model", "part"])
 
 
 def hashed_folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import aggregate as a
 from gaugeworks.operators import joins as j
 from gaugeworks.plans.aggregations import rounded
-from gaugeworks.plans.predicates import BINDINGS_SQL, MATCH_SQL
+from gaugeworks.plans.predicates import BINDINGS, BINDINGS_SQL, MATCH_SQL
 from gaugeworks.plans.registry import query
 from gaugeworks.session import rows_table
 
@@ -63,6 +63,12 @@ def routing(t):
     return j.route(t.events, b, "event_id", "event_type")
 
 
+@query("joi_05_routing_catch_all", f"""
+    WITH b AS (SELECT * FROM {BINDINGS_SQL}) SELECT DISTINCT event_id, queue FROM events JOIN b ON {MATCH_SQL}""")
+def routing_catch_all(t):
+    return j.route(t.events, rows_table(t.spark, BINDINGS, "pattern string, queue string"), "event_id", "event_type")
+
+
 @query("joi_06_run_pairing", """
     WITH e AS (SELECT event_id // 3 AS run, ts, event_id % 3 AS k, value FROM events), g AS (SELECT run, min(ts) FILTER (k = 0) AS start_ts, max(ts) FILTER (k = 2 AND value > 20) AS end_ts FROM e GROUP BY 1)
     SELECT run, start_ts, end_ts, round((epoch_us(end_ts) - epoch_us(start_ts)) / 1e6, 6) AS seconds, end_ts IS NULL AS active FROM g WHERE start_ts IS NOT NULL""")

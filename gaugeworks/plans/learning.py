@@ -107,7 +107,7 @@ def trees(t):
 def compare(t):
     df = spread(m.hashed_folds(facts(t), ["key"]), "key")
     train, valid = df.filter("fold <> 0"), df.filter("fold = 0")
-    return rounded(m.compare(m.train_all(train, valid, COLS, "y", trees=20), {"train": train, "validation": valid}, "y"), 4)
+    return rounded(m.compare(m.train_all(train, valid, COLS, "y", trees=20), {"train": train, "validation": valid}, "y", COLS), 4)
 
 
 @query("mlx_07_weighted_vote", "SELECT event_id, round(value * 0.75 + user_id * 0.25, 6) AS vote FROM events")

@@ -72,6 +72,56 @@ def constraint_report(t):
     })
 
 
+STORE_SQL = {
+    "experiments": """SELECT c_custkey::VARCHAR AS id, c_name AS name, CASE WHEN c_nationkey > 20 THEN NULL ELSE c_mktsegment END AS experiment_type,
+        CASE WHEN c_nationkey < 5 THEN 'paused' ELSE 'running' END AS status, 'tokamak' AS reactor_type FROM customer WHERE c_acctbal > 0""",
+    "shots": """SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS experiment_id, month(o_orderdate) AS shot_number, o_orderdate AS start_time, NULL AS plasma_current,
+        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'paused' END AS status FROM orders WHERE o_totalprice > 50000""",
+    "measurements": """SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey::VARCHAR AS shot_id, l_shipdate AS timestamp, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_tax END AS time_relative,
+        l_linestatus AS diagnostic_name, l_returnflag AS measurement_type, l_quantity AS value, l_linenumber AS quality_flag, 'pieces' AS units FROM lineitem""",
+    "predictions": """SELECT event_id::VARCHAR AS id, CASE WHEN user_id % 5 > 0 THEN user_id::VARCHAR END AS shot_id, event_type AS model_id, '1' AS model_version, 'gain' AS prediction_type,
+        props AS input_features, value AS predicted_value FROM events""",
+}
+_MISSING = {
+    "experiments": "id name experiment_type reactor_type", "shots": "id experiment_id shot_number start_time",
+    "measurements": "id shot_id timestamp time_relative diagnostic_name measurement_type value units",
+    "predictions": "id model_id model_version prediction_type input_features predicted_value",
+}
+
+
+def store_sql() -> str:
+    """SQL of the report, stated rule by rule."""
+    ask = lambda table, rule, where, source=None: f"SELECT '{table}' AS \"table\", '{rule}' AS rule, count(*) AS violations FROM {source or table} WHERE {where}"
+    parts = [ask(t, f"{c} missing", f"{c} IS NULL") for t, cols in _MISSING.items() for c in cols.split()]
+    parts += [ask(t, f"{f.strip().split()[0]} unreadable", "NOT readable", f"(SELECT true AS readable FROM {t})") for t, layout in tables.STORE.items() for f in layout.columns.split(",") if f.strip().split()[1] != "string"
+              and (t, f.strip().split()[0]) != ("predictions", "prediction_interval_lower")]
+    parts.append(ask("predictions", "prediction_interval_lower unreadable", "x IS NOT NULL AND TRY_CAST(x AS DOUBLE) IS NULL", "(SELECT event_type AS x FROM events)"))
+    parts += [ask("experiments", "status unknown", "status = 'paused'"), ask("shots", "status unknown", "status = 'paused'"), ask("measurements", "quality_flag unknown", "quality_flag > 2")]
+    parts += [f"SELECT '{t}', '{k} unique', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})" for t, k in [*((t, "id") for t in STORE_SQL), ("shots", "experiment_id, shot_number")]]
+    parts += [ask(t, f"{c} known", f"{c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {p})") for t, c, p in (("shots", "experiment_id", "experiments"), ("measurements", "shot_id", "shots"), ("predictions", "shot_id", "shots"))]
+    return "WITH " + ", ".join(f"{t} AS ({q})" for t, q in STORE_SQL.items()) + " " + " UNION ALL ".join(parts)
+
+
+@query("src_07_experiment_store", store_sql())
+def experiment_store(t):
+    text = lambda c: F.col(c).cast("string")
+    made = {
+        "experiments": t.customer.where("c_acctbal > 0").select(
+            text("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") <= 20, F.col("c_mktsegment")).alias("experiment_type"),
+            F.when(F.col("c_nationkey") < 5, "paused").otherwise("running").alias("status"), F.lit("tokamak").alias("reactor_type")),
+        "shots": t.orders.where("o_totalprice > 50000").select(
+            text("o_orderkey").alias("id"), text("o_custkey").alias("experiment_id"), F.month("o_orderdate").alias("shot_number"), F.col("o_orderdate").alias("start_time"),
+            F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("paused").alias("status")),
+        "measurements": t.lineitem.select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), text("l_orderkey").alias("shot_id"), F.col("l_shipdate").alias("timestamp"), F.when(F.col("l_tax") <= 0.07, F.col("l_tax")).alias("time_relative"),
+            F.col("l_linestatus").alias("diagnostic_name"), F.col("l_returnflag").alias("measurement_type"), F.col("l_quantity").alias("value"), F.col("l_linenumber").alias("quality_flag"), F.lit("pieces").alias("units")),
+        "predictions": t.events.select(
+            text("event_id").alias("id"), F.when(F.col("user_id") % 5 > 0, text("user_id")).alias("shot_id"), F.col("event_type").alias("model_id"), F.lit("1").alias("model_version"), F.lit("gain").alias("prediction_type"),
+            F.col("props").alias("input_features"), F.col("value").alias("predicted_value"), F.col("event_type").alias("prediction_interval_lower")),
+    }
+    return tables.store_report(made)
+
+
 @query("src_08_measurement_store", """
     SELECT user_id AS shot_id, event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END AS value, 0 AS quality_flag FROM events""")
 def measurement_store(t):

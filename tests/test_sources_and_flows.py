@@ -131,3 +131,38 @@ def test_constraint_checks_find_duplicates_and_orphans(spark):
     parent = spark.createDataFrame([(1,)], "pid int")
     got = {r["rule"]: r["violations"] for r in tables.constraint_report({"dup": tables.duplicate_keys(child, ["id"]), "orphan": tables.orphans(child, "parent", parent, "pid")}).collect()}
     assert got == {"dup": 1, "orphan": 1}
+
+
+def test_typed_tables_fill_defaults_and_name_unreadable_values(spark):
+    rows = spark.createDataFrame([("a", "x", None, "12", 1), ("b", "x", "gone", "many", 2), (None, "x", "running", None, 3)], "id string, experiment_id string, status string, shot_number string, extra int")
+    rows = rows.withColumn("start_time", F.lit("2024-01-01 00:00:00"))
+    shots = tables.STORE["shots"]
+    got = {r["id"]: r for r in tables.typed(rows, shots).collect()}
+    assert "extra" not in got["a"].asDict() and got["a"]["shot_number"] == 12 and got["a"]["status"] == "completed" and got["a"]["had_disruption"] is False
+    assert got["b"]["shot_number"] is None and got["b"]["_unreadable"] == ["shot_number"] and got["a"]["_unreadable"] == []
+    good, bad = tables.accepted(rows, shots)
+    assert [r["id"] for r in good.collect()] == ["a"] and good.columns == [f.name for f in shots.schema(spark)]
+    assert {r["id"]: sorted(r["broken"]) for r in bad.collect()} == {"b": ["shot_number unreadable", "status unknown"], None: ["id missing", "shot_number missing"]}
+
+
+def test_store_report_counts_repeated_keys_and_lost_references(spark):
+    at = F.lit("2024-01-01 00:00:00")
+    exp = spark.createDataFrame([("e1", "n", "t", "r"), ("e1", "n", "t", "r"), ("e2", None, "t", "r")], "id string, name string, experiment_type string, reactor_type string")
+    shot = spark.createDataFrame([("s1", "e1", 1), ("s2", "e1", 1), ("s3", "e9", None), ("s4", "e9", None), ("s5", None, 2)], "id string, experiment_id string, shot_number int").withColumn("start_time", at)
+    got = {(r["table"], r["rule"]): r["violations"] for r in tables.store_report({"experiments": exp, "shots": shot}).collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        ("experiments", "id unique"): 1, ("experiments", "name missing"): 1, ("shots", "experiment_id, shot_number unique"): 1,
+        ("shots", "experiment_id known"): 2, ("shots", "experiment_id missing"): 1, ("shots", "shot_number missing"): 2}
+    alone = {(r["table"], r["rule"]): r["violations"] for r in tables.store_report({"shots": shot.limit(0)}).collect()}
+    assert set(alone.values()) == {0} and ("shots", "experiment_id known") in alone
+
+
+def test_rules_for_all_reach_every_message_and_no_rules_the_default(spark):
+    from gaugeworks.operators import joins
+
+    msgs = spark.createDataFrame([(1, "ab"), (2, ""), (3, None)], "id int, key string")
+    rules = lambda *r: spark.createDataFrame(list(r), "pattern string, queue string")
+    got = lambda b: sorted((r["id"], r["queue"]) for r in joins.route(msgs, b, "id", "key").collect() if r["queue"])
+    assert got(rules(("*", "q"), ("a*", "q"), ("a*", "p"))) == [(1, "p"), (1, "q"), (2, "q"), (3, "q")]
+    assert got(rules(("*b", "p"), (None, "z"))) == [(1, "p"), (2, "events.")]
+    assert got(rules()) == [(1, "events.ab"), (2, "events.")]
