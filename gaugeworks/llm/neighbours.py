@@ -17,7 +17,7 @@ shared folder, and all state is keyed rows.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gaugeworks.llm.frames import kept_table, pick
 
@@ -85,8 +85,9 @@ def close_pairs(code: str, keep: int):
                 np.fill_diagonal(d, np.inf)
                 k = min(keep, len(ids) - 1)
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                far = np.take_along_axis(d, near, 1)
-                u, v, far = np.repeat(ids, k), ids[near].ravel(), far.ravel()
+                # The product rounds differently from list to list; a pair's distance must be the same wherever it meets.
+                far = np.sqrt(np.stack([((x - x[j]) ** 2).sum(1) for j in near.T], 1)).ravel()
+                u, v = np.repeat(ids, k), ids[near].ravel()
                 ok = (far < np.repeat([r["radius"] for r in row], k)) & (u != v)
                 if ok.any():
                     yield pa.RecordBatch.from_pydict({"u": pa.array(u[ok]), "v": pa.array(v[ok]), "d": pa.array(far[ok])})
@@ -95,9 +96,14 @@ def close_pairs(code: str, keep: int):
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """(u, near): the k nearest distinct neighbours of every node, nearest first, as structs (d, v)."""
-    once = edges.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"))
-    return once.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, k).alias("near"))
+    """(u, near): the k nearest distinct neighbours of every node, nearest first, as structs (d, v).
+
+    Equal pairs share a rank, as their distances are equal. The bound on the rank is applied before the shuffle too, so a
+    node that is in very many lists sends its best of every task, not all of its candidates, to the one that ranks them.
+    """
+    order = Window.partitionBy("u").orderBy("d", "v")
+    best = edges.select("u", "v", "d", F.dense_rank().over(order).alias("place")).where(F.col("place") <= k)
+    return best.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("d", "v"))).alias("near"))
 
 
 def leaves(nodes: DataFrame, code: str, trees: int, leaf: int) -> DataFrame:
@@ -220,11 +226,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DE
     state = kept_table(given.groupBy("s").agg(F.array_sort(F.collect_list("e")).alias("pool")).withColumn("done", F.array().cast("array<bigint>")), "pools")
     for _ in range(steps):
         front = state.select("s", F.explode(F.array_except("pool.v", "done")).alias("m"))
-        seen = front.join(links, "m").select("s", F.col("a").alias("v")).distinct()
+        seen = front.join(links, "m").select("s", F.col("a").alias("v")).distinct().join(state.select("s", F.explode("pool.v").alias("v")), ["s", "v"], "left_anti")
         near = seen.join(nodes.select(F.col("id").alias("v"), "vec"), "v").join(starts, "s").select("s", F.struct(distance(F.col("vec"), F.col("sv"), code).alias("d"), F.col("v")).alias("e"))
         more = near.groupBy("s").agg(F.collect_list("e").alias("more"))
         grown = state.join(more, "s", "left").select(
-            "s", F.slice(F.array_sort(F.array_union("pool", F.coalesce("more", F.array().cast("array<struct<d:double,v:bigint>>")))), 1, pool).alias("pool"),
+            "s", F.slice(F.array_sort(F.concat("pool", F.coalesce("more", F.array().cast("array<struct<d:double,v:bigint>>")))), 1, pool).alias("pool"),
             F.array_union("done", F.col("pool.v")).alias("done"),
         )
         state = kept_table(grown, "pools")

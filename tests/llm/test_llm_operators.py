@@ -254,6 +254,14 @@ def test_neighbours_in_a_dense_cluster(spark):
     assert hit >= 0.9 * 10 * 50
 
 
+def test_nearest_pairs_count_once_and_are_cut_before_the_shuffle(spark):
+    edges = spark.createDataFrame([(1, v % 40, float(v % 40)) for v in range(200)] + [(2, 1, 0.5)], "u long, v long, d double")
+    ranked = neighbours.nearest(edges, 5)
+    got = {r.u: [(e.d, e.v) for e in r.near] for r in ranked.collect()}
+    assert got == {1: [(float(v), v) for v in range(5)], 2: [(0.5, 1)]}
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
+
+
 def test_neighbours_of_an_outlier(spark):
     """Alone in its leaf in every tree, it has first neighbours all the same; the exact pass gives what brute force gives."""
     r = np.random.default_rng(6)
