@@ -103,7 +103,19 @@ def impute_neighbours(df: DataFrame, key: str, cols: Sequence[str], k: int = 5)
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), scalar_row(modes(df, [], c))["mode"]) for c in cols})
+    """Nulls become the column's most frequent value, the smallest on a tie; a column without values stays null.
+
+    Columns of one type are counted together in one scan, as (column, value) pairs combined on the map side.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    fills = {}
+    for group in kinds.values():
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").alias("_val")) for c in group])).alias("_p")).select("_p.*")
+        found = scalar_row(modes(pairs, ["_col"], "_val").agg(F.map_from_entries(F.collect_list(F.struct("_col", "mode"))).alias("modes")))["modes"]
+        fills |= {c: F.coalesce(F.col(f"`{c}`"), found[c]) for c in group}
+    return df.withColumns(fills)
 
 
 def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:

@@ -292,3 +292,14 @@ def test_consensus_takes_the_whole_part_of_half(spark):
     for n, need in ((2, 2), (3, 2), (4, 2), (5, 2), (6, 3)):
         got = an.consensus(df, [f"f{j}" for j in range(n)])
         assert {r.id for r in got.filter("consensus").collect()} == set(range(need, 7))
+
+
+def test_modes_of_several_columns_and_types(spark):
+    rows = [(1, "b", None, 2.5, None), (2, "a", 3, None, None), (3, None, 3, 2.5, None), (4, "a", None, 1.0, None), (5, "b", 4, None, None), (6, None, 4, 1.0, None)]
+    df = spark.createDataFrame(rows, "id int, s string, n int, x double, none string")
+    got = [tuple(r) for r in q.impute_mode(df, ["s", "n", "x", "none"]).orderBy("id").collect()]
+    fill = {1: "a", 2: 3, 3: 1.0, 4: None}  # every mode is a tie, or there is none
+    assert got == [tuple(v if v is not None else fill[k] for k, v in enumerate(r)) for r in rows]
+    assert q.impute_mode(df.limit(0), ["s", "n"]).collect() == []
+    alone = q.impute_mode(df, ["none"]).collect()
+    assert {r["none"] for r in alone} == {None}
