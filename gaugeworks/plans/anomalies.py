@@ -34,7 +34,17 @@ def iqr(t):
     return rounded(an.iqr_score(t.events, "value").select(*KEEP))
 
 
-@query("ano_04_grubbs")
+#: Student's quantile at 1 - 0.05 / (2 n) by halving, its tail by Simpson's rule; then the critical value for n rows.
+CRITICAL_SQL = """n AS (SELECT count(value)::DOUBLE AS n FROM events), t(lo, hi, n, k) AS (SELECT 0::DOUBLE, 60::DOUBLE, n, 0 FROM n UNION ALL
+      SELECT CASE WHEN tail > 0.025::DOUBLE / n THEN mid ELSE lo END, CASE WHEN tail > 0.025::DOUBLE / n THEN hi ELSE mid END, n, k + 1
+      FROM (SELECT lo, hi, n, k, (lo + hi) / 2 AS mid, exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()) * 0.0025::DOUBLE / 3
+              * list_sum(list_transform(range(0, 12001), lambda i: CASE WHEN i IN (0, 12000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(n - 1) / 2 * ln(1 + pow((lo + hi) / 2 + i * 0.0025::DOUBLE, 2) / (n - 2))))) AS tail FROM t WHERE k < 60)),
+    c AS (SELECT (n - 1) / sqrt(n) * sqrt(lo * lo / (n - 2 + lo * lo)) AS critical FROM t WHERE k = 60)"""
+
+
+@query("ano_04_grubbs", f"""
+    WITH RECURSIVE {CRITICAL_SQL}, z AS (SELECT event_id, abs((value - m) / (s + 1e-8)) AS score FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events))
+    SELECT event_id, round(score, 6) AS score, score > critical AS anomaly, {SEV} AS severity, round(least(score / critical, 1), 6) AS confidence FROM z, c""")
 def grubbs(t):
     return rounded(an.grubbs(t.events, "value").select(*KEEP))
 

@@ -263,10 +263,28 @@ def split(t):
     return q.split(t.orders, ["o_orderkey"]).select("o_orderkey", "part")
 
 
-@query("cln_17_preprocess")
+# Scaled features by their formula up to a constant factor, which scaling takes out.
+PREPARED = {
+    "plasma_temperature": "t", "plasma_density": "d", "magnetic_field": "f", "thermal_energy_density": "t * d", "magnetic_pressure": "f * f",
+    "plasma_frequency": "sqrt(d)", "gyrofrequency": "f", "thermal_velocity": "sqrt(t)",
+}
+
+
+def _prepared_sql() -> str:
+    train = "FILTER (part = 'train') OVER ()"
+    scaled = ", ".join(f"round(({x} - avg({x}) {train}) / stddev_pop({x}) {train}, 5) + 0.0::DOUBLE AS {c}" for c, x in PREPARED.items())
+    return f"""
+    WITH e AS (SELECT DISTINCT event_id, event_type, value AS t, user_id + 1.0::DOUBLE AS d, CASE WHEN event_id % 9 <> 0 THEN value / 7 END AS f, value * 2 AS q_factor, {portable_hash_sql(["event_id"], 42)} / 4294967296.0::DOUBLE AS u FROM events),
+    p AS (SELECT *, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.3 THEN 'validation' ELSE 'train' END AS part FROM e), m AS (SELECT median(f) AS f FROM p WHERE part = 'train'),
+    w AS (SELECT p.* EXCLUDE (f), coalesce(p.f, m.f) AS f FROM p, m)
+    SELECT event_id, part, q_factor, (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS event_type_index, {scaled} FROM w"""
+
+
+@query("cln_17_preprocess", _prepared_sql())
 def preprocess(t):
     e = t.events.selectExpr("event_id", "event_type", "value plasma_temperature", "user_id + 1.0D plasma_density", "if(event_id % 9 = 0, null, value / 7) magnetic_field", "value * 2 q_factor")
-    return q.preprocess(e, "event_id", "q_factor", ["event_type"]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("thermal_energy_density"), 6).alias("mean_energy"))
+    got = q.preprocess(e, "event_id", "q_factor", ["event_type"])
+    return rounded(got.select("event_id", "part", "q_factor", "event_type_index", *PREPARED), 5, q_factor=9)
 
 
 @query("cln_18_event_transforms", """
