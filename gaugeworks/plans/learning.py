@@ -99,7 +99,7 @@ def linear(t):
 def trees(t):
     df = spread(facts(t), "key")
     a = m.fit(df, COLS, "y", "random_forest").transform(df).select("key", F.col("prediction").alias("forest"))
-    b = m.fit(df, COLS, "y", "gradient_boosting", trees=25).transform(df).select("key", F.col("prediction").alias("boosted"))
+    b = m.fit(df, COLS, "y", "gradient_boosting").transform(df).select("key", F.col("prediction").alias("boosted"))
     return rounded(a.join(b, "key"), 4)
 
 
@@ -107,7 +107,7 @@ def trees(t):
 def compare(t):
     df = spread(m.hashed_folds(facts(t), ["key"]), "key")
     train, valid = df.filter("fold <> 0"), df.filter("fold = 0")
-    return rounded(m.compare(m.train_all(train, valid, COLS, "y", trees=20), {"train": train, "validation": valid}, "y", COLS), 4)
+    return rounded(m.compare(m.train_all(train, valid, COLS, "y"), {"train": train, "validation": valid}, "y", COLS), 4)
 
 
 @query("mlx_07_weighted_vote", "SELECT event_id, round(value * 0.75 + user_id * 0.25, 6) AS vote FROM events")
@@ -117,7 +117,7 @@ def vote(t):
 
 @query("mlx_07_stacking")
 def stack(t):
-    return rounded(m.stacking(facts(t), "key", COLS, "y", folds=5, trees=10).select("key", "y", "prediction"), 4)
+    return rounded(m.stacking(facts(t), "key", COLS, "y", folds=5).select("key", "y", "prediction"), 4)
 
 
 @query("mlx_08_batch_prediction", f"""
@@ -132,7 +132,7 @@ def batch(t):
 @query("mlx_09_grid_search")
 def grid(t):
     df = spread(facts(t), "key")
-    model, scores = m.cross_validated_search(df, "key", COLS, "y", {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=5)
+    model, scores = m.cross_validated_search(df, "key", COLS, "y", {"numTrees": [50, 100], "maxDepth": [3, 5]}, folds=5)
     return rounded(model.transform(m.assemble(df, COLS)).select("key", "prediction"), 4)
 
 
