@@ -137,9 +137,9 @@ def test_ar_forecast_of_a_first_order_process(spark):
     x = [0.0]
     for _ in range(800):
         x.append(0.8 * x[-1] + rng.normal(0, 0.1))
-    coef, _, _ = s.ar_fit(np.array(x), 1)
-    assert coef[1] == pytest.approx(0.8, abs=0.06)
-    got = s.ar_forecast(spark.createDataFrame(pd.DataFrame({"k": "a", "t": range(len(x)), "v": x})), ["k"], "t", "v", 6).orderBy("step").toPandas()
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "t": range(len(x)), "v": x}))
+    assert s.ar_coefficients(df, ["k"], ["t"], "v", 1).first()["phi"][0] == pytest.approx(0.8, abs=0.06)
+    got = s.arima_forecast(df, ["k"], "t", "v", 6, max_q=0).orderBy("step").toPandas()
     assert len(got) == 6 and ((got["upper"] - got["lower"]).diff().dropna() >= -1e-12).all()
 
 
