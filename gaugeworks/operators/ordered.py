@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from gaugeworks.session import broadcast_if_small, durable, group_rows, match, scalar_row
 
-DENSE_ROWS = 20_000
-
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     if not keys:
@@ -165,21 +163,25 @@ def framed(
 
 
 def trailing(
-    df: DataFrame, keys: Sequence[str], micros: str, span: int, tie: str, count: str, first: str | None = None, dense: int = DENSE_ROWS
+    df: DataFrame, keys: Sequence[str], micros: str, span: int, tie: str, count: str, first: str | None = None, dense: int | None = None
 ) -> DataFrame:
     """Rows of the last `span` microseconds (both ends included) per row, and the time of the first of them.
 
-    Sparse data: the clock is cut into cells one span wide and a row is copied into the next cell too, so
-    a cell holds all its rows can see. A sliding frame costs its length per row, hence for bursts, cells
-    above `dense` rows, both ends of every span become markers among the rows, and counts are
+    The clock is cut into cells one span wide and a row is copied into the next cell too, so a cell holds all its rows
+    can see. A frame that slides costs its length per row; frames that only grow cost one step: the rows up to now less
+    those before the span, and the first row of the span as the last one met from the far end. For bursts, cells above
+    `dense` rows (half the group limit), both ends of every span become markers among the rows, and counts are
     differences of one running count.
     """
     keys = list(keys)
+    dense = group_rows(df.sparkSession) // 2 if dense is None else dense
     celled = df.withColumn("_home", F.floor(F.col(micros) / F.lit(span)))
     if largest_group(celled, [*keys, "_home"]) <= dense:
         spread = celled.withColumn("_cell", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-        frame = W.partitionBy(*keys, "_cell").orderBy(micros).rangeBetween(-span, 0)
-        out = {count: F.count(F.lit(1)).over(frame), **({first: F.min(micros).over(frame)} if first else {})}
+        cell = W.partitionBy(*keys, "_cell")
+        upto = lambda end: F.count(F.lit(1)).over(cell.orderBy(micros).rangeBetween(W.unboundedPreceding, end))
+        since = cell.orderBy(F.col(micros).desc()).rangeBetween(W.unboundedPreceding, span)
+        out = {count: upto(0) - upto(-span - 1), **({first: F.min(micros).over(since)} if first else {})}
         return spread.withColumns(out).filter("_cell = _home").drop("_home", "_cell")
     t = F.col(micros)
     marks = F.array(*[F.struct(x.alias("x"), F.lit(k).alias("k")) for x, k in ((t - span, 0), (t, 1), (t, 2))])

@@ -80,6 +80,19 @@ def test_trailing_burst_path_equals_sliding_frame_and_brute_force(df, data):
     assert a.orderBy("id").toPandas()["n"].tolist() == brute
 
 
+def test_trailing_has_no_sliding_frame(spark):
+    """20,000 rows a cell: no frame slides, so a row's cost doesn't grow with the rows in its span."""
+    n = 40_000
+    df = spark.range(n).select("id", F.lit("k").alias("key"), (F.col("id") * 1000 + F.hash("id") % 300).alias("t"))
+    got = o.trailing(df, ["key"], "t", 30_000_000, "id", "n", "a")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -30000000" not in plan and plan.count("RangeFrame, unboundedpreceding$()") == 3
+    t = np.array([r.t for r in df.orderBy("t", "id").collect()])
+    found = got.orderBy("t", "id").toPandas()
+    start = np.searchsorted(t, t - 30_000_000, "left")
+    assert found["n"].tolist() == (np.searchsorted(t, t, "right") - start).tolist() and found["a"].tolist() == t[start].tolist()
+
+
 def test_islands(df):
     flag = F.col("v") > 50
     same(o.islands(df, ["key"], ["t", "id"], flag), o.islands(df, ["key"], ["t", "id"], flag, rows=30))
