@@ -9,14 +9,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeworks.functions.stats import grubbs_critical
 from gaugeworks.operators import space
 from gaugeworks.operators.aggregate import fences, rows
-from gaugeworks.operators.ordered import average_rank, framed, largest_group, position, quantiles
+from gaugeworks.operators.ordered import average_rank, framed, in_blocks, quantiles
 from gaugeworks.operators.project import row_mean
 from gaugeworks.operators.quality import center_and_mad
 from gaugeworks.operators.windows import gradient, rate_flags
@@ -357,27 +358,46 @@ def outlier_factors(df: DataFrame, key: str, cols: Sequence[str], k: int = 20, c
 def local_outlier_factor(df: DataFrame, keys: Sequence[str], value: str, tie: str, k: int = 20) -> DataFrame:
     """Local outlier factor of a reading among those of its key.
 
-    On one axis the k nearest neighbours are among the k rows before and the k after in value order, so
-    three bounded frames give distance, density and factor without any pair join.
+    On one axis the k nearest neighbours are among the k rows before and the k after in value order, so blocks of rows with
+    3 k rows around them give distance, density and factor as arrays, without any pair join. A missing reading's distances
+    are unknown and come first.
     """
-    order = [value, tie]
-    size = largest_group(df, keys)
-    placed = position(df, keys, order, "_p", largest=size)
-    frame = lambda w: w.rowsBetween(-k, k)
-
-    def neighbours(w):
-        near = F.collect_list(F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))).over(frame(w))
-        return {"_near": near}
-
-    got = framed(placed, keys, order, k, k, neighbours, largest=size)
-    far = F.transform(F.filter("_near", lambda n: n["p"] != F.col("_p")), lambda n: F.struct(F.abs(n["v"] - F.col(value)).alias("d"), n["p"].alias("p")))
-    got = got.withColumn("_near", F.slice(F.array_sort(far), 1, k)).withColumn("_kd", F.element_at("_near", -1)["d"])
-    got = framed(got, keys, order, k, k, lambda w: {"_kds": F.map_from_entries(F.collect_list(F.struct("_p", "_kd")).over(frame(w)))}, largest=size)
-    reach = F.aggregate("_near", F.lit(0.0), lambda a, n: a + F.greatest(n["d"], F.element_at("_kds", n["p"])))
-    got = got.withColumn("_lrd", 1 / (reach / F.size("_near") + 1e-10)).drop("_kds")
-    got = framed(got, keys, order, k, k, lambda w: {"_lrds": F.map_from_entries(F.collect_list(F.struct("_p", "_lrd")).over(frame(w)))}, largest=size)
-    dens = F.aggregate("_near", F.lit(0.0), lambda a, n: a + F.element_at("_lrds", n["p"])) / F.size("_near")
-    return got.withColumn("lof", dens / F.col("_lrd")).drop("_near", "_kd", "_lrd", "_lrds", "_p")
+    out = T.StructType([*df.schema.fields, T.StructField("lof", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        values = table[value].cast("float64")
+        factor = factors_in_order(values.to_numpy(), values.is_null().to_numpy(), k)
+        lof = pa.array(factor[0], mask=factor[1])
+        return table.append_column("lof", lof).filter(table["_own"])
+
+    return in_blocks(df, keys, [value, tie], 3 * k, 3 * k, out, run)
+
+
+def factors_in_order(v: np.ndarray, missing: np.ndarray, k: int, rows: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Outlier factors of ordered numbers, and where they are unknown; ties of distance go to the earlier place."""
+    n, steps = len(v), np.array([*range(-k, 0), *range(1, k + 1)])
+    near, gap = np.empty((n, k), np.int64), np.empty((n, k))
+    size = np.empty(n, np.int64)
+    for start in range(0, n, rows):
+        i = np.arange(start, min(start + rows, n))
+        j = i[:, None] + steps
+        there = (j >= 0) & (j < n)
+        j = np.clip(j, 0, n - 1)
+        d = np.abs(v[j] - v[i, None])
+        kind = np.where(there, np.where(missing[j] | missing[i, None], 0, np.where(np.isnan(d), 2, 1)), 3)
+        order = np.argsort(d, 1, kind="stable") if (kind == 1).all() else np.lexsort((d, kind), axis=1)
+        order = order[:, :k]
+        near[i], gap[i], size[i] = np.take_along_axis(j, order, 1), np.take_along_axis(d, order, 1), np.minimum(there.sum(1), k)
+    use = np.arange(k) < size[:, None]
+    lost = missing[near] | missing[:, None]
+    last = (np.arange(n), np.maximum(size - 1, 0))
+    kd, kd_lost = gap[last], lost[last]
+    reach = np.where(lost, kd[near], np.where(kd_lost[near], gap, np.maximum(gap, kd[near])))
+    unknown = (use & lost & kd_lost[near]).any(1) | (size == 0)
+    count = np.maximum(size, 1)
+    density = 1 / (np.where(use, reach, 0.0).sum(1) / count + 1e-10)
+    factor = np.where(use, density[near], 0.0).sum(1) / count / density
+    return factor, unknown | (use & unknown[near]).any(1)
 
 
 def ensemble(df: DataFrame, scores: dict[str, float]) -> DataFrame:

@@ -14,10 +14,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gaugeworks.session import broadcast_if_small, durable, group_rows, match, scalar_row
 
+#: Rows of a block that a task works on as arrays.
+BLOCK_ROWS = 100_000
+
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     if not keys:
@@ -147,7 +151,13 @@ def framed(
     if largest <= limit:
         return df.withColumns(build(W.partitionBy(*keys).orderBy(*_sorted(order, False))))
     size = max(limit, before + after, 1)
-    placed = position(df, keys, order, "_pos", rows=limit, largest=largest)
+    spread = haloed(position(df, keys, order, "_pos", rows=limit, largest=largest), size, before, after)
+    w = W.partitionBy(*keys, "_block").orderBy("_pos")
+    return spread.withColumns(build(w)).filter("_block = _home").drop("_home", "_block", "_pos")
+
+
+def haloed(placed: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """Rows with `_pos` in blocks of `size` places: `_home` is a row's own block, and it's copied into each `_block` that looks at it."""
     home = F.floor((F.col("_pos") - 1) / size)
     into = (F.col("_pos") - 1) % size
     blocks = F.array_compact(
@@ -157,9 +167,27 @@ def framed(
             F.when((into < after) & (home > 0), home - 1) if after else F.lit(None).cast("bigint"),
         )
     )
-    spread = placed.withColumns({"_home": home, "_block": blocks}).withColumn("_block", F.explode("_block"))
-    w = W.partitionBy(*keys, "_block").orderBy("_pos")
-    return spread.withColumns(build(w)).filter("_block = _home").drop("_home", "_block", "_pos")
+    return placed.withColumns({"_home": home, "_block": blocks}).withColumn("_block", F.explode("_block"))
+
+
+def in_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int, out: T.StructType, run: Callable[[pa.Table], pa.Table], rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """`run` on the ordered rows of each block of a key, with `before` and `after` rows around it, as Arrow tables.
+
+    For work on arrays that a window expression does row by row. `run` gets `_pos` too, and `_own`, false for copied rows; columns
+    that aren't in `out` are dropped.
+    """
+    keys = list(keys)
+    limit = min(rows, group_rows(df.sparkSession))
+    placed = position(df, keys, order, "_pos", rows=limit)
+    spread = haloed(placed, max(limit, before + after, 1), before, after).withColumn("_own", F.col("_block") == F.col("_home")).drop("_home")
+    names = out.fieldNames()
+
+    def each(table: pa.Table) -> pa.Table:
+        return run(table.sort_by("_pos")).select(names)
+
+    return spread.groupBy(*keys, "_block").applyInArrow(each, out)
 
 
 def trailing(

@@ -128,6 +128,27 @@ def test_outlier_factors(spark):
     assert 0 < flagged <= round(0.1 * len(x)) and got[len(x) - 1].anomaly
 
 
+def test_factor_on_one_axis_takes_blocks(spark):
+    """A key's rows are dealt over blocks of places, also below the group limit; missing readings stay unknown."""
+    x = np.random.default_rng(4).normal(size=700).round(2)
+    df = spark.createDataFrame([(i, "k", float(v)) for i, v in enumerate(x)] + [(900, "one", 1.0), (901, "void", None), (902, "void", None)], "id long, key string, v double")
+    real, asked = an.in_blocks, []
+    for rows in (100, 100_000):
+        an.in_blocks = lambda *a, rows=rows: asked.append(rows) or real(*a, rows=rows)
+        try:
+            got = {r.id: r.lof for r in an.local_outlier_factor(df, ["key"], "v", "id", 5).collect()}
+        finally:
+            an.in_blocks = real
+        order = np.lexsort((np.arange(700), x))
+        v = x[order]
+        near = [sorted((abs(v[j] - v[i]), j) for j in range(max(0, i - 5), min(700, i + 6)) if j != i)[:5] for i in range(700)]
+        kd = [n[-1][0] for n in near]
+        lrd = [1 / (np.mean([max(d, kd[j]) for d, j in n]) + 1e-10) for n in near]
+        want = [np.mean([lrd[j] for _, j in n]) / lrd[i] for i, n in enumerate(near)]
+        assert [got[i] for i in order.tolist()] == pytest.approx(want) and got[900] is got[901] is got[902] is None
+    assert asked == [100, 100_000]
+
+
 def test_imputation_by_neighbours(spark):
     r = np.random.default_rng(11)
     x = r.normal(size=(300, 3))
