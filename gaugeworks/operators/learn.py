@@ -19,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeworks.functions.portable import portable_hash
+from gaugeworks.functions.portable import hash_prefix, portable_hash, prefixed_hashes
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.ordered import position, quantiles
 from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, spread
@@ -220,20 +220,20 @@ def bootstrap(df: DataFrame, key: str, cols: Sequence[str], label: str, replicat
     """Coefficients of weighted least-squares refits, weights drawn from Poisson(1) per row; mean, spread, 95% interval.
 
     One scan serves all replicates: every task adds up, for each replicate, the weighted sums of products of its rows, so a
-    (replicate, sums) row per task is shuffled and each replicate's normal equations are solved on their own.
+    (replicate, sums) row per task is shuffled and each replicate's normal equations are solved on their own. The draws are
+    those of `uniform`, hashed for many rows at a time.
     """
     width = len(cols) + 2
-    draw = lambda u: reduce(lambda a, p: a + (u > p).cast("int"), _POISSON, F.lit(0))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: uniform([key], b))
     numbers = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols], F.col(label).cast("double"))
     data = df.select(key, label, *cols).dropna(subset=[label, *cols])
-    rows_in = data.select(numbers.alias("x"), F.transform(draws, draw).alias("w"))
+    rows_in = data.select(numbers.alias("x"), hash_prefix([key]).cast("binary").alias("k"))
 
     def sums(batches):
         total = np.zeros((replicates, width * width))
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates).astype(float)
+            u = (prefixed_hashes(batch.column("k").to_pylist(), range(replicates)) + 0.5) / float(1 << 40)
+            w = np.searchsorted(_POISSON, u).astype(float)
             total += w.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
         yield pa.RecordBatch.from_pydict({"replicate": pa.array(range(replicates), pa.int32()), "g": pa.array(total.tolist(), pa.list_(pa.float64()))})
 

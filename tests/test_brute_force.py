@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import portable
 from gaugeworks.functions import stats
 from gaugeworks.operators import aggregate as a
 from gaugeworks.operators import anomaly as an
@@ -212,6 +213,16 @@ def test_monte_carlo_recovers_moments(spark):
     assert r["lower"] == pytest.approx(8.04, abs=0.1) and r["upper"] == pytest.approx(11.96, abs=0.1)
 
 
+def test_prefixed_hashes_are_portable_hashes(spark):
+    """Many rows at a time, of no, short and long keys; the bootstrap hashes each row's draws with them."""
+    keys = [None, "", "a", "7-1-15519-785", "ü" * 20, "x" * 53, "y" * 54, "z" * 200]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k string")
+    salts = [0, 9, 10, 99, 12345]
+    rows = df.select("id", portable.hash_prefix(["k"]).cast("binary").alias("p"), *[portable.portable_hash(["k"], b, 10).alias(f"h{b}") for b in salts]).orderBy("id").collect()
+    got = portable.prefixed_hashes([bytes(r.p) for r in rows], salts)
+    assert got.tolist() == [[r[f"h{b}"] for b in salts] for r in rows]
+
+
 def test_kmeans_finds_two_blobs(spark):
     rng = np.random.default_rng(0)
     pts = np.vstack([rng.normal(0, 0.2, (40, 2)), rng.normal(5, 0.2, (40, 2))])
