@@ -8,16 +8,17 @@ aggregates or bounded frames can state run on the rows themselves.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators.learn import assemble
-from gaugeworks.operators.ordered import framed, largest_group, position, running
+from gaugeworks.operators.ordered import framed, in_blocks, largest_group, position, running
 from gaugeworks.operators.windows import lag_features, partial_sums, resample, rolling
 from gaugeworks.session import durable, group_rows, match
 
@@ -196,12 +197,8 @@ def unit_root(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     longest = size.agg(F.max("_n")).first()[0] or 0
     lags = max_lag if max_lag is not None else math.ceil(12 * (longest / 100) ** 0.25)
     flat = match(df, size, keys).withColumn("v", F.col("v") - F.col("_m"))
-    step = framed(flat, keys, order, 1, 0, lambda w: {"_level": F.lag("v").over(w)}).withColumn("_dy", F.col("v") - F.col("_level"))
-    step = lagged(step, keys, order, "_dy", lags, "_d")
-    at = durable(position(step, keys, order, "_p").select(*keys, "_p", "_level", "_d"))
-    row = F.concat(F.array(F.lit(1.0), "_level"), F.transform(F.reverse("_d"), lambda e: F.coalesce(e, F.lit(0.0))))  # 1, level, oldest .. newest
     width = lags + 3
-    x = at.filter("_level is not null").withColumn("x", row)
+    flat = durable(flat.select(*keys, *order, "v"))
     picks = lambda k: [0, 1, *range(width - 1 - k, width - 1)]  # k differences next to the present one, which is last
     kind = T.StructType([*[df.schema[k] for k in keys], T.StructField("lags", T.LongType())])
 
@@ -214,9 +211,9 @@ def unit_root(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
                 out.append(int(np.argmin(score)) if choose else lags)
             yield pdf[keys].assign(lags=out)
 
-    chosen = durable(grams(x.filter(F.col("_p") > lags + 1), keys, "x", width).mapInPandas(pick_lags, kind))
-    again = match(x, chosen, keys).filter(F.col("_p") > F.col("lags") + 1)
-    g = match(grams(again, keys, "x", width), chosen, keys)
+    chosen = durable(difference_grams(flat.withColumn("_from", F.lit(lags + 1)), keys, order, lags).mapInPandas(pick_lags, kind))
+    again = match(flat, chosen, keys).withColumn("_from", F.col("lags") + 1).drop("lags")
+    g = match(difference_grams(again, keys, order, lags), chosen, keys)
     full = T.StructType([*kind.fields, T.StructField("observations", T.LongType()), T.StructField("adf_statistic", T.DoubleType()), T.StructField("adf_p_value", T.DoubleType())])
 
     def test(batches):
@@ -244,8 +241,7 @@ def level_stationarity(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     longest = size.agg(F.max("_n")).first()[0] or 0
 
     def covariances(lags: int) -> DataFrame:
-        x = lagged(flat, keys, order, "v", lags, "x").withColumn("x", F.transform("x", lambda e: F.coalesce(e, F.lit(0.0))))
-        return match(grams(x, keys, "x", lags + 1, first_row=True).select(*keys, "g"), size.select(*keys, "_n"), keys)
+        return match(lag_products(flat, keys, order, lags).select(*keys, "g"), size.select(*keys, "_n"), keys)
 
     first = covariances(max(1, int(longest ** (2 / 9) + 1e-9)))
     n, third = F.col("_n"), F.pow(F.col("_n"), F.lit(1 / 3))
@@ -316,9 +312,59 @@ def grams(df: DataFrame, keys: Sequence[str], x: str, width: int, first_row: boo
             yield head.assign(n=[n for _, n, _ in found], g=[g for _, _, g in found])
 
     part = df.select(*keys, x).mapInPandas(partial, kind)
+    return added(part, keys).filter(F.size("g") == out)
+
+
+def added(part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, g): partial counts and arrays of sums of a key added up, place by place."""
     cells = part.select(*keys, "n", F.posexplode("g").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    made = cells.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("g"))
-    return made.filter(F.size("g") == out)
+    return cells.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("g"))
+
+
+def block_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, sums: Callable[[pa.Table], tuple[int, np.ndarray]]) -> DataFrame:
+    """(keys, n, g): counts and sums over the rows of a key, of which each block gives its own from the `before` rows around it."""
+    out = T.StructType([*[df.schema[k] for k in keys], T.StructField("n", T.LongType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        n, g = sums(table)
+        made = table.select(list(keys)).slice(0, 1) if keys else None
+        cells = [pa.array([n], pa.int64()), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))]
+        got = made.append_column("n", cells[0]).append_column("g", cells[1]) if keys else pa.table(cells, names=["n", "g"])
+        return got.slice(0, 1 if n else 0)
+
+    return added(in_blocks(df, keys, order, before, 0, out, run), keys)
+
+
+def lag_products(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: int) -> DataFrame:
+    """(keys, n, g): the sums over rows of `v` times its value 0 to `lags` rows before; no array of lags a row is made."""
+
+    def sums(table: pa.Table) -> tuple[int, np.ndarray]:
+        v, own = table["v"].to_numpy(), table["_own"].to_numpy()
+        at = int(np.argmax(own)) if own.any() else len(own)
+        short = [(v[max(at, i):], v[max(at - i, 0): max(len(v) - i, 0)]) for i in range(lags + 1)]
+        return int(own.sum()), np.array([float(a @ b) if len(a) else 0.0 for a, b in short])
+
+    return block_sums(df, keys, order, lags, sums)
+
+
+def difference_grams(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: int, chunk: int = 4_000) -> DataFrame:
+    """(keys, n, g): the sum of x x' over the rows from the second on that come after the first `_from` ones of a key, where x holds 1, the
+    value before, the `lags` differences before (0 before the start), oldest first, and the row's own difference."""
+    width = lags + 3
+
+    def sums(table: pa.Table) -> tuple[int, np.ndarray]:
+        v, place = table["v"].to_numpy(), table["_pos"].to_numpy()
+        step = np.diff(v, prepend=v[:1])
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(lags), step]), lags + 1)
+        use = np.flatnonzero(table["_own"].to_numpy() & (place > table["_from"].to_numpy()) & (place > 1))
+        g = np.zeros((width, width))
+        for start in range(0, len(use), chunk):
+            at = use[start : start + chunk]
+            x = np.column_stack([np.ones(len(at)), v[at - 1], windows[at]])
+            g += x.T @ x
+        return len(use), g
+
+    return block_sums(df, keys, order, lags + 1, sums)
 
 
 def solved(g: np.ndarray, n: int, use: list[int], y: int) -> tuple[np.ndarray, float, np.ndarray]:

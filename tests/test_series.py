@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.operators import series as s
 
@@ -134,6 +135,17 @@ def test_unit_root_and_level(spark, small_groups):
     assert got["noise"].stationary and not got["walk"].stationary and got["walk"].adf_p_value > 0.05
 
 
+def test_lag_sums_make_no_arrays_a_row(spark, small_groups, monkeypatch):
+    """Products at many lags are added up per block of plain numbers, across the cuts of blocks."""
+    monkeypatch.setattr(s, "lagged", None)
+    y = np.cumsum(np.random.default_rng(8).normal(size=150))
+    df = table(spark, {"walk": y})
+    r = y - y.mean()
+    got = s.lag_products(df.withColumn("v", F.col("v") - float(y.mean())), ["k"], ["t"], 60).first()
+    assert got.n == 150 and got.g == pytest.approx([(r[i:] * r[: len(r) - i]).sum() for i in range(61)])
+    assert s.stationarity_tests(df, ["k"], ["t"], "v").count() == 1
+
+
 def test_p_values_at_published_points():
     for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
         assert s.unit_root_p(t) == pytest.approx(p, abs=0.002)
