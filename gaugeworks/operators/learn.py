@@ -321,11 +321,13 @@ def normal(keys: Sequence[str], salt: int) -> Column:
 def monte_carlo(rows_in: DataFrame, key: str, percent: dict[str, float], scorer: Callable[[dict[str, Column]], Column], thresholds: Sequence[float] = (1, 5, 10), draws: int = 10) -> DataFrame:
     """Spread of a score when the parameters of every row vary normally around the row's own values.
 
-    Each row gives `draws` draws; a draw is a hash of the row's key and its number, so it needs no order and no seed.
+    Each row gives `draws` draws; a draw is a hash of the row's key and its number, so it needs no order and no seed. Rows are
+    dealt over all tasks first, as a few bytes of input make many draws, and scores are written once.
     """
-    drawn = rows_in.select(key, *percent, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    dealt = rows_in.select(key, *percent).repartition(4 * rows_in.sparkSession.sparkContext.defaultParallelism, key)
+    drawn = dealt.select(key, *percent, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
     moved = {p: F.greatest(F.col(p) * 0.1, F.col(p) + F.col(p) * share * normal([key, "_draw"], i)) for i, (p, share) in enumerate(percent.items())}
-    scored = drawn.select(key, scorer(moved).alias("q"))
+    scored = durable(drawn.select(scorer(moved).alias("q")))
     ci = scalar_row(quantiles(scored, [], ["q"], [0.025, 0.975]))["q_q"]
     out = scored.agg(rows().alias("draws"), F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"), *[F.avg((F.col("q") >= v).cast("double")).alias(f"p_{v}") for v in thresholds])
     return out.withColumns({"cv": F.try_divide("std", "mean"), "lower": ci[0], "upper": ci[1]})

@@ -234,7 +234,8 @@ def quantiles(
     """Exact quantiles with linear interpolation: per key an array `q_<col>` in the order of `probs`.
 
     The built-in keeps all distinct values of a group in one task, so it serves only groups below the
-    limit; above, ranks come from running counts over the table of distinct values.
+    limit; above, ranks come from running counts over the table of distinct values, which is written once, as several
+    passes read it.
     """
     keys = list(keys)
     limit = rows or group_rows(df.sparkSession)
@@ -242,7 +243,7 @@ def quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias(f"q_{c}") for c in cols]
         )
-    freq = frequencies(df, keys, cols)
+    freq = durable(frequencies(df, keys, cols))
     by = [*keys, "_col"]
     cum = running(freq, by, ["_val"], {"_cum": ("sum", F.col("_n"))}, rows=limit)
     total = freq.groupBy(*by).agg(F.sum("_n").alias("_tot"))

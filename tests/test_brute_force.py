@@ -223,6 +223,17 @@ def test_prefixed_hashes_are_portable_hashes(spark):
     assert got.tolist() == [[r[f"h{b}"] for b in salts] for r in rows]
 
 
+def test_monte_carlo_deals_rows_of_one_file(spark):
+    """Input of one partition is spread before it is multiplied, and scored once."""
+    seen, real = [], m.durable
+    m.durable = lambda df: seen.append(df.rdd.getNumPartitions()) or real(df)
+    try:
+        r = m.monte_carlo(spark.range(0, 500, 1, 1).select(F.col("id").alias("k"), F.lit(10.0).alias("p")), "k", {"p": 0.1}, lambda c: c["p"], (5,)).first()
+    finally:
+        m.durable = real
+    assert r["draws"] == 5000 and seen[0] >= spark.sparkContext.defaultParallelism
+
+
 def test_kmeans_finds_two_blobs(spark):
     rng = np.random.default_rng(0)
     pts = np.vstack([rng.normal(0, 0.2, (40, 2)), rng.normal(5, 0.2, (40, 2))])
