@@ -193,7 +193,7 @@ def cross_validation(df: DataFrame, key: str, cols: Sequence[str], label: str, k
     for f in range(folds):
         m = fit(data.filter(F.col("fold") != f), cols, label, kind, **options)
         made.append(m.transform(data.filter(F.col("fold") == f)).select("fold", F.col(label).alias("y"), "prediction"))
-    return regression_metrics(reduce(DataFrame.unionByName, made), "y", "prediction", ["fold"])
+    return regression_metrics(durable(reduce(DataFrame.unionByName, made)), "y", "prediction", ["fold"])
 
 
 def learning_curve(df: DataFrame, key: str, cols: Sequence[str], label: str, kind: str = "linear", sizes: int = 10) -> DataFrame:
@@ -204,7 +204,7 @@ def learning_curve(df: DataFrame, key: str, cols: Sequence[str], label: str, kin
     for i in range(1, sizes + 1):
         part = train.filter(F.col("_u") < i / sizes)
         made.append(fit(part, cols, label, kind).transform(test).select(F.lit(i / sizes).alias("share"), F.col(label).alias("y"), "prediction"))
-    return regression_metrics(reduce(DataFrame.unionByName, made), "y", "prediction", ["share"])
+    return regression_metrics(durable(reduce(DataFrame.unionByName, made)), "y", "prediction", ["share"])
 
 
 # Poisson(1) distribution function at 0, 1, 2, ...

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import aggregate, filters, reports
+from gaugeworks.operators import learn
 from gaugeworks.operators import ordered as o
 from gaugeworks.operators import windows as w
 
@@ -59,6 +60,30 @@ def test_quantiles_match_numpy(df, data, rows):
         assert np.allclose(got[k], np.quantile(g["v"], [0, 0.25, 0.5, 0.9, 1]))
 
 
+def test_split_quantiles_compute_their_input_twice(spark):
+    """Once to measure the groups and once for the distinct values, however many passes the ranks take."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.range(500).select(F.lit("k").alias("key"), F.col("id").cast("double").alias("v")).mapInPandas(count, "key string, v double")
+    assert o.quantiles(df, ["key"], ["v"], [0.5], 50).first()["q_v"] == [249.5]
+    assert seen.value <= 1000
+
+
+def test_predictions_are_scored_once(spark, monkeypatch):
+    """The metrics of folds and shares read written predictions, not the models again."""
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2.0 + F.hash("id") % 3).alias("y"))
+    asked = []
+    monkeypatch.setattr(learn, "regression_metrics", lambda d, *a: asked.append(d._jdf.queryExecution().optimizedPlan().toString()) or d)
+    learn.cross_validation(df, "id", ["a"], "y", folds=2)
+    learn.learning_curve(df, "id", ["a"], "y", sizes=2)
+    assert len(asked) == 2 and not any("Union" in p or "UDF" in p for p in asked)
+
+
 def test_modes_ranks_and_nearest_rank(spark):
     pdf = pd.DataFrame({"id": range(60), "x": [float(i * i % 11) for i in range(60)]})
     df = spark.createDataFrame(pdf)
