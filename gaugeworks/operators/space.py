@@ -9,19 +9,23 @@ decide, so no pair of far points ever meets. Values may be null where `nearest`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gaugeworks.operators.ordered import framed
+from gaugeworks.operators.ordered import in_blocks
 from gaugeworks.session import durable, scalar_row
 
 #: Most points of a leaf, and levels of the curve: 2 ** LEVELS cells along each axis of the widest range.
 LEAF = 64
 LEVELS = 32
+#: Most points of a leaf for nearest neighbours: far more than k, so that those found in a leaf bound the search closely.
+WIDE_LEAF = 512
 
 
 def scaled(df: DataFrame, cols: Sequence[str], name: str = "vec") -> DataFrame:
@@ -56,35 +60,46 @@ def digit_width(d: int) -> int:
 def with_leaves(points: DataFrame, d: int, head: int = 0, most: int = LEAF) -> DataFrame:
     """Add `leaf`, the shortest prefix of `z` shared by at most `most` points.
 
-    A prefix holds more than `most` points exactly if it is shared by two points that are `most` places apart, so two
-    bounded frames over the order of the curve tell every point its leaf, and all points of a leaf agree on it.
+    A prefix holds more than `most` points exactly if it is shared by two points that are `most` places apart, so the
+    places around a point in the order of the curve tell its leaf, and all points of a leaf agree on it.
     """
     wide = digit_width(d)
+    out = T.StructType([*points.schema.fields, T.StructField("leaf", T.StringType())])
 
-    # Equal digits at the front, -1 if even the head differs.
-    prefix = f"substring(z, 1, {head} + k * {wide}) = substring(_far, 1, {head} + k * {wide})"
-    shared = F.expr(f"aggregate(sequence(0, {LEVELS}), -1, (s, k) -> if(s = k - 1 and {prefix}, k, s))")
-    ahead = framed(points, [], ["z", "id"], 0, most, lambda w: {"_far": F.lead("z", most).over(w)})
-    ahead = ahead.withColumn("_shared", shared).drop("_far")
-    back = framed(ahead, [], ["z", "id"], most, 0, lambda w: {"_deep": F.max("_shared").over(w.rowsBetween(-most, 0))})
-    return back.withColumn("leaf", F.expr(f"substring(z, 1, {head} + least(_deep + 1, {LEVELS}) * {wide})")).drop("_shared", "_deep")
+    def run(table: pa.Table) -> pa.Table:
+        z = table["z"].to_pylist()
+        digits = np.array(z, dtype="S").view(np.uint8).reshape(len(z), -1)
+        # Equal digits at the front of the points `most` places apart, -1 if even the head differs or there is none.
+        shared = np.full(len(z), -1)
+        differ = digits[:-most] != digits[most:]
+        if len(differ):
+            first = np.where(differ.any(1), differ.argmax(1), digits.shape[1])
+            shared[:-most] = np.where(first >= head, (first - head) // wide, -1)
+        deep = pd.Series(shared).rolling(most + 1, min_periods=1).max().to_numpy().astype(int)
+        ends = head + np.minimum(deep + 1, LEVELS) * wide
+        return table.append_column("leaf", pa.array([v[:e] for v, e in zip(z, ends.tolist())])).filter(table["_own"])
+
+    return in_blocks(points, [], ["z", "id"], most, most, out, run)
 
 
 def box(d: int, lo: str, hi: str) -> list[Column]:
     return [F.array(*[F.min(at(lo, j)) for j in range(d)]).alias("lo"), F.array(*[F.max(at(hi, j)) for j in range(d)]).alias("hi")]
 
 
-def tree(points: DataFrame, d: int, sums: dict[str, Column], head: int = 0) -> DataFrame:
+def tree(points: DataFrame, d: int, sums: dict[str, Column], head: int = 0, tops: DataFrame | None = None) -> DataFrame:
     """(node, depth, leaf, lo, hi, id, rep, sums): every cell with its box, and its point of smallest id. `points` need
     `leaf`, `vec` and `id`. A leaf's box and sums are taken first; each leaf then counts into its ancestors, so rows grow
-    with the leaves.
+    with the leaves. `tops` (leaf, numbers) adds the largest of each over a cell's leaves, null being beyond all.
     """
     wide = digit_width(d)
     first = [F.min_by("vec", "id").alias("rep"), F.min("id").alias("id")]
     leaves = points.groupBy("leaf").agg(*box(d, "vec", "vec"), *first, *[F.sum(c).alias(n) for n, c in sums.items()])
+    above = [c for c in tops.columns if c != "leaf"] if tops is not None else []
+    if above:
+        leaves = leaves.join(tops, "leaf", "left").fillna(math.inf, above)
     depth = ((F.length("leaf") - head) / wide).cast("int")
     up = leaves.withColumn("depth", F.explode(F.sequence(F.lit(0), depth))).withColumn("node", F.expr(f"substring(leaf, 1, {head} + depth * {wide})"))
-    return up.groupBy("node", "depth").agg(*box(d, "lo", "hi"), F.min_by("rep", "id").alias("rep"), F.min("id").alias("id"), *[F.sum(n).alias(n) for n in sums], F.bool_or(F.col("leaf") == F.col("node")).alias("leaf"))
+    return up.groupBy("node", "depth").agg(*box(d, "lo", "hi"), F.min_by("rep", "id").alias("rep"), F.min("id").alias("id"), *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in above], F.bool_or(F.col("leaf") == F.col("node")).alias("leaf"))
 
 
 def gap(d: int, far: bool, metric: str = "euclidean", partial: bool = False) -> Column:
@@ -125,14 +140,15 @@ def frontier(nodes: DataFrame, depth: int, before: int, d: int, head: int = 0) -
     return own.withColumn("up", F.expr(f"substring(node, 1, {head} + least(depth, {before}) * {digit_width(d)})"))
 
 
-def nearest(points: DataFrame, d: int, k: int, asks: Column | None = None, gives: Column | None = None, metric: str = "euclidean", partial: bool = False, most: int = LEAF) -> DataFrame:
+def nearest(points: DataFrame, d: int, k: int, asks: Column | None = None, gives: Column | None = None, metric: str = "euclidean", partial: bool = False, most: int = WIDE_LEAF) -> DataFrame:
     """The k nearest of every asking point among the giving ones, without itself: (id, near), near an array of (distance, id,
     weight), nearest first, ties to the smaller id; the weights add up to k, or to all there are.
 
     points: distinct `id` (long), `vec` (array of d doubles) and `w`, how many copies the point stands for; a point's own other
     copies are neighbours at distance 0. partial compares the features known on both sides only (nan-Euclidean
-    distance); points that share none are no neighbours. Each cell carries a bound: the smallest distance within which the
-    cells around it hold k weights for sure. It falls from level to level, and cells beyond it are dropped.
+    distance); points that share none are no neighbours. Each cell carries two bounds: the largest distance at which its points
+    have k weights in their own leaves, and the smallest one within which the cells around it hold k weights for sure, which
+    falls from level to level. Cells beyond either are dropped.
     """
     asks, gives = F.lit(True) if asks is None else asks, F.lit(True) if gives is None else gives
     head, parts = 0, []
@@ -142,8 +158,8 @@ def nearest(points: DataFrame, d: int, k: int, asks: Column | None = None, gives
     points = durable(points)
     points = points.withColumns({"_asks": asks.cast("int"), "_gives": F.when(gives, F.col("w")).otherwise(0)})
     points = durable(with_leaves(along_curve(points, d, parts=parts), d, head, most).select("id", "vec", "w", "leaf", "_asks", "_gives"))
-    nodes = durable(tree(points, d, {"asks": F.col("_asks"), "gives": F.col("_gives")}, head))
-    side = lambda f, s: f.select(F.col("up").alias(f"{s}up"), F.col("node").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"), F.col("gives").alias(f"{s}gives"))
+    nodes = durable(tree(points, d, {"asks": F.col("_asks"), "gives": F.col("_gives")}, head, own_reach(points, d, k, metric, partial)))
+    side = lambda f, s: f.select(F.col("up").alias(f"{s}up"), F.col("node").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"), F.col("gives").alias(f"{s}gives"), F.col("reach").alias(f"{s}reach"))
     pairs = None
     depths = schedule(nodes)
     for before, depth in zip([0, *depths], depths):
@@ -153,7 +169,7 @@ def nearest(points: DataFrame, d: int, k: int, asks: Column | None = None, gives
             pairs = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one")
         else:
             pairs = pairs.select(F.col("a").alias("aup"), F.col("b").alias("bup")).join(a, "aup").join(b, "bup")
-        pairs = pairs.select("a", "b", gap(d, False, metric, partial).alias("near"), gap(d, True, metric, partial).alias("far"), "bgives").filter("near is not null")
+        pairs = pairs.select("a", "b", gap(d, False, metric, partial).alias("near"), gap(d, True, metric, partial).alias("far"), "bgives", "areach").filter("near <= areach")
         sure = F.sum("bgives").over(W.partitionBy("a").orderBy("far", "b").rowsBetween(W.unboundedPreceding, W.currentRow))
         # The point itself is among the weights, hence one more than k.
         bound = F.min(F.when(F.col("_sure") > k, F.col("far"))).over(W.partitionBy("a"))
@@ -164,13 +180,41 @@ def nearest(points: DataFrame, d: int, k: int, asks: Column | None = None, gives
     return compare(points, pairs, d, k, metric, partial)
 
 
+def packed(points: DataFrame, *more: str) -> DataFrame:
+    """(leaf, ids, ws, xs, more): the points of each leaf as arrays, the vectors one after the other."""
+    return points.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("id", "w", "vec", *more))).alias("l")).select(
+        "leaf", F.col("l.id").alias("ids"), F.col("l.w").alias("ws"), F.flatten(F.transform(F.col("l"), lambda x: x["vec"])).alias("xs"), *[F.col(f"l.{c}").alias(c) for c in more])
+
+
+def numbers(cell: pa.ListScalar) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
+def own_reach(points: DataFrame, d: int, k: int, metric: str, partial: bool) -> DataFrame:
+    """(leaf, reach): the largest distance at which an asking point has k weights among its own leaf's, infinite if one has not;
+    squared for the Euclidean one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, ws, xs, asks, gives in zip(*(batch.column(c) for c in ("ids", "ws", "xs", "_asks", "_gives"))):
+                ids, ws, x = numbers(ids), numbers(ws), np.asarray(numbers(xs), float).reshape(-1, d)
+                a, g = numbers(asks) > 0, numbers(gives) > 0
+                best = Best(ids[a], ws[a], x[a], k, metric, partial)
+                if a.any() and g.any():
+                    best.meet(0.0, ids[g], ws[g], x[g])
+                # A little more, as cells must not be lost to rounding.
+                out.append(float(best.reach.max(initial=0.0)) * (1 + 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), pa.array(out, pa.float64())], names=["leaf", "reach"])
+
+    return packed(points, "_asks", "_gives").mapInArrow(run, "leaf string, reach double")
+
+
 def compare(points: DataFrame, pairs: DataFrame, d: int, k: int, metric: str, partial: bool) -> DataFrame:
     """The k nearest from pairs of leaves: each asking leaf's points, then the leaves around it, nearest first, stream through
     one task, which keeps k candidates a point and skips leaves beyond all of them."""
-    flat = F.flatten(F.transform(F.col("l"), lambda x: x["vec"]))
-    pack = lambda cond: points.filter(cond).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("id", "w", "vec"))).alias("l")).select("leaf", F.col("l.id").alias("ids"), F.col("l.w").alias("ws"), flat.alias("xs"))
-    asking = pack("_asks > 0").select(F.col("leaf").alias("a"), F.lit(-1.0).alias("near"), "ids", "ws", "xs")
-    giving = pairs.join(pack("_gives > 0"), F.col("b") == F.col("leaf")).select("a", "near", "ids", "ws", "xs")
+    asking = packed(points.filter("_asks > 0")).select(F.col("leaf").alias("a"), F.lit(-1.0).alias("near"), "ids", "ws", "xs")
+    giving = pairs.join(packed(points.filter("_gives > 0")), F.col("b") == F.col("leaf")).select("a", "near", "ids", "ws", "xs")
     rows = asking.unionByName(giving).repartition("a").sortWithinPartitions("a", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +223,7 @@ def compare(points: DataFrame, pairs: DataFrame, d: int, k: int, metric: str, pa
             names, near = batch.column("a").to_pylist(), batch.column("near").to_numpy()
             ids, ws, xs = (batch.column(c) for c in ("ids", "ws", "xs"))
             for i, name in enumerate(names):
-                x = np.asarray(xs[i].values.to_numpy(zero_copy_only=False), float).reshape(-1, d)
-                each = ids[i].values.to_numpy(zero_copy_only=False), ws[i].values.to_numpy(zero_copy_only=False), x
+                each = numbers(ids[i]), numbers(ws[i]), np.asarray(numbers(xs[i]), float).reshape(-1, d)
                 if near[i] < 0:
                     if best:
                         yield best.rows()
@@ -194,37 +237,60 @@ def compare(points: DataFrame, pairs: DataFrame, d: int, k: int, metric: str, pa
 
 
 class Best:
-    """The points of one asking leaf with their nearest so far: arrays of k + 1 distances, ids and weights a point."""
+    """The points of one asking leaf with their nearest so far: arrays of k distances, ids and weights a point."""
 
     def __init__(self, ids, ws, x, k: int, metric: str, partial: bool):
         self.ids, self.ws, self.x, self.k, self.metric, self.partial = ids, ws, x, k, metric, partial
         self.d = np.full((len(ids), k), np.inf)
         self.n = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.w = np.zeros((len(ids), k), np.int64)
+        #: The distance at which a point's weights reach k.
+        self.reach = np.full(len(ids), np.inf)
+
+    def total(self, gaps: list[np.ndarray]) -> np.ndarray:
+        """Distances from the gaps per dimension, NaN being unknown."""
+        if self.metric == "chebyshev":
+            return reduce(np.maximum, gaps)
+        if not self.partial:
+            return reduce(np.add, [g * g for g in gaps])
+        known = [~np.isnan(g) for g in gaps]
+        shared = reduce(np.add, [q.astype(int) for q in known])
+        return np.where(shared > 0, reduce(np.add, [np.where(q, g, 0.0) ** 2 for q, g in zip(known, gaps)]) * len(gaps) / np.maximum(shared, 1), np.inf)
 
     def meet(self, near: float, ids, ws, x) -> None:
-        reach = self.d[np.arange(len(self.d)), self.full()] if len(self.d) else np.zeros(0)
-        open_ = np.flatnonzero(reach >= near)
+        open_ = np.flatnonzero(self.reach >= near)
         if not len(open_):
             return
-        gaps = np.abs(self.x[open_, None, :] - x[None, :, :])
-        if self.metric == "chebyshev":
-            dist = gaps.max(2)
-        elif self.partial:
-            known = ~np.isnan(gaps)
-            shared = known.sum(2)
-            dist = np.where(shared > 0, np.where(known, gaps, 0.0).__pow__(2).sum(2) * gaps.shape[2] / np.maximum(shared, 1), np.inf)
-        else:
-            dist = (gaps**2).sum(2)
+        # A point's distance to the box of the others is a bound for all of them.
+        at, dims = self.x[open_], range(x.shape[1])
+        low, high = x.min(0), x.max(0)
+        open_ = open_[self.total([np.maximum(np.maximum(low[j] - at[:, j], at[:, j] - high[j]), 0.0) for j in dims]) <= self.reach[open_]]
+        if not len(open_):
+            return
+        at = self.x[open_]
+        dist = self.total([np.abs(at[:, j, None] - x[None, :, j]) for j in dims])
         weight = np.broadcast_to(ws, dist.shape) - (ids[None, :] == self.ids[open_, None])
         dist = np.where(weight > 0, dist, np.inf)
-        all_d, all_n, all_w = np.hstack([self.d[open_], dist]), np.hstack([self.n[open_], np.broadcast_to(ids, dist.shape)]), np.hstack([self.w[open_], weight])
+        # Only those that may be among the k nearest are put in order.
+        edge = self.reach[open_]
+        if dist.shape[1] > self.k:
+            edge = np.minimum(edge, np.partition(dist, self.k - 1, 1)[:, self.k - 1])
+        close = (dist <= edge[:, None]) & np.isfinite(dist)
+        some = close.any(1)
+        if not some.any():
+            return
+        open_, dist, weight, close = open_[some], dist[some], weight[some], close[some]
+        most = int(close.sum(1).max())
+        pick = np.argpartition(dist, most - 1, 1)[:, :most] if most < dist.shape[1] else np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
+        dist, weight = np.take_along_axis(dist, pick, 1), np.take_along_axis(weight, pick, 1)
+        all_d, all_n, all_w = np.hstack([self.d[open_], dist]), np.hstack([self.n[open_], ids[pick]]), np.hstack([self.w[open_], weight])
         order = np.lexsort((all_n, all_d), axis=1)[:, : self.k]
         self.d[open_], self.n[open_], self.w[open_] = (np.take_along_axis(v, order, 1) for v in (all_d, all_n, all_w))
+        self.reach[open_] = self.d[open_, self.full(open_)]
 
-    def full(self) -> np.ndarray:
+    def full(self, at: np.ndarray) -> np.ndarray:
         """Where the weights of the nearest reach k; the last place if they don't."""
-        enough = np.cumsum(np.where(np.isfinite(self.d), self.w, 0), 1) >= self.k
+        enough = np.cumsum(np.where(np.isfinite(self.d[at]), self.w[at], 0), 1) >= self.k
         return np.where(enough.any(1), enough.argmax(1), self.k - 1)
 
     def rows(self) -> pa.RecordBatch:

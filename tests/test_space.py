@@ -128,6 +128,18 @@ def test_outlier_factors(spark):
     assert 0 < flagged <= round(0.1 * len(x)) and got[len(x) - 1].anomaly
 
 
+def test_few_leaves_meet(spark, monkeypatch):
+    """What a leaf finds among its own points bounds its search: 20,000 points in three dimensions meet in a few thousand pairs of leaves."""
+    x = np.random.default_rng(6).random((20_000, 3))
+    real, rows = space.durable, []
+    monkeypatch.setattr(space, "durable", lambda df: (out := real(df), rows.append(out.count()) if "bound" in out.columns else None)[0])
+    points = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "id long, vec array<double>, w long")
+    got = {r.id: [n.id for n in r.near] for r in space.nearest(points, 3, 20).filter("id % 1000 = 0").collect()}
+    for i in range(0, 20_000, 1000):
+        assert got[i] == np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:21].tolist()
+    assert max(rows) < 5_000
+
+
 def test_factor_on_one_axis_takes_blocks(spark):
     """A key's rows are dealt over blocks of places, also below the group limit; missing readings stay unknown."""
     x = np.random.default_rng(4).normal(size=700).round(2)
