@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.functions.portable import hash_prefix, portable_hash, prefixed_hashes
 from gaugeworks.operators.aggregate import rows
+from gaugeworks.operators import trees as grown
 from gaugeworks.operators.ordered import position, quantiles
 from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, spread
 
@@ -92,7 +93,13 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def fit(df: DataFrame, cols: Sequence[str], label: str, kind: str = "linear", **options) -> Model:
+def fit(df: DataFrame, cols: Sequence[str], label: str, kind: str = "linear", **options) -> Model | grown.CellModel:
+    """A fitted model of the family. Trees are fitted on cells of binned features unless these are too many."""
+    many = {"trees": 100} | options
+    if kind == "random_forest" and (got := grown.forests(df, cols, label, **many)):
+        return got[0].model()
+    if kind == "gradient_boosting" and (got := grown.boosted(df, cols, label, **many)):
+        return got
     est = regressors("features", label, **options)[kind]
     return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip"), est]).fit(df)
 
@@ -159,21 +166,35 @@ def weighted_vote(df: DataFrame, predictions: dict[str, float]) -> Column:
 def stacking(df: DataFrame, key: str, cols: Sequence[str], label: str, kinds: Sequence[str] = ("linear", "random_forest"), folds: int = 3, **options) -> DataFrame:
     """Ridge regression on predictions made for each fold by models that have not seen it."""
     data = spread(hashed_folds(df, [key], folds), key)
+    forests = grown.forests(data, cols, label, **({"trees": 100} | options), fold="fold", folds=folds) if "random_forest" in kinds else None
     made = []
     for f in range(folds):
         train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
         part = test
         for kind in kinds:
-            part = fit(train, cols, label, kind, **options).transform(part).withColumnRenamed("prediction", f"p_{kind}").drop("features")
+            model = forests[f].model() if kind == "random_forest" and forests else fit(train, cols, label, kind, **options)
+            part = model.transform(part).withColumnRenamed("prediction", f"p_{kind}").drop("features")
         made.append(part)
     oof = durable(reduce(DataFrame.unionByName, made))
     meta = fit(oof, [f"p_{k}" for k in kinds], label, "ridge")
     return meta.transform(oof).drop("features")
 
 
-def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label: str, grid: dict[str, Sequence], folds: int = 5, metric: str = "r2", seed: int = 42, draws: int | None = None) -> tuple[Model, list[tuple[dict, float]]]:
-    """Grid search over a forest, or `draws` seeded grid points for a random search; folds are hashes of the key."""
-    data = spread(hashed_folds(assemble(df, cols), [key], folds, seed), key)
+def _errors(metric: str, y: Column, p: Column) -> Column:
+    """The metrics of `RegressionEvaluator` as aggregates."""
+    e = y - p
+    return {
+        "r2": 1 - F.try_divide(F.sum(e * e), F.regr_syy(y, y)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "mae": F.avg(F.abs(e)),
+        "var": F.avg(p * p) - 2 * F.avg(y) * F.avg(p) + F.avg(y) * F.avg(y),
+    }[metric]
+
+
+def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label: str, grid: dict[str, Sequence], folds: int = 5, metric: str = "r2", seed: int = 42, draws: int | None = None) -> tuple[Model | grown.CellModel, list[tuple[dict, float]]]:
+    """Grid search over a forest, or `draws` seeded grid points for a random search; folds are hashes of the key.
+
+    Numbers of trees and depths share one scan: the largest forest is grown for every fold left out, and a point of the grid is its
+    first trees, cut off at its depth. Other parameters are searched by MLlib's cross-validator.
+    """
     est = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed)
     b = ParamGridBuilder()
     for name, values in grid.items():
@@ -181,9 +202,25 @@ def cross_validated_search(df: DataFrame, key: str, cols: Sequence[str], label:
     maps = b.build()
     if draws is not None and draws < len(maps):
         maps = random.Random(seed).sample(maps, draws)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName=metric), numFolds=folds, foldCol="fold", seed=seed, parallelism=4)
-    m = cv.fit(data)
-    return m, [({p.name: v for p, v in pm.items()}, float(s)) for pm, s in zip(maps, m.avgMetrics)]
+    points = [{p.name: v for p, v in pm.items()} for pm in maps]
+    data = spread(hashed_folds(df.dropna(subset=list(cols)), [key], folds, seed), key)
+    judge = RegressionEvaluator(labelCol=label, metricName=metric)
+    most = {"trees": max(p.get("numTrees", 20) for p in points), "depth": max(p.get("maxDepth", 5) for p in points)}
+    forests = grown.forests(data, cols, label, **most, seed=seed, fold="fold", folds=folds) if {"numTrees", "maxDepth"} >= set(grid) else None
+    if forests is None:
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", seed=seed, parallelism=4)
+        m = cv.fit(assemble(data, cols))
+        return m, list(zip(points, map(float, m.avgMetrics)))
+    made = []
+    for f in range(folds):
+        part = data.filter(F.col("fold") == f).select("fold", F.col(label).alias("_y"), *cols)
+        for i, p in enumerate(points):
+            part = forests[f].model(p.get("numTrees", 20), p.get("maxDepth", 5)).transform(part).withColumnRenamed("prediction", f"_p{i}")
+        made.append(part.agg(*[_errors(metric, F.col("_y"), F.col(f"_p{i}")).alias(f"s{i}") for i in range(len(points))]))
+    each = reduce(DataFrame.unionByName, made).collect()
+    scores = [float(np.mean([r[i] for r in each])) for i in range(len(points))]
+    best = points[int(np.argmax(scores) if judge.isLargerBetter() else np.argmin(scores))]
+    return forests[-1].model(best.get("numTrees", 20), best.get("maxDepth", 5)), list(zip(points, scores))
 
 
 def cross_validation(df: DataFrame, key: str, cols: Sequence[str], label: str, kind: str = "linear", folds: int = 5, **options) -> DataFrame:

@@ -15,6 +15,7 @@ from gaugeworks.operators import space
 from gaugeworks.operators.aggregate import fences, numeric_columns, rows
 from gaugeworks.operators.ordered import modes, quantiles, running
 from gaugeworks.operators.project import FEATURES, engineer
+from gaugeworks.operators.trees import forests
 from gaugeworks.functions.portable import portable_hash
 from gaugeworks.session import durable, match, scalar_row
 
@@ -317,6 +318,10 @@ def _digamma_whole(k: int) -> float:
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 20, depth: int = 5, seed: int = 42) -> dict[str, float]:
+    if df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in cols])).limit(1).count():
+        raise ValueError(f"a forest needs a value in every one of {list(cols)}")
+    if got := forests(df, cols, target, trees, depth, seed):
+        return dict(zip(cols, (float(v) for v in got[0].model().featureImportances.toArray())))
     data = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
     m = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     return dict(zip(cols, (float(v) for v in m.featureImportances.toArray())))
