@@ -298,23 +298,42 @@ def turns(cols: Sequence[str], repeats: int) -> list[tuple[str, int, float]]:
     return [(c, r, int(hashlib.md5(f"{c}|{r}".encode()).hexdigest()[:10], 16) / (1 << 40)) for c in cols for r in range(repeats)]
 
 
-def permutation_importance(df: DataFrame, key: str, cols: Sequence[str], label: str, model: Model, repeats: int = 10) -> DataFrame:
+# Rows of a block of `permutation_importance`.
+BLOCK = 2048
+
+
+def permutation_importance(df: DataFrame, key: str, cols: Sequence[str], label: str, model: Model, repeats: int = 10, block: int = BLOCK) -> DataFrame:
     """Rise of the squared error when one column is dealt out again.
 
     Rows are put in hashed order once; each repeat turns a feature's values by some places along it, so a row's partner is
-    found by its place. All features and repeats are one join, one scoring and one aggregate.
+    found by its place. Rows are packed in blocks of places, and a turn sends slices of the one column it deals out to the
+    blocks of the partners: for a row, one number a turn, not a row. All turns are one join, one scoring and one aggregate.
     """
-    placed = position(df.select(key, *cols, label).withColumn("_h", portable_hash([key])), [], ["_h", key], "_p").drop("_h")
-    placed = durable(placed.withColumn("_p", F.col("_p") - 1))
+    placed = position(df.select(key, *cols, label).withColumn("_h", portable_hash([key])), [], ["_h", key], "_p")
+    placed = durable(placed.select((F.col("_p") - 1).alias("_p"), *cols, label))
     n = scalar_row(placed.agg(rows().alias("n")))["n"]
     error = F.pow(F.col("prediction") - F.col(label), 2)
     base = scalar_row(model.transform(placed).agg(F.avg(error).alias("mse")))["mse"]
-    plan = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r"), F.lit(u).alias("u")) for c, r, u in turns(cols, repeats)])).alias("_t")
-    asked = placed.select("*", plan).withColumn("_q", (F.col("_p") + 1 + F.floor(F.col("_t.u") * (n - 1))) % n)
-    partner = placed.select(F.col("_p").alias("_q"), F.struct(*[F.col(c) for c in cols]).alias("_v"))
-    mixed = asked.join(partner, "_q").withColumns({c: F.when(F.col("_t.c") == c, F.col(f"_v.{c}")).otherwise(F.col(c)) for c in cols})
-    rise = model.transform(mixed.select(F.col("_t.c").alias("feature"), F.col("_t.r").alias("_r"), label, *cols)).groupBy("feature", "_r").agg((F.avg(error) - base).alias("rise"))
-    return rise.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+    names = [f"_{i}" for i in range(len(cols))]
+    held = F.array_sort(F.collect_list(F.struct("_p", *[F.col(c).alias(a) for c, a in zip([*cols, label], [*names, "_y"])])))
+    blocks = placed.withColumn("_b", F.expr(f"_p div {block}")).groupBy("_b").agg(held.alias("_h"), rows().alias("_n"))
+    blocks = blocks.select("_b", "_n", *[F.col(f"_h.{a}").alias(a) for a in [*names, "_y"]])
+    plan = F.explode(F.array(*[F.struct(F.lit(cols.index(c)).alias("c"), F.lit(r).alias("r"), F.lit(u).alias("u")) for c, r, u in turns(cols, repeats)])).alias("_t")
+    # A block's values go to the places from `_a` on, with a new slice at each first place of a block.
+    moved = blocks.withColumn("_all", n).select("_b", "_n", "_all", F.array(*[F.col(a).cast("array<double>") for a in names]).alias("_v"), plan)
+    moved = moved.withColumn("_a", F.expr(f"pmod(_b * {block} - 1 - floor(_t.u * (_all - 1)), _all)"))
+    cut = F.expr(f"array_sort(array_distinct(filter(array(0L, {block} - _a % {block}, _all - _a), i -> i < _n)))")
+    moved = moved.withColumn("_cut", cut).select("*", F.posexplode("_cut").alias("_i", "_from"))
+    moved = moved.withColumns({"_to": F.coalesce(F.get("_cut", F.col("_i") + 1), "_n"), "_place": (F.col("_a") + F.col("_from")) % F.col("_all")})
+    slices = moved.select(
+        F.expr(f"_place div {block}").alias("_b"), (F.col("_place") % block).cast("int").alias("_at"), F.col("_t.c").alias("_c"), F.col("_t.r").alias("_r"),
+        F.slice(F.get("_v", F.col("_t.c")), (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")).alias("_new"))
+    pairs = slices.join(blocks.hint("shuffle_hash"), "_b")
+    own = [F.slice(a, F.col("_at") + 1, F.size("_new")).alias(a) for a in [*names, "_y"]]
+    each = pairs.select("_c", "_r", F.inline(F.arrays_zip(*own, F.col("_new"))))
+    mixed = each.select("_c", "_r", F.col("_y").alias(label), *[F.when(F.col("_c") == i, F.col("_new")).otherwise(F.col(a)).alias(c) for i, (c, a) in enumerate(zip(cols, names))])
+    rise = model.transform(mixed).groupBy("_c", "_r").agg((F.avg(error) - base).alias("rise"))
+    return rise.groupBy(F.get(F.array(*[F.lit(c) for c in cols]), F.col("_c")).alias("feature")).agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
 
 
 def importances(model: Model, cols: Sequence[str]) -> list[tuple[str, float]]:

@@ -199,7 +199,7 @@ TURNS = ", ".join(f"('{c}', {r}, {u!r}::DOUBLE)" for c, r, u in m.turns(COLS, 10
           FROM c, f, (VALUES {TURNS}) t(c, r, u), f o WHERE o.p = (f.p + 1 + floor(t.u * (f.n - 1))::BIGINT) % f.n GROUP BY 1, 2), base AS (SELECT avg(pow(b0 + b1 * q + b2 * d + b3 * x - y, 2)) AS mse FROM f, c)
     SELECT e.c AS feature, round(avg(e.mse - base.mse), 2) + 0.0::DOUBLE AS importance, round(stddev_pop(e.mse - base.mse), 2) + 0.0::DOUBLE AS std FROM e, base GROUP BY 1""")
 def permutation(t):
-    df = spread(facts(t), "key")
+    df = spread(facts(t).select("key", *COLS, "y"), "key")
     return rounded(m.permutation_importance(df, "key", COLS, "y", m.fit(df, COLS, "y"), 10), 2)
 
 

@@ -81,3 +81,27 @@ def test_elimination_fits_on_cells(spark, monkeypatch):
 def test_many_features_stay_with_mllib(spark):
     df = made(spark, 400).withColumns({f"c{i}": F.col("c") * F.rand(i) for i in range(4)})
     assert not isinstance(m.fit(df, ["a", "c", "c0", "c1", "c2", "c3"], "y", "random_forest", trees=2), trees.CellModel)
+
+
+@pytest.mark.parametrize("n", [1, 2, 37, 64])
+def test_turned_columns_by_blocks(spark, n):
+    from gaugeworks.functions.portable import portable_hash
+
+    df = made(spark, n)
+    model = m.fit(made(spark, 300), ["a", "b", "c"], "y")
+    got = {r["feature"]: r for r in m.permutation_importance(df, "id", ["a", "b", "c"], "y", model, 4, block=8).collect()}
+    x = [r.asDict() for r in df.withColumn("h", portable_hash(["id"])).orderBy("h", "id").collect()]
+    w = dict(zip("abc", model.stages[-1].coefficients.toArray()))
+    error = lambda row: (model.stages[-1].intercept + sum(w[c] * row[c] for c in "abc") - row["y"]) ** 2
+    base = np.mean([error(r) for r in x])
+    rise = {}
+    for c, _, u in m.turns(["a", "b", "c"], 4):
+        rise.setdefault(c, []).append(np.mean([error(r | {c: x[(p + 1 + int(u * (n - 1))) % n][c]}) for p, r in enumerate(x)]) - base)
+    for c, v in rise.items():
+        assert got[c]["importance"] == pytest.approx(np.mean(v), rel=1e-9, abs=1e-7) and got[c]["std"] == pytest.approx(np.std(v), rel=1e-9, abs=1e-7)
+
+
+def test_turns_send_numbers_not_rows(spark):
+    df = made(spark, 64)
+    plan = m.permutation_importance(df, "id", ["a", "b", "c"], "y", m.fit(df, ["a", "b", "c"], "y"), 2, block=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join") < plan.index("Generate explode")
