@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeworks.functions.portable import hash_prefix, portable_hash, prefixed_hashes
 from gaugeworks.operators.aggregate import rows
 from gaugeworks.operators import trees as grown
-from gaugeworks.operators.ordered import position, quantiles
+from gaugeworks.operators.ordered import position, quantile, quantiles
 from gaugeworks.session import broadcast_if_small, durable, match, scalar_row, spread
 
 # --- clustering -------------------------------------------------------------------------------------
@@ -105,17 +105,17 @@ def fit(df: DataFrame, cols: Sequence[str], label: str, kind: str = "linear", **
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Errors of predictions in one aggregate; the median error separately as an exact quantile."""
+    """Errors of predictions in one aggregate, written as its row counts tell how to take the median error, an exact quantile."""
     keys = list(keys)
     y, p = F.col(truth), F.col(predicted)
     e = p - y
     work = df.select(*keys, y.alias("_y"), F.abs(e).alias("_abs"), (e * e).alias("_sq"))
-    out = work.groupBy(*keys).agg(
+    out = durable(work.groupBy(*keys).agg(
         rows().alias("n"), F.avg("_sq").alias("mse"), F.sqrt(F.avg("_sq")).alias("rmse"), F.avg("_abs").alias("mae"),
         (1 - F.try_divide(F.sum("_sq"), F.regr_syy("_y", "_y"))).alias("r2"), (F.avg(F.when(F.col("_y") != 0, F.col("_abs") / F.abs("_y"))) * 100).alias("mape"),
-        (F.avg(F.col("_abs") / F.greatest(F.abs("_y"), F.lit(1e-8))) * 100).alias("mape_guarded"), F.max("_abs").alias("max_error"))
-    med = quantiles(work, keys, ["_abs"], [0.5]).select(*keys, F.col("q__abs")[0].alias("median_error"))
-    return match(out, med, keys) if keys else out.withColumn("median_error", scalar_row(med)["median_error"])
+        (F.avg(F.col("_abs") / F.greatest(F.abs("_y"), F.lit(1e-8))) * 100).alias("mape_guarded"), F.max("_abs").alias("max_error")))
+    med = quantile(work, keys, "_abs", 0.5, "median_error", out.agg(F.max("n")).first()[0] or 0)
+    return match(out, med, keys, "left") if keys else out.withColumn("median_error", scalar_row(med)["median_error"])
 
 
 def physics_evaluation(df: DataFrame, truth: str, predicted: str) -> DataFrame:

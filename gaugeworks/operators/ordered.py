@@ -262,6 +262,64 @@ def quantiles(
     return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("_q"))).alias(f"q_{c}") for c in cols])
 
 
+#: Ranges of values between a number and its double, and the ranges a range is cut into, for `quantile`.
+OCTAVE = 256
+CUTS = 4096
+
+
+def _span(v: Column) -> Column:
+    """The range a number falls in, about 1 / `OCTAVE` of the number wide; larger numbers have no smaller range, NaN the last."""
+    far = 1 << 40
+    size = F.floor(F.log2(F.abs(v)) * OCTAVE) + 1100 * OCTAVE
+    return F.when(F.isnan(v), 2 * far).when(F.abs(v) == math.inf, F.signum(v) * far).when(v == 0, 0).otherwise(F.signum(v) * size).cast("long")
+
+
+def quantile(df: DataFrame, keys: Sequence[str], col: str, prob: float, name: str, largest: int | None = None, rows: int | None = None) -> DataFrame:
+    """The exact quantile of one column with linear interpolation, per key as `name`.
+
+    Above the group limit only counts leave the tasks: the rows of each range of values, and the smallest and the largest value
+    in it. The range that holds the ranks is cut again while it has more rows than the limit, then its values are counted one by
+    one. The input is computed once for each of these, twice as a rule. A caller that already knows the size of the largest group
+    passes it as `largest`.
+    """
+    keys = list(keys)
+    limit = rows or group_rows(df.sparkSession)
+    v = F.col("_v")
+    data = df.select(*keys, F.col(col).cast("double").alias("_v"))
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
+        return data.groupBy(*keys).agg(F.percentile(v, float(prob)).alias(name))
+    data = data.filter(v.isNotNull())
+    by = keys or ["_all"]
+    if not keys:
+        data = data.withColumn("_all", F.lit(0))
+    rank = F.lit(float(prob)) * (F.col("_tot") - 1)
+
+    def counts(df: DataFrame, at: Column) -> DataFrame:
+        return durable(df.groupBy(*by, at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")))
+
+    def holding(ranges: DataFrame) -> DataFrame:
+        """A row a group: the ends of the range with both ranks in it, or else, and then not `_open`, the two values."""
+        upto = F.col("_base") + F.sum("_n").over(W.partitionBy(*by).orderBy("_lo").rowsBetween(W.unboundedPreceding, W.currentRow))
+        has = lambda index: (F.col("_cum") - F.col("_n") <= index) & (index < F.col("_cum"))
+        low, high = has(F.floor(rank)), has(F.ceil(rank))
+        got = ranges.withColumn("_cum", upto).groupBy(*by, "_tot").agg(
+            F.max(F.when(low, F.struct((F.col("_cum") - F.col("_n")).alias("base"), F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), high.alias("both")))).alias("l"),
+            F.max(F.when(high, F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))).alias("h"))
+        return durable(got.select(
+            *by, "_tot", F.col("l.base").alias("_base"), F.col("l.n").alias("_rows"), F.when(F.col("l.both"), F.col("l.lo")).otherwise(F.col("l.hi")).alias("_from"),
+            F.when(F.col("l.both"), F.col("h.hi")).otherwise(F.col("h.lo")).alias("_to"), (F.col("l.both") & (F.col("l.lo") < F.col("h.hi"))).alias("_open")))
+
+    spans = counts(data, _span(v))
+    found = holding(match(spans, spans.groupBy(*by).agg(F.sum("_n").alias("_tot"), F.lit(0).alias("_base")), by))
+    while most := found.agg(F.max(F.when(F.col("_open"), F.col("_rows")))).first()[0]:
+        ends = found.filter("_open").drop("_open", "_rows")
+        inside = match(data, broadcast_if_small(ends), by).filter(v.between(F.col("_from"), F.col("_to")))
+        cut = F.floor((v - F.col("_from")) / (F.col("_to") - F.col("_from")) * CUTS) if most > limit else v
+        found = found.filter("not _open").unionByName(holding(match(counts(inside, cut), ends, by)))
+    value = F.when(F.col("_from") == F.col("_to"), F.col("_from")).otherwise(F.col("_from") + (rank - F.floor(rank)) * (F.col("_to") - F.col("_from")))
+    return found.select(*keys, value.alias(name))
+
+
 def modes(df: DataFrame, keys: Sequence[str], col: str, name: str = "mode") -> DataFrame:
     """Most frequent value per key with its count `<name>_n`, the smallest on a tie.
 

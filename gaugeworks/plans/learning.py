@@ -11,7 +11,7 @@ from gaugeworks.operators import learn as m
 from gaugeworks.operators import project as p
 from gaugeworks.plans.aggregations import rounded
 from gaugeworks.plans.registry import query
-from gaugeworks.session import rows_table, spread
+from gaugeworks.session import dealt, rows_table, spread
 
 
 def facts(t):
@@ -105,7 +105,7 @@ def trees(t):
 
 @query("mlx_06_compare_models")
 def compare(t):
-    df = spread(m.hashed_folds(facts(t), ["key"]), "key")
+    df = dealt(m.hashed_folds(facts(t), ["key"]), ["key"], ["fold", *COLS, "y"])
     train, valid = df.filter("fold <> 0"), df.filter("fold = 0")
     return rounded(m.compare(m.train_all(train, valid, COLS, "y"), {"train": train, "validation": valid}, "y", COLS), 4)
 

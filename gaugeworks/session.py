@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,6 +68,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return durable(df.repartition(*keys))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Columns of rows written once for fits that read them many times: by `spread` if the rows come in fewer pieces than there
+    are tasks, else where they are, as a shuffle would hold them on disk a second time, with their key."""
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return spread(df, *keys).select(*cols)
+    return durable(df.select(*cols))
+
+
 def small(df: DataFrame, rows: int | None = None) -> bool:
     """True when `df` has at most `rows` rows; the probe stops as soon as it has seen one more."""
     limit = rows or broadcast_rows(df.sparkSession)

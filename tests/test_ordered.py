@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks import session
 from gaugeworks.operators import aggregate, filters, reports
 from gaugeworks.operators import learn
 from gaugeworks.operators import ordered as o
@@ -74,6 +75,50 @@ def test_split_quantiles_compute_their_input_twice(spark):
     assert seen.value <= 1000
 
 
+@pytest.mark.parametrize("keys, p", [([], 0.25), (["key"], 0.5), (["key"], 1)])
+def test_narrowed_quantile_equals_plain(spark, keys, p):
+    """Normal, tied, nearly equal, far apart, smallest, infinite and no numbers."""
+    rng = np.random.default_rng(1)
+    n = 900
+    made = {
+        "normal": rng.normal(size=n), "ties": rng.integers(-2, 3, n), "near": 1000 + rng.random(n) * 1e-9, "far": rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n), "least": rng.integers(-3, 4, n) * 5e-324,
+        "ends": np.select([rng.random(n) < 0.3, rng.random(n) < 0.5, rng.random(n) < 0.2], [np.inf, -np.inf, np.nan], rng.normal(size=n))}
+    key = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", None], n))
+    df = spark.createDataFrame([(k, *map(float, v)) for k, *v in zip(key.tolist(), *made.values())], "key string, " + ", ".join(f"{c} double" for c in made)).cache()
+    for c in made:
+        want, got = ({r[:-1]: r[-1] for r in map(tuple, o.quantile(df, keys, c, p, "q", rows=most).collect())} for most in (None, 20))
+        assert want.keys() == got.keys() and all(np.isclose(got[k], want[k], rtol=1e-12, atol=0, equal_nan=True) for k in want), c
+
+
+def test_median_error_writes_counts_not_errors(spark, monkeypatch):
+    """Groups above the limit: all but a few of their errors stay where they are, and each is computed three times."""
+    seen = spark.sparkContext.accumulator(0)
+    y = np.random.default_rng(2).normal(100, 9, 30_000)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(pd.DataFrame({"part": ["a", "b", "b"] * 10_000, "y": y, "p": 100.0})).mapInPandas(count, "part string, y double, p double")
+    written = []
+    for module in (o, learn):
+        monkeypatch.setattr(module, "durable", lambda d, keep=module.durable: (out := keep(d), written.append(out.count()))[0])
+    monkeypatch.setattr(o, "group_rows", lambda spark: 1000)
+    got = {r["part"]: r["median_error"] for r in learn.regression_metrics(df, "y", "p", ["part"]).collect()}
+    assert got == pytest.approx({"a": np.median(abs(y - 100)[::3]), "b": np.median(np.delete(abs(y - 100), np.s_[::3]))}, rel=1e-12)
+    assert sum(written) < 10_000 and seen.value <= 90_000
+
+
+def test_rows_in_enough_pieces_are_not_shuffled(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(session, "durable", lambda d: asked.append(d._jdf.queryExecution().optimizedPlan().toString()) or d)
+    for pieces in (spark.sparkContext.defaultParallelism, 1):
+        df = spark.range(0, 90, 1, pieces).select(F.col("id").cast("string").alias("key"), (F.col("id") * 2).alias("v"))
+        assert sorted(r[0] for r in session.dealt(df, ["key"], ["v"]).collect()) == list(range(0, 180, 2))
+    assert ["Repartition" in p for p in asked] == [False, True] and "key" not in asked[0]
+
+
 def test_predictions_are_scored_once(spark, monkeypatch):
     """The metrics of folds and shares read written predictions, not the models again."""
     df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 * 2.0 + F.hash("id") % 3).alias("y"))
